@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 
 from hexsupport.llm.components import components
 from hexsupport.llm.shingles import shingle_sets
-from hexsupport.llm.store import Workspace, small_ids
+from hexsupport.llm.store import Workspace, bound_batches, small_ids
 
 #: Shingles above this are listed only for documents that need them to fill their short lists.
 HALF = np.uint64(1 << 63)
 #: Documents and shingles that a task packs at once.
-PACK_DOCS, PACK_SHINGLES = 60_000, 2_000_000
+PACK_DOCS, PACK_SHINGLES = 60_000, 1_000_000
 #: Ids that are broadcast to pick texts out of a scan; beyond it a join does so.
 BROADCAST_IDS = 2_000_000
 RARE_LAST = 2**31 - 1
@@ -186,6 +186,7 @@ def linked(documents: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_
     Other columns of the input are ignored.
     """
     spark = documents.sparkSession
+    bound_batches(spark)
     ws = Workspace(spark, "ngrams")
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     digest = ws.write(docs.mapInArrow(_digests(width), "doc_id long, n_shingles long, low long, node long"))

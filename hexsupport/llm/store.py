@@ -20,6 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` texts, so that long texts fit a small Python worker.
+
+    Spark's own default of 10,000 is lowered; a session that chose a value keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 class Workspace:
     """Intermediate tables of one operator run; ``drop`` frees them early."""
 
