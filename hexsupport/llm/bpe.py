@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hexsupport.llm.store import bound_batches
 
@@ -205,8 +206,8 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
             arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(ids, np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, arrays], [*batch.schema.names, ids_col])
 
-    schema = df.select(*(F.col(f"`{c}`") for c in rest)).schema.add(ids_col, "array<int>")
-    return df.select(*(F.col(f"`{c}`") for c in rest)).mapInArrow(run, schema)
+    base = df.select(*(F.col(f"`{c}`") for c in rest))
+    return base.mapInArrow(run, T.StructType(list(base.schema.fields)).add(ids_col, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
@@ -248,8 +249,8 @@ def decode(df: DataFrame, path: str, ids_col: str = "token_ids", bytes_col: str
             bytes_ = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(rows.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, bytes_], [*batch.schema.names, bytes_col])
 
-    schema = df.select(*(F.col(f"`{c}`") for c in rest)).schema.add(bytes_col, "binary")
-    return df.select(*(F.col(f"`{c}`") for c in rest)).mapInArrow(run, schema)
+    base = df.select(*(F.col(f"`{c}`") for c in rest))
+    return base.mapInArrow(run, T.StructType(list(base.schema.fields)).add(bytes_col, "binary"))
 
 
 def digests(df: DataFrame, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hexsupport.llm.shingles import mix, text_slices
 from hexsupport.llm.store import bound_batches
@@ -138,7 +139,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best), pa.array(score)], [*batch.schema.names, lang_col, score_col])
 
     base = df.select(*(F.col(f"`{c}`") for c in rest))
-    return base.mapInArrow(run, base.schema.add(lang_col, "string").add(score_col, "double"))
+    return base.mapInArrow(run, T.StructType(list(base.schema.fields)).add(lang_col, "string").add(score_col, "double"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
