@@ -13,10 +13,9 @@ that the short lists admit. The probe is an exact count over both whole sets.
    bucket's lists are sorted, and lists of length one, which can admit nobody,
    end there.
 3. Short lists: the rest comes back by node, which keeps its shortest.
-4. Neighbours in each list (by size) are probed first and joined into groups;
-   then all pairs of a list in *different* groups whose merged count can still
-   reach T are probed. Pairs within a group need no proof, so a group of copies
-   costs its size, not its square, and no link between groups is lost.
+4. Probes: pairs whose merged count can still reach T are counted exactly over
+   both whole sets, neighbours by size first, then pairs between the groups
+   that these make (see ``linking``).
 """
 
 from __future__ import annotations
@@ -26,25 +25,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hexsupport.llm.components import components
+from hexsupport.llm.linking import grouped
 from hexsupport.llm.shingles import shingle_sets
-from hexsupport.llm.store import Workspace, bound_batches, small_ids
+from hexsupport.llm.store import Workspace, bound_batches, picked, small_ids
 
-#: Shingles above this are listed only for documents that need them to fill their short lists.
-HALF = np.uint64(1 << 63)
 #: Documents and shingles that a task packs at once.
 PACK_DOCS, PACK_SHINGLES = 60_000, 1_000_000
-#: Ids that are broadcast to pick texts out of a scan; beyond it a join does so.
-BROADCAST_IDS = 2_000_000
-RARE_LAST = 2**31 - 1
-
-
-def _least(n, num: int, den: int):
-    """ceil(n * num / den)"""
-    return (n * num + den - 1) // den
 
 
 def node_of(own: np.ndarray) -> int:
@@ -55,17 +44,16 @@ def node_of(own: np.ndarray) -> int:
 def _digests(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, low, node = [], [], []
+            n, node = [], []
             for own in shingle_sets(batch.column("text"), width):
                 n.append(len(own))
-                low.append(int(np.searchsorted(own, HALF)))
                 node.append(node_of(own))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "n_shingles", "low", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "n_shingles", "node"])
 
     return run
 
 
-def _pack(width: int, num: int, den: int, buckets: int):
+def _pack(width: int, buckets: int):
     """Blobs (bucket, tops, tails, owners, nodes) of a task's lists; equal sets of a task are packed once."""
     names = ["bucket", "tops", "tails", "owners", "nodes"]
 
@@ -99,7 +87,6 @@ def _pack(width: int, num: int, den: int, buckets: int):
                 if not len(own) or (node := node_of(own)) in seen:
                     continue
                 seen.add(node)
-                own = own[: max(int(np.searchsorted(own, HALF)), len(own) - _least(len(own), num, den) + 1)]
                 nodes.append(node)
                 sets.append(own)
                 held += len(own)
@@ -131,10 +118,9 @@ def _lists(table: pa.Table) -> pa.Table:
     first[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
     token, node = token[first], node[first]
     _, place, length = np.unique(token, return_inverse=True, return_counts=True)
-    length = length[place]
-    rank = np.where(token < HALF >> np.uint64(16), np.minimum(length, RARE_LAST - 1), RARE_LAST)
-    many = length > 1
-    return pa.table({"node": node[many], "rank": rank[many].astype(np.int32), "token": token[many].astype(np.int64)})
+    rank = length[place]
+    many = rank > 1
+    return pa.table({"node": node[many], "rank": rank[many], "token": token[many].astype(np.int64)})
 
 
 def _probe(width: int, num: int, den: int):
@@ -189,76 +175,53 @@ def linked(documents: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_
     bound_batches(spark)
     ws = Workspace(spark, "ngrams")
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    digest = ws.write(docs.mapInArrow(_digests(width), "doc_id long, n_shingles long, low long, node long"))
-    nodes = digest.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("low").alias("low"))
+    digest = ws.write(docs.mapInArrow(_digests(width), "doc_id long, n_shingles long, node long"))
+    nodes = digest.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"))
 
     buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = docs.mapInArrow(_pack(width, num, den, buckets), "bucket int, tops binary, tails binary, owners binary, nodes binary")
-    shared = packed.groupBy("bucket").applyInArrow(_lists, "node long, rank int, token long")
-    owned = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rank", "token"))).alias("lists"), F.count_if(F.col("rank") < RARE_LAST).alias("listed"))
+    packed = docs.mapInArrow(_pack(width, buckets), "bucket int, tops binary, tails binary, owners binary, nodes binary")
+    shared = packed.groupBy("bucket").applyInArrow(_lists, "node long, rank long, token long")
+    owned = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rank", "token"))).alias("lists"))
     # the lists of length one are the shortest, and stand before these
-    short = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("low") - F.col("listed"))
+    short = F.size("lists") - F.ceil(F.col("n") * num / den) + 1
     short = owned.join(nodes, "node").withColumn("short", short.cast("int")).filter("short > 0")
     short = ws.write(short.select("node", "doc", "n", F.slice("lists", 1, F.col("short")).getField("token").alias("tokens")))
-    entries = short.select("node", "n", F.explode("tokens").alias("token"))
+    entries = short.select("node", "n", F.size("tokens").alias("s"), F.explode("tokens").alias("token"))
 
-    def admits(a: str, b: str):
-        """The merged count can reach T and the sizes allow the threshold."""
-        n, m = F.col(a), F.col(b)
+    def least_merged(n: Column, m: Column) -> Column:
+        """The common short lists that, with all that the long lists can add, just reach T."""
         reach = F.ceil((n + m) * num / (num + den))
-        rest = F.greatest(F.ceil(n * num / den), F.ceil(m * num / den)) - 1
-        return (F.col("merged") >= reach - rest) & (F.least(n, m) * den >= F.greatest(n, m) * num)
+        return reach - F.greatest(F.ceil(n * num / den), F.ceil(m * num / den)) + 1
+
+    def fits(n: Column, s: Column, m: Column, t: Column) -> Column:
+        return (F.least(n, m) * den >= F.greatest(n, m) * num) & (F.least(s, t) >= least_merged(n, m))
+
+    def admits(merged: Column, n: Column, m: Column) -> Column:
+        return merged >= least_merged(n, m)
 
     def probed(pairs: DataFrame) -> DataFrame:
         pairs = ws.write(pairs.select("a", "b"))
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         found = wanted.join(short.select("node", "doc"), "node")
-        known, ids = small_ids(wanted, BROADCAST_IDS), small_ids(found.select("doc").distinct(), BROADCAST_IDS)
+        known, ids = small_ids(wanted), small_ids(found.select("doc").distinct())
         if known is None or ids is None:
             source = docs.join(found.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
             texts = source.mapInArrow(_texts(width, None), "node long, text string").join(wanted, "node", "left_semi")
         else:
             chosen = spark.sparkContext.broadcast(frozenset(x for x in ids if x is not None))
-            source = docs.mapInArrow(_picked(chosen), "doc_id long, text string")
+            source = docs.mapInArrow(picked(chosen), "doc_id long, text string")
             texts = source.mapInArrow(_texts(width, spark.sparkContext.broadcast(known)), "node long, text string")
         texts = texts.dropDuplicates(["node"])
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return ws.write(both.mapInArrow(_probe(width, num, den), "a long, b long"))
 
-    by_size = Window.partitionBy("token").orderBy("n", "node")
-    near = entries.withColumn("a", F.lag("node").over(by_size)).withColumn("m", F.lag("n").over(by_size)).filter("a IS NOT NULL")
-    near = near.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("merged"), F.first("n").alias("n"), F.first("m").alias("m")).filter(admits("n", "m"))
-    near = near.groupBy("b").agg(F.max_by("a", F.struct("merged", "a")).alias("a"))
-    links = probed(near)
-    groups = ws.write(components(links, ws))
-
-    placed = short.join(groups.withColumnRenamed("id", "node"), "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), F.explode("tokens").alias("token"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
-    placed = ws.write(placed.join(mixed, "token"))
-    other = placed.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    across = placed.withColumnRenamed("node", "a").join(other, "token").filter((F.col("component") < F.col("other")) & (F.least("n", "m") * den >= F.greatest("n", "m") * num))
-    across = across.groupBy("a", "b").agg(F.count("*").alias("merged"), F.first("n").alias("n"), F.first("m").alias("m")).filter(admits("n", "m"))
-    groups = components(links.unionByName(probed(across)), ws)
-
+    groups = grouped(entries, fits, admits, probed, ws)
     placed = digest.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("group", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
     least = placed.filter("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "group", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _picked(chosen):
-    """The rows whose id is among ``chosen``, or null."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = np.array(sorted(chosen.value), np.int64)
-        for batch in batches:
-            doc = batch.column("doc_id")
-            keep = np.isin(doc.fill_null(0).to_numpy(zero_copy_only=False), ids) | doc.is_null().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(keep))
-
-    return run
-
-
 def keep_one(documents: DataFrame, **options) -> DataFrame:
     """The rows of ``documents`` without near copies: of each component the row with its smallest id stays.
 

@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,10 +56,27 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_ids(df: DataFrame, limit: int) -> list | None:
+#: Ids that are broadcast to pick texts out of a scan (8 bytes each); beyond it a join does so.
+BROADCAST_IDS = 2_000_000
+
+
+def small_ids(df: DataFrame, limit: int = BROADCAST_IDS) -> list | None:
     """The values of a one-column frame if they are at most ``limit``, else None.
 
     At most ``limit + 1`` values reach the driver.
     """
     rows = df.limit(limit + 1).collect()
     return [r[0] for r in rows] if len(rows) <= limit else None
+
+
+def picked(chosen):
+    """The rows whose id is among ``chosen``, or null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = np.array(sorted(chosen.value), np.int64)
+        for batch in batches:
+            doc = batch.column("doc_id")
+            keep = np.isin(doc.fill_null(0).to_numpy(zero_copy_only=False), ids) | doc.is_null().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(keep))
+
+    return run
