@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rules up to this number are broadcast (a few MB); more are joined by shuffling.
 BROADCAST_RULES = 50_000
 
+#: Parts into which the urls of one host and path are dealt.
+SALTS = 16
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -85,5 +88,8 @@ def judge(pages: DataFrame, ruled: DataFrame, url_col: str = "url", default: str
     rule = F.concat("rule_host", "rule_path")
     best = fits.groupBy("_host", "_path").agg(F.max(F.struct(F.length(rule).alias("size"), F.length("rule_host").alias("own"), rule.alias("rule"), "verdict")).alias("best"))
     best = best.select("_host", "_path", "best.rule", F.col("best.verdict").alias("verdict"))
-    judged = pages.join(best, ["_host", "_path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    # a host may hold most urls: its verdicts are repeated for each salt
+    best = best.withColumn("_salt", F.explode(F.array(*(F.lit(k) for k in range(SALTS)))))
+    pages = pages.withColumn("_salt", F.pmod(F.xxhash64(f"`{url_col}`", "path"), SALTS).cast("int"))
+    judged = pages.join(best, ["_host", "_path", "_salt"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
     return judged.select(*kept, "host", "path", "rule", "verdict")
