@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hexsupport.llm import bpe, embeddings, langid, lines, mixing, ngrams, urls
+from hexsupport.llm import bpe, embeddings, langid, lines, mixing, ngrams, quality, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.linked(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     texts = documents.select("doc_id", "text", langid.held_out().alias("held_out"))
