@@ -14,12 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hexsupport.llm.linking import grouped
 from hexsupport.llm.shingles import MULTIPLIERS, mix, text_slices
-from hexsupport.llm.store import Workspace, bound_batches, picked, small_ids
+from hexsupport.llm.store import Workspace, bound_batches, lean, picked, small_ids
 
 #: Characters of a shingle; a shorter line is one shingle.
 WIDTH = 8
@@ -94,23 +94,23 @@ def _keys(signatures: np.ndarray) -> np.ndarray:
     return total
 
 
+def _blobs(keys: list[np.ndarray], lines: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    key, line = np.concatenate(keys), np.concatenate(lines)
+    bucket = (key % np.uint64(buckets)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    key, line = key[order], line[order]
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    some = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array([x[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()) for x in (key, line))], ["bucket", "keys", "lines"])
+
+
 def _pack(buckets: int):
     """Blobs (bucket, keys, lines) of a task's bands; a task packs a line once as far as it remembers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         keys, lines, held, seen = [], [], 0, set()
 
-        def drain() -> pa.RecordBatch:
-            key, line = np.concatenate(keys), np.concatenate(lines)
-            bucket = (key % np.uint64(buckets)).astype(np.uint16)
-            order = np.argsort(bucket, kind="stable")
-            key, line = key[order], line[order]
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            some = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
-            keys.clear()
-            lines.clear()
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array([x[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()) for x in (key, line))], ["bucket", "keys", "lines"])
-
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column("text"), SLICE):
                 if not len(data):
@@ -138,10 +138,10 @@ def _pack(buckets: int):
                 lines.append(np.repeat(line[fresh], BANDS))
                 held += own.size
                 if held > PACK:
-                    yield drain()
-                    held = 0
+                    yield _blobs(keys, lines, buckets)
+                    keys, lines, held = [], [], 0
         if keys:
-            yield drain()
+            yield _blobs(keys, lines, buckets)
 
     return run
 
@@ -166,6 +166,10 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"token": key[many], "node": line[many]})
 
 
+def hash_of(shingle: str) -> int:
+    return xxhash.xxh3_64_intdigest(shingle.encode("utf-8", "surrogatepass"))
+
+
 def shingles(line: str) -> set[str]:
     low = line.translate(_LOWER)
     return {low[i : i + WIDTH] for i in range(max(1, len(low) - WIDTH + 1))}
@@ -174,8 +178,39 @@ def shingles(line: str) -> set[str]:
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
 
+def _pack_shingles(buckets: int):
+    """Blobs (bucket, keys, lines) of the distinct shingles of lines, as hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        keys, lines, held = [], [], 0
+        for batch in batches:
+            for node, line in zip(batch.column("node").to_pylist(), batch.column("line_text").to_pylist(), strict=True):
+                own = np.array([hash_of(x) for x in shingles(line)], np.uint64)
+                keys.append(own)
+                lines.append(np.full(len(own), node, np.int64))
+                held += len(own)
+                if held > PACK:
+                    yield _blobs(keys, lines, buckets)
+                    keys, lines, held = [], [], 0
+        if keys:
+            yield _blobs(keys, lines, buckets)
+
+    return run
+
+
+def _lone(table: pa.Table) -> pa.Table:
+    """(node, n, s) within a bucket: a line's shingles, and those of them that another line has too."""
+    key = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("keys")])
+    line = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("lines")])
+    _, place, length = np.unique(key, return_inverse=True, return_counts=True)
+    node, owner = np.unique(line, return_inverse=True)
+    return pa.table({"node": node, "n": np.bincount(owner), "s": np.bincount(owner, length[place] > 1).astype(np.int64)})
+
+
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             keep = []
             for k, (x, y) in enumerate(zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)):
@@ -192,6 +227,7 @@ def _line_texts(wanted):
     """(node, line_text) of the wanted lines; None: of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         known = None if wanted is None else set(wanted.value)
         sent: set[int] = set()
         for batch in batches:
@@ -229,13 +265,12 @@ def deduplicated(documents: DataFrame, num: int = 4, den: int = 5, id_col: str =
     every = ws.write(docs.mapInArrow(_occurrences, f"doc_id {kind}, row long, place int, line long, check long"))
     known = every.groupBy("line").agg(F.count("*").alias("times"), F.min("check").alias("x"), F.max("check").alias("y"), F.min(F.struct("doc_id", "row", "place")).alias("first")).filter("x = y")
 
-    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(128, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = docs.select("text").mapInArrow(_pack(buckets), "bucket int, keys binary, lines binary")
-    entries = ws.write(packed.groupBy("bucket").applyInArrow(_shared, "token long, node long").withColumns({"n": F.lit(1), "s": F.lit(1)}))
+    entries = ws.write(packed.groupBy("bucket").applyInArrow(_shared, "token long, node long").withColumns({"n": F.lit(0).cast("long"), "s": F.lit(0).cast("long")}))
 
-    def probe(pairs: DataFrame) -> DataFrame:
-        pairs = ws.write(pairs.select("a", "b"))
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """(node, line_text) of the lines in ``wanted(line)``."""
         found = ws.write(wanted.join(known, "line").select("line", "first.doc_id"))
         lines, ids = small_ids(found.select("line")), small_ids(found.select("doc_id").distinct())
         if lines is None or ids is None or kind != "bigint":
@@ -244,12 +279,25 @@ def deduplicated(documents: DataFrame, num: int = 4, den: int = 5, id_col: str =
         else:
             source = docs.select("doc_id", "text").mapInArrow(picked(spark.sparkContext.broadcast(frozenset(x for x in ids if x is not None))), "doc_id long, text string")
             texts = source.select("text").mapInArrow(_line_texts(spark.sparkContext.broadcast(lines)), "node long, line_text string")
-        texts = texts.dropDuplicates(["node"])
+        return texts.dropDuplicates(["node"])
+
+    def probe(pairs: DataFrame) -> DataFrame:
+        pairs = ws.write(pairs.select("a", "b"))
+        texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct())
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line_text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("line_text").alias("text_b")), "b")
         return ws.write(both.mapInArrow(_verify(num, den), "a long, b long"))
 
-    true = lambda *_: F.lit(True)
-    groups = grouped(entries, true, true, probe, ws).select(F.col("id").alias("line"), "component")
+    def refine(nodes: DataFrame) -> DataFrame:
+        """A shingle that no other of these lines has is in none of a line's intersections: too many, and it can link with none."""
+        packed = texts_of(nodes.select(F.col("node").alias("line"))).mapInArrow(_pack_shingles(buckets), "bucket int, keys binary, lines binary")
+        counted = packed.groupBy("bucket").applyInArrow(_lone, "node long, n long, s long").groupBy("node").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+        return counted.filter(F.col("s") * den >= F.col("n") * num)
+
+    def fits(n: Column, s: Column, m: Column, t: Column) -> Column:
+        sized = (F.least(n, m) * den >= F.greatest(n, m) * num) & (F.least(s, t) * (num + den) >= (n + m) * num)
+        return (n == 0) | (m == 0) | sized  # 0: not counted yet
+
+    groups = grouped(entries, fits, lambda *_: F.lit(True), probe, ws, refine).select(F.col("id").alias("line"), "component")
     touched = known.join(groups, "line", "left").filter("times > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "line"))
     touched = ws.write(touched.select("line", "component", "first"))
     stays = touched.groupBy("component").agg(F.min("first").alias("stays"))

@@ -17,21 +17,27 @@ from hexsupport.llm.components import components
 from hexsupport.llm.store import Workspace
 
 
-def grouped(entries: DataFrame, fits: Callable[..., Column], admits: Callable[..., Column], probe: Callable[[DataFrame], DataFrame], ws: Workspace) -> DataFrame:
+def grouped(entries: DataFrame, fits: Callable[..., Column], admits: Callable[..., Column], probe: Callable[[DataFrame], DataFrame], ws: Workspace, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``(id, component)`` of the nodes that link with another, from ``entries(token, node, n, s)``.
 
     ``s`` counts a node's tokens, ``n`` its size. ``fits(n, s, m, t)``: nodes of
     these sizes and counts can link. ``admits(merged, n, m)``: so can nodes with
     ``merged`` common tokens. ``probe(pairs)``: the pairs (a, b) that link.
+    ``refine(nodes)``: exact ``(node, n, s)`` for those of ``nodes`` that may still
+    link with another of them; the others are left out of the last step.
     """
 
     def can(df: DataFrame) -> DataFrame:
         return df.filter(fits(F.col("n"), F.col("s"), F.col("m"), F.col("t")))
 
-    # first candidates: the neighbour by size, and the node that shares most of all, of each token
+    # first candidates: the neighbour by size, and the node in the most and longest lists, of each token
+    lengths = entries.groupBy("token").agg(F.count("*").alias("of"))
+    ranked = entries.join(lengths, "token")
+    weight = ranked.groupBy("node").agg(F.sum("of").alias("weight"))
+    ranked = ranked.filter("of > 2").join(weight, "node")
     by_size = Window.partitionBy("token").orderBy("n", "node")
     near = entries.select("node", "n", "s", *(F.lag(c).over(by_size).alias(x) for c, x in (("node", "a"), ("n", "m"), ("s", "t")))).filter("a IS NOT NULL")
-    hubs = entries.groupBy("token").agg(F.max(F.struct("s", "n", "node")).alias("hub"), F.count("*").alias("of")).filter("of > 2")
+    hubs = ranked.groupBy("token").agg(F.max(F.struct("weight", "s", "n", "node")).alias("hub"))
     hubs = hubs.select("token", F.col("hub.node").alias("a"), F.col("hub.n").alias("m"), F.col("hub.s").alias("t"))
     hubs = entries.join(hubs, "token").filter("node <> a")
     best = []
@@ -46,6 +52,8 @@ def grouped(entries: DataFrame, fits: Callable[..., Column], admits: Callable[..
     placed = entries.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
     placed = ws.write(placed.join(mixed, "token").select("token", "node", "n", "s", "component"))
+    if refine is not None:
+        placed = ws.write(placed.drop("n", "s").join(refine(placed.select("node").distinct()), "node"))
     other = placed.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("component").alias("other"))
     across = can(placed.withColumnRenamed("node", "a").join(other, "token").filter(F.col("component") < F.col("other")))
     across = across.groupBy("a", "b").agg(F.count("*").alias("merged"), F.first("n").alias("n"), F.first("m").alias("m"))
