@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from hexsupport.llm.linking import grouped
 from hexsupport.llm.shingles import shingle_sets
-from hexsupport.llm.store import Workspace, bound_batches, picked, small_ids
+from hexsupport.llm.store import Workspace, bound_batches, lean, picked, small_ids
 
 #: Documents and shingles that a task packs at once.
 PACK_DOCS, PACK_SHINGLES = 60_000, 1_000_000
@@ -43,6 +43,7 @@ def node_of(own: np.ndarray) -> int:
 
 def _digests(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             n, node = [], []
             for own in shingle_sets(batch.column("text"), width):
@@ -58,6 +59,7 @@ def _pack(width: int, buckets: int):
     names = ["bucket", "tops", "tails", "owners", "nodes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         nodes: list[int] = []
         sets: list[np.ndarray] = []
         seen: set[int] = set()
@@ -101,6 +103,7 @@ def _pack(width: int, buckets: int):
 
 def _lists(table: pa.Table) -> pa.Table:
     """A bucket's (node, rank, shingle) for shingles that at least two nodes have; rank is the list's length."""
+    lean()
     tokens, nodes = [], []
     for tops, tails, owners, ids in zip(*(table.column(c) for c in ("tops", "tails", "owners", "nodes")), strict=True):
         tokens.append(np.frombuffer(tops.as_py(), np.uint32).astype(np.uint64) << np.uint64(16) | np.frombuffer(tails.as_py(), np.uint16))
@@ -127,6 +130,7 @@ def _probe(width: int, num: int, den: int):
     """The pairs (a, b) whose whole sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             keep = []
             for k, (x, y) in enumerate(zip(shingle_sets(batch.column("text_a"), width), shingle_sets(batch.column("text_b"), width), strict=True)):
@@ -145,6 +149,7 @@ def _texts(width: int, wanted):
     """(node, text) of the texts whose node is wanted; None: of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         known = None if wanted is None else set(wanted.value)
         sent = set()
         for batch in batches:
@@ -178,7 +183,7 @@ def linked(documents: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_
     digest = ws.write(docs.mapInArrow(_digests(width), "doc_id long, n_shingles long, node long"))
     nodes = digest.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"))
 
-    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(128, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = docs.mapInArrow(_pack(width, buckets), "bucket int, tops binary, tails binary, owners binary, nodes binary")
     shared = packed.groupBy("bucket").applyInArrow(_lists, "node long, rank long, token long")
     owned = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rank", "token"))).alias("lists"))

@@ -6,6 +6,7 @@ The folder is ``spark.checkpoint.dir`` of the session. Only where it is unset
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,6 +34,15 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def lean() -> None:
+    """In a Python worker: freed arrays go back to the system at once, so that workers side by side stay small."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+
+
 class Workspace:
     """Intermediate tables of one operator run; ``drop`` frees them early."""
 
