@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hexsupport.llm import bpe, embeddings, langid, lines, mixing, ngrams, quality, urls
+from hexsupport.llm import bpe, embeddings, langid, lines, mixing, ngrams, pii, quality, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +48,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = pii.detected(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.number_of("base", kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return marked.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     texts = documents.select("doc_id", "text", langid.held_out().alias("held_out"))
