@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexsupport.llm import bpe, embeddings, langid, lines, mixing, ngrams, pii, quality, urls
+from hexsupport.llm import bpe, embeddings, langid, licenses, lines, mixing, ngrams, pii, quality, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(texts, langid.trained_on(documents)).drop("text")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scanned(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string")))
+    best = F.coalesce(F.array_max(F.transform("licenses", lambda x: x["coverage"])), F.lit(0.0))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(listed, ",").alias("licenses"), best.alias("coverage"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
