@@ -168,5 +168,5 @@ def scanned(df: DataFrame, templates: dict[str, str] | None = None, least: float
             found = [[dict(zip(("license", "coverage", "start", "end"), hit, strict=True)) for hit in scanner.scan(text)] if text else [] for text in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, out_col])
 
-    item = T.StructType().add("license", "string").add("coverage", "double").add("start", "int").add("end", "int")
+    item = T.StructType().add("license", "string").add("coverage", "double").add("start", "integer").add("end", "integer")
     return base.mapInArrow(run, T.StructType(list(base.schema.fields)).add(out_col, T.ArrayType(item)))
