@@ -267,7 +267,9 @@ def deduplicated(documents: DataFrame, num: int = 4, den: int = 5, id_col: str =
 
     buckets = max(128, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = docs.select("text").mapInArrow(_pack(buckets), "bucket int, keys binary, lines binary")
-    entries = ws.write(packed.groupBy("bucket").applyInArrow(_shared, "token long, node long").withColumns({"n": F.lit(0).cast("long"), "s": F.lit(0).cast("long")}))
+    shared = packed.groupBy("bucket").applyInArrow(_shared, "token long, node long")
+    nodes = shared.groupBy("node").agg(F.array_sort(F.collect_set("token")).alias("tokens")).withColumns({"n": F.lit(0).cast("long"), "s": F.lit(0).cast("long")})
+    nodes = ws.write(nodes)
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """(node, line_text) of the lines in ``wanted(line)``."""
@@ -297,7 +299,7 @@ def deduplicated(documents: DataFrame, num: int = 4, den: int = 5, id_col: str =
         sized = (F.least(n, m) * den >= F.greatest(n, m) * num) & (F.least(s, t) * (num + den) >= (n + m) * num)
         return (n == 0) | (m == 0) | sized  # 0: not counted yet
 
-    groups = grouped(entries, fits, lambda *_: F.lit(True), probe, ws, refine).select(F.col("id").alias("line"), "component")
+    groups = grouped(nodes, fits, lambda *_: F.lit(1), probe, ws, refine).select(F.col("id").alias("line"), "component")
     touched = known.join(groups, "line", "left").filter("times > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "line"))
     touched = ws.write(touched.select("line", "component", "first"))
     stays = touched.groupBy("component").agg(F.min("first").alias("stays"))

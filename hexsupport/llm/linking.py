@@ -17,15 +17,21 @@ from hexsupport.llm.components import components
 from hexsupport.llm.store import Workspace
 
 
-def grouped(entries: DataFrame, fits: Callable[..., Column], admits: Callable[..., Column], probe: Callable[[DataFrame], DataFrame], ws: Workspace, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """``(id, component)`` of the nodes that link with another, from ``entries(token, node, n, s)``.
+#: Nodes with at most so many keys carry them along, so that a pair is made once, at its first common key.
+CARRIED = 64
 
-    ``s`` counts a node's tokens, ``n`` its size. ``fits(n, s, m, t)``: nodes of
-    these sizes and counts can link. ``admits(merged, n, m)``: so can nodes with
-    ``merged`` common tokens. ``probe(pairs)``: the pairs (a, b) that link.
+
+def grouped(nodes: DataFrame, fits: Callable[..., Column], least: Callable[..., Column], probe: Callable[[DataFrame], DataFrame], ws: Workspace, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``(id, component)`` of the nodes that link with another, from ``nodes(node, n, s, tokens)``.
+
+    ``tokens`` are a node's keys in one order for all nodes; ``n`` and ``s`` are sizes.
+    ``fits(n, s, m, t)``: nodes of these sizes can link. ``least(n, m)``: the common
+    keys that they need. ``probe(pairs)``: the pairs (a, b) that link.
     ``refine(nodes)``: exact ``(node, n, s)`` for those of ``nodes`` that may still
     link with another of them; the others are left out of the last step.
     """
+    carried = F.when(F.size("tokens") <= CARRIED, F.col("tokens"))
+    entries = nodes.select("node", "n", "s", carried.alias("own"), F.size("tokens").alias("of_own"), F.posexplode("tokens").alias("place", "token"))
 
     def can(df: DataFrame) -> DataFrame:
         return df.filter(fits(F.col("n"), F.col("s"), F.col("m"), F.col("t")))
@@ -48,14 +54,19 @@ def grouped(entries: DataFrame, fits: Callable[..., Column], admits: Callable[..
     links = probe(pairs)
     groups = components(links, ws)
 
-    # then every pair of a token between different groups
+    # then every pair of a token between different groups, at the first token that both have:
+    # nodes that need r common tokens have it among all but the last r - 1 of each
     placed = entries.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
-    placed = ws.write(placed.join(mixed, "token").select("token", "node", "n", "s", "component"))
+    placed = ws.write(placed.join(mixed, "token").select("token", "node", "n", "s", "component", "own", "of_own", "place"))
     if refine is not None:
         placed = ws.write(placed.drop("n", "s").join(refine(placed.select("node").distinct()), "node"))
-    other = placed.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("component").alias("other"))
-    across = can(placed.withColumnRenamed("node", "a").join(other, "token").filter(F.col("component") < F.col("other")))
-    across = across.groupBy("a", "b").agg(F.count("*").alias("merged"), F.first("n").alias("n"), F.first("m").alias("m"))
-    across = across.filter(admits(F.col("merged"), F.col("n"), F.col("m"))).select("a", "b")
+    names = {"node": "b", "n": "m", "s": "t", "component": "other", "own": "its", "of_own": "of_its", "place": "at"}
+    other = placed.select("token", *(F.col(c).alias(x) for c, x in names.items()))
+    need, common = least(F.col("n"), F.col("m")), F.array_intersect("own", "its")
+    known = F.col("own").isNotNull() & F.col("its").isNotNull()
+    first = (F.col("place") <= F.col("of_own") - need) & (F.col("at") <= F.col("of_its") - need) & (F.size(common) >= need) & (F.get(common, F.lit(0)) == F.col("token"))
+    across = can(placed.withColumnRenamed("node", "a").join(other, "token").filter(F.col("component") < F.col("other"))).filter(F.when(known, first).otherwise(True))
+    across = across.groupBy("a", "b").agg(F.count("*").alias("merged"), F.bool_or(known).alias("known"), F.first("n").alias("n"), F.first("m").alias("m"))
+    across = across.filter(F.col("known") | (F.col("merged") >= need)).select("a", "b")
     return components(links.unionByName(probe(across)), ws)

@@ -191,7 +191,6 @@ def linked(documents: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_
     short = F.size("lists") - F.ceil(F.col("n") * num / den) + 1
     short = owned.join(nodes, "node").withColumn("short", short.cast("int")).filter("short > 0")
     short = ws.write(short.select("node", "doc", "n", F.slice("lists", 1, F.col("short")).getField("token").alias("tokens")))
-    entries = short.select("node", "n", F.size("tokens").alias("s"), F.explode("tokens").alias("token"))
 
     def least_merged(n: Column, m: Column) -> Column:
         """The common short lists that, with all that the long lists can add, just reach T."""
@@ -201,9 +200,6 @@ def linked(documents: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_
     def fits(n: Column, s: Column, m: Column, t: Column) -> Column:
         return (F.least(n, m) * den >= F.greatest(n, m) * num) & (F.least(s, t) >= least_merged(n, m))
 
-    def admits(merged: Column, n: Column, m: Column) -> Column:
-        return merged >= least_merged(n, m)
-
     def probed(pairs: DataFrame) -> DataFrame:
         pairs = ws.write(pairs.select("a", "b"))
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -220,7 +216,7 @@ def linked(documents: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return ws.write(both.mapInArrow(_probe(width, num, den), "a long, b long"))
 
-    groups = grouped(entries, fits, admits, probed, ws)
+    groups = grouped(short.select("node", "n", F.size("tokens").alias("s"), "tokens"), fits, least_merged, probed, ws)
     placed = digest.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("group", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
     least = placed.filter("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "group", "left")
