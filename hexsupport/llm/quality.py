@@ -15,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hexsupport.llm.store import Workspace
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Measures beyond the base ones.
@@ -125,8 +127,8 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: i
     return Model(good, table)
 
 
-def judged(df: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """``df`` with its measures, ``posterior``, ``base_failed`` and ``kept``.
+def judged(df: DataFrame, text_col: str = "text", least: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+    """``df`` (of its columns those in ``carry``, or all) with its measures, ``posterior``, ``base_failed`` and ``kept``.
 
     ``base_failed``: under 50 words, or over half of the words in repeated
     3-word windows. ``kept``: not ``base_failed``, and a posterior of ``least`` or
@@ -138,12 +140,14 @@ def judged(df: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFra
     df = df.select(*(F.col(f"`{c}`") for c in kept))
     votes = rules()
     voted = measures(df, text_col).withColumns({f"_vote_{name}": vote for name, vote in votes.items()})
+    if carry is not None:
+        voted = voted.drop(*(c for c in kept if c not in carry))
+    # measured once: both the fit and the result read this table
+    voted = Workspace(df.sparkSession, "quality").write(voted)
     columns = [f"_vote_{name}" for name in votes]
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     # the rules are only needed, and so only fitted, where the base decides nothing; at most 3 ** len(rules()) rows reach the driver
-    # (grouped by the outcome, not filtered: a filter would be pushed below the measures and compute them again)
-    counted = voted.groupBy(*columns, F.coalesce(failed, F.lit(True)).alias("failed")).count().collect()
-    patterns = [(tuple(r[:-2]), r[-1]) for r in counted if not r.failed]
+    patterns = [(tuple(r[:-1]), r[-1]) for r in voted.filter(~failed).groupBy(*columns).count().collect()]
     model = fit(sorted(patterns), list(votes))
     out = voted.withColumn("posterior", model.posterior()).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least)).drop(*columns)

@@ -44,7 +44,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
