@@ -14,9 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hexsupport.llm.components import Forest
 from hexsupport.llm.linking import grouped
 from hexsupport.llm.shingles import MULTIPLIERS, mix, text_slices
 from hexsupport.llm.store import Workspace, bound_batches, lean, picked, small_ids
@@ -28,6 +29,8 @@ BANDS, ROWS = 10, 4
 PLACES = BANDS * ROWS
 #: Bytes of text that are handled at once, and (key, line) entries that a task packs at once.
 SLICE, PACK = 1 << 19, 1_000_000
+#: Lines of one key that a task compares at once.
+BLOCK = 1024
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -58,19 +61,24 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(place, pa.int32()), pa.array(line), pa.array(check)], ["doc_id", "row", "place", "line", "check"])
 
 
-def _signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The signature of each span (line) of code points, as rows of ``PLACES`` numbers."""
+def _rolled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of the shingle at each code point (A-Z lower-cased); a span shorter than a shingle has one, at its start."""
     chars = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint64)
     n = len(chars)
     padded = np.concatenate([chars, np.zeros(WIDTH, np.uint64)])
     two = padded[:-1] * MULTIPLIERS[1] + padded[1:]
     four = two[:-2] * MULTIPLIERS[2] + two[2:]
     rolled = mix(four[:n] * MULTIPLIERS[3] + four[4 : n + 4])
-    count = np.maximum(ends - starts - WIDTH + 1, 1)
-    small = np.flatnonzero(ends - starts < WIDTH)  # the whole line as one shingle
-    for k in small.tolist():
+    for k in np.flatnonzero(ends - starts < WIDTH).tolist():
         own = chars[starts[k] : ends[k]]
         rolled[starts[k]] = mix((own * MULTIPLIERS[np.arange(len(own)) % 5] + np.arange(len(own), dtype=np.uint64)).cumsum(dtype=np.uint64)[-1:] * MULTIPLIERS[4] + np.uint64(len(own)))[0]
+    return rolled
+
+
+def _signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The signature of each span (line) of code points, as rows of ``PLACES`` numbers."""
+    rolled = _rolled(data, starts, ends)
+    count = np.maximum(ends - starts - WIDTH + 1, 1)
     begin = np.cumsum(count) - count
     h = rolled[np.repeat(starts - begin, count) + np.arange(int(count.sum()))]
     flat = np.full(len(starts) * PLACES, EMPTY, np.uint32)
@@ -166,10 +174,6 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"token": key[many], "node": line[many]})
 
 
-def hash_of(shingle: str) -> int:
-    return xxhash.xxh3_64_intdigest(shingle.encode("utf-8", "surrogatepass"))
-
-
 def shingles(line: str) -> set[str]:
     low = line.translate(_LOWER)
     return {low[i : i + WIDTH] for i in range(max(1, len(low) - WIDTH + 1))}
@@ -178,36 +182,55 @@ def shingles(line: str) -> set[str]:
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
 
-def _pack_shingles(buckets: int):
-    """Blobs (bucket, keys, lines) of the distinct shingles of lines, as hashes."""
+def _sets(texts: list[str]) -> list[np.ndarray]:
+    """Hashes of the distinct shingles of lines."""
+    data = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(x) for x in texts])
+    starts = ends - np.array([len(x) for x in texts])
+    rolled = _rolled(data, starts, ends)
+    return [np.unique(rolled[a : max(a + 1, b - WIDTH + 1)]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+def _settle(num: int, den: int):
+    """Links (a, b) that join components under a token, from blocks of its lines; a pair is tried at its first common token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
-        keys, lines, held = [], [], 0
         for batch in batches:
-            for node, line in zip(batch.column("node").to_pylist(), batch.column("line_text").to_pylist(), strict=True):
-                own = np.array([hash_of(x) for x in shingles(line)], np.uint64)
-                keys.append(own)
-                lines.append(np.full(len(own), node, np.int64))
-                held += len(own)
-                if held > PACK:
-                    yield _blobs(keys, lines, buckets)
-                    keys, lines, held = [], [], 0
-        if keys:
-            yield _blobs(keys, lines, buckets)
+            out: list[tuple[int, int]] = []
+            for token, left, right in zip(*(batch.column(c).to_pylist() for c in ("token", "members", "others")), strict=True):
+                own = left + (right or [])
+                kind = [m["component"] for m in own]
+                if len(set(kind)) < 2:
+                    continue
+                sets = _sets([m["line_text"] for m in own])
+                size = np.array([len(x) for x in sets])
+                _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+                starts = np.cumsum(size) - size
+                keys = np.array([m["own"] + [token] * (BANDS - len(m["own"])) for m in own])
+                mark = np.zeros(ids.max() + 1, np.int64)
+                group = np.unique(kind, return_inverse=True)[1]
+                common = np.bincount(group).argmax()
+                forest = Forest()
+                for x in np.flatnonzero(group != common).tolist():
+                    mine = ids[starts[x] : starts[x] + size[x]]
+                    mark[mine] = 1
+                    both = np.add.reduceat(mark[ids], starts)
+                    mark[mine] = 0
+                    near = (den * both >= num * (size + size[x] - both)) & (group != group[x])
+                    if right is not None:  # pairs within a block are tried with the block alone
+                        near[: len(left)] &= x >= len(left)
+                        near[len(left) :] &= x < len(left)
+                    for y in np.flatnonzero(near).tolist():
+                        shared = keys[y][np.isin(keys[y], keys[x])]
+                        if shared.min() == token and forest.find(kind[x]) != forest.find(kind[y]):
+                            forest.union(kind[x], kind[y])
+                            out.append((own[x]["node"], own[y]["node"]))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
     return run
 
 
-def _lone(table: pa.Table) -> pa.Table:
-    """(node, n, s) within a bucket: a line's shingles, and those of them that another line has too."""
-    key = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("keys")])
-    line = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("lines")])
-    _, place, length = np.unique(key, return_inverse=True, return_counts=True)
-    node, owner = np.unique(line, return_inverse=True)
-    return pa.table({"node": node, "n": np.bincount(owner), "s": np.bincount(owner, length[place] > 1).astype(np.int64)})
-
-
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -289,17 +312,19 @@ def deduplicated(documents: DataFrame, num: int = 4, den: int = 5, id_col: str =
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line_text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("line_text").alias("text_b")), "b")
         return ws.write(both.mapInArrow(_verify(num, den), "a long, b long"))
 
-    def refine(nodes: DataFrame) -> DataFrame:
-        """A shingle that no other of these lines has is in none of a line's intersections: too many, and it can link with none."""
-        packed = texts_of(nodes.select(F.col("node").alias("line"))).mapInArrow(_pack_shingles(buckets), "bucket int, keys binary, lines binary")
-        counted = packed.groupBy("bucket").applyInArrow(_lone, "node long, n long, s long").groupBy("node").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-        return counted.filter(F.col("s") * den >= F.col("n") * num)
-
-    def fits(n: Column, s: Column, m: Column, t: Column) -> Column:
-        sized = (F.least(n, m) * den >= F.greatest(n, m) * num) & (F.least(s, t) * (num + den) >= (n + m) * num)
-        return (n == 0) | (m == 0) | sized  # 0: not counted yet
-
-    groups = grouped(nodes, fits, lambda *_: F.lit(1), probe, ws, refine).select(F.col("id").alias("line"), "component")
+    def settle(placed: DataFrame) -> DataFrame:
+        texts = texts_of(placed.select(F.col("node").alias("line")).distinct())
+        sizes = placed.groupBy("token").agg(F.count("*").alias("size"))
+        dealt = placed.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
+        members = F.collect_list(F.struct("node", "component", "own", "line_text"))
+        blocks = ws.write(dealt.join(texts, "node").groupBy("token", "block").agg(members.alias("members")))
+        other = blocks.select("token", F.col("block").alias("block_b"), F.col("members").alias("others"))
+        alone = blocks.select("token", "members", F.lit(None).cast(blocks.schema["members"].dataType).alias("others"))
+        tasks = alone.unionByName(blocks.join(other, "token").filter("block < block_b").select("token", "members", "others"))
+        return ws.write(tasks.repartition(F.xxhash64("token", F.size("members"))).mapInArrow(_settle(num, den), "a long, b long"))
+
+    true = lambda *_: F.lit(True)
+    groups = grouped(nodes, true, lambda *_: F.lit(1), probe, ws, settle).select(F.col("id").alias("line"), "component")
     touched = known.join(groups, "line", "left").filter("times > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "line"))
     touched = ws.write(touched.select("line", "component", "first"))
     stays = touched.groupBy("component").agg(F.min("first").alias("stays"))
