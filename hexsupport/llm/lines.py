@@ -28,7 +28,7 @@ WIDTH = 8
 BANDS, ROWS = 10, 4
 PLACES = BANDS * ROWS
 #: Bytes of text that are handled at once, and (key, line) entries that a task packs at once.
-SLICE, PACK = 1 << 19, 1_000_000
+SLICE, PACK = 1 << 17, 1_000_000
 #: Lines of one key that a task compares at once.
 BLOCK = 1024
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -61,6 +61,13 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(place, pa.int32()), pa.array(line), pa.array(check)], ["doc_id", "row", "place", "line", "check"])
 
 
+_ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
+
+
+def hash_of(raw: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(raw)
+
+
 def _rolled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The hash of the shingle at each code point (A-Z lower-cased); a span shorter than a shingle has one, at its start."""
     chars = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint64)
@@ -76,14 +83,34 @@ def _rolled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 
 def _signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The signature of each span (line) of code points, as rows of ``PLACES`` numbers."""
-    rolled = _rolled(data, starts, ends)
-    count = np.maximum(ends - starts - WIDTH + 1, 1)
-    begin = np.cumsum(count) - count
-    h = rolled[np.repeat(starts - begin, count) + np.arange(int(count.sum()))]
+    """The signature of each span (line) of code points, as rows of ``PLACES`` numbers; spans follow each other with at most gaps between."""
+    chars = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint32, copy=False)
+    n = len(chars)
+    padded = np.concatenate([chars, np.zeros(WIDTH, np.uint32)])
+    two = padded[:-1] * _ODD[0] + padded[1:]
+    four = two[:-2] * _ODD[1] + two[2:]
+    h = four[:n] * _ODD[2] + four[4 : n + 4]
+    h ^= h >> np.uint32(16)
+    h *= _ODD[3]
+    h ^= h >> np.uint32(13)
+    h *= _ODD[4]
+    h ^= h >> np.uint32(16)
+    place = ((h >> np.uint32(16)) * np.uint32(PLACES)) >> np.uint32(16)
+    h *= _ODD[5]  # the place has used up the upper bits
+    for k in np.flatnonzero(ends - starts < WIDTH).tolist():
+        whole = hash_of(chars[starts[k] : ends[k]].tobytes())
+        h[starts[k]], place[starts[k]] = whole & 0xFFFFFFFF, (whole >> 32) % PLACES
+    # what begins in a line's last places reaches beyond it
+    tail = np.maximum(ends - WIDTH + 1, starts + 1)
+    mark = np.zeros(n + 1, np.int32)
+    np.add.at(mark, starts, 1)
+    np.add.at(mark, tail, -1)
+    h[np.cumsum(mark[:n]) <= 0] = EMPTY
+    first = np.zeros(n, np.int64)
+    first[starts] = 1
+    at = np.maximum(np.cumsum(first) - 1, 0) * PLACES + place
     flat = np.full(len(starts) * PLACES, EMPTY, np.uint32)
-    place = np.repeat(np.arange(len(starts)) * PLACES, count) + (((h >> np.uint64(32)) * np.uint64(PLACES)) >> np.uint64(32)).astype(np.int64)
-    np.minimum.at(flat, place, h.astype(np.uint32))
+    np.minimum.at(flat, at, h)
     out = flat.reshape(-1, PLACES)
     for _ in range(PLACES):  # an empty place takes over from its right neighbour
         gap = out == EMPTY
@@ -141,7 +168,9 @@ def _pack(buckets: int):
                     continue
                 to_char = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 chars = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-                own = _keys(_signatures(chars, to_char[starts[fresh]], to_char[ends[fresh]]))
+                full = np.flatnonzero(ends > starts)
+                signed = _signatures(chars, to_char[starts[full]], to_char[ends[full]])
+                own = _keys(signed[np.searchsorted(full, fresh)])
                 keys.append(own.ravel())
                 lines.append(np.repeat(line[fresh], BANDS))
                 held += own.size
@@ -236,9 +265,9 @@ def _verify(num: int, den: int):
         lean()
         for batch in batches:
             keep = []
-            for k, (x, y) in enumerate(zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)):
-                x, y = shingles(x), shingles(y)
-                both = len(x & y)
+            left, right = (_sets(batch.column(c).to_pylist()) if len(batch) else [] for c in ("text_a", "text_b"))
+            for k, (x, y) in enumerate(zip(left, right, strict=True)):
+                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
                 if den * both >= num * (len(x) + len(y) - both):
                     keep.append(k)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
@@ -287,6 +316,7 @@ def deduplicated(documents: DataFrame, num: int = 4, den: int = 5, id_col: str =
     kind = documents.select(f"`{id_col}`").schema[0].dataType.simpleString()
     every = ws.write(docs.mapInArrow(_occurrences, f"doc_id {kind}, row long, place int, line long, check long"))
     known = every.groupBy("line").agg(F.count("*").alias("times"), F.min("check").alias("x"), F.max("check").alias("y"), F.min(F.struct("doc_id", "row", "place")).alias("first")).filter("x = y")
+    known = ws.write(known.select("line", "times", "first"))
 
     buckets = max(128, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = docs.select("text").mapInArrow(_pack(buckets), "bucket int, keys binary, lines binary")
@@ -329,15 +359,16 @@ def deduplicated(documents: DataFrame, num: int = 4, den: int = 5, id_col: str =
     touched = ws.write(touched.select("line", "component", "first"))
     stays = touched.groupBy("component").agg(F.min("first").alias("stays"))
     fate = touched.join(stays, "component").select("line", "stays")
-    gone = every.join(fate, "line").filter(~F.struct("doc_id", "row", "place").eqNullSafe(F.col("stays")))
-    gone = gone.groupBy("row").agg(F.collect_set("place").alias("_gone"))
+    lost = F.when(F.col("stays").isNotNull() & ~F.struct("doc_id", "row", "place").eqNullSafe(F.col("stays")), F.col("place"))
+    gone = every.join(fate, "line", "left").groupBy("row").agg(F.collect_set(lost).alias("_gone"), F.size(F.collect_set("place")).alias("_lines"))
 
     kept = [F.col(f"`{c}`") for c in documents.columns if c not in ("n_lines", "n_removed")]
     rows = documents.select(*kept, F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("_row"))
     rows = rows.join(gone.withColumnRenamed("row", "_row"), "_row", "left")
     parts = F.split(f"`{text_col}`", "\n")
     places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone")
-    text = F.when(F.col("_gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(places, lambda i: F.get(parts, i)), "\n"))
-    lines = F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.size(F.filter(parts, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))))
+    removed = F.coalesce(F.size("_gone"), F.lit(0))
+    removed = F.when(removed < 0, 0).otherwise(removed)
+    text = F.when(removed == 0, F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(places, lambda i: F.get(parts, i)), "\n"))
     columns = [text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in documents.columns if c not in ("n_lines", "n_removed")]
-    return rows.select(*columns, lines.cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"))
+    return rows.select(*columns, F.coalesce("_lines", F.lit(0)).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
