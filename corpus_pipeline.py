@@ -34,8 +34,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def bpe_encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as token ids, with digests of the ids and of the bytes they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN).drop("text")
-    return bpe.digests(bpe.decode(ids, path).withColumn("ids", F.col("token_ids"))).withColumnRenamed("ids", "token_ids")
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN, bytes_col="decoded").drop("text")
+    return bpe.digests(ids.withColumn("ids", F.col("token_ids"))).withColumnRenamed("ids", "token_ids")
 
 
 STAGES = [

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hexsupport.llm.store import bound_batches
+from hexsupport.llm.store import bound_batches, lean
 
 #: Entries of a worker's caches of split pieces and of token pairs; they bound memory, not results.
-PIECES, PAIRS = 300_000, 300_000
+PIECES, PAIRS = 300_000, 200_000
 #: Largest rank file that is broadcast.
 MAX_RANK_FILE = 64 << 20
 
@@ -183,8 +183,8 @@ def _worker_vocabulary(key: str, sent, pattern: str) -> Vocabulary:
     return _OWN[key]
 
 
-def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """``df`` with ``ids_col`` (array of int): the ids of each whole text.
+def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", bytes_col: str | None = None) -> DataFrame:
+    """``df`` with ``ids_col`` (array of int): the ids of each whole text, and with ``bytes_col`` the bytes decoded from them.
 
     Each match of ``pattern`` is encoded by itself; there are no special tokens.
     Defined results: a null or empty text has no ids; a column of the name
@@ -192,11 +192,13 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
     """
     bound_batches(df.sparkSession)
     sent, key = df.sparkSession.sparkContext.broadcast(read_ranks(path)), f"{path}\n{pattern}"
-    rest = [c for c in df.columns if c != ids_col]
+    rest = [c for c in df.columns if c not in (ids_col, bytes_col)]
     at = rest.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         vocabulary = _worker_vocabulary(key, sent, pattern)
+        decoder = Decoder(vocabulary.ranks) if bytes_col else None
         for batch in batches:
             ids, ends = [], [0]
             for text in batch.column(at):
@@ -204,10 +206,42 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
                     ids += vocabulary.encode(text.as_py())
                 ends.append(len(ids))
             arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(ids, np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, arrays], [*batch.schema.names, ids_col])
+            more = [(ids_col, arrays)] + ([(bytes_col, decoder(arrays))] if decoder else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(x for _, x in more)], [*batch.schema.names, *(c for c, _ in more)])
 
     base = df.select(*(F.col(f"`{c}`") for c in rest))
-    return base.mapInArrow(run, T.StructType(list(base.schema.fields)).add(ids_col, T.ArrayType(T.IntegerType())))
+    schema = T.StructType(list(base.schema.fields)).add(ids_col, T.ArrayType(T.IntegerType()))
+    return base.mapInArrow(run, schema.add(bytes_col, "binary") if bytes_col else schema)
+
+
+class Decoder:
+    """Token bytes side by side, so that arrays of ids are decoded without a loop over ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.lengths = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.lengths[rank] = len(token)
+        self.flat = np.frombuffer(b"".join(token for token, _ in sorted(ranks.items(), key=lambda x: x[1])), np.uint8)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def __call__(self, column: pa.ListArray) -> pa.Array:
+        """The bytes of each array of ids; none for null."""
+        ids, lengths = column.flatten(), self.lengths
+        if ids.null_count:
+            raise ValueError("an array of ids holds a null")
+        ids = ids.to_numpy(zero_copy_only=False)
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(lengths) or not lengths[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(lengths[ids])])
+        data = np.empty(int(ends[-1]), np.uint8)
+        for a in range(0, len(ids), 1 << 17):
+            own = ids[a : a + (1 << 17)]
+            size = lengths[own]
+            base, until = int(ends[a]), int(ends[a + len(own)])
+            data[base:until] = self.flat[np.repeat(self.starts[own] - (ends[a : a + len(own)] - base), size) + np.arange(until - base)]
+        rows = ends[np.concatenate([[0], np.cumsum(counts)])]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(rows.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
@@ -216,38 +250,16 @@ def decode(df: DataFrame, path: str, ids_col: str = "token_ids", bytes_col: str
     Defined results: null or empty ids give no bytes; an id outside the
     vocabulary, or a null inside an array, is an error.
     """
-    ranks = read_ranks(path)
-    lengths = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
-    for token, rank in ranks.items():
-        lengths[rank] = len(token)
-    flat = b"".join(token for token, _ in sorted(ranks.items(), key=lambda x: x[1]))
-    sent = df.sparkSession.sparkContext.broadcast((lengths, flat))
+    bound_batches(df.sparkSession)
+    sent = df.sparkSession.sparkContext.broadcast(read_ranks(path))
     rest = [c for c in df.columns if c != bytes_col]
     at = rest.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, flat = sent.value
-        flat = np.frombuffer(flat, np.uint8)
-        starts = np.cumsum(lengths) - lengths
+        lean()
+        decoder = Decoder(sent.value)
         for batch in batches:
-            column = batch.column(at)
-            ids = column.flatten()
-            if ids.null_count:
-                raise ValueError("an array of ids holds a null")
-            ids = ids.to_numpy(zero_copy_only=False)
-            if len(ids) and (ids.min() < 0 or ids.max() >= len(lengths) or not lengths[ids].all()):
-                raise ValueError("an id is not in the vocabulary")
-            counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            ends = np.concatenate([[0], np.cumsum(lengths[ids])])
-            data = np.empty(int(ends[-1]), np.uint8)
-            for a in range(0, len(ids), 1 << 18):
-                own = ids[a : a + (1 << 18)]
-                size = lengths[own]
-                base, until = int(ends[a]), int(ends[a + len(own)])
-                data[base:until] = flat[np.repeat(starts[own] - (ends[a : a + len(own)] - base), size) + np.arange(until - base)]
-            rows = ends[np.concatenate([[0], np.cumsum(counts)])]
-            bytes_ = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(rows.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, bytes_], [*batch.schema.names, bytes_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoder(batch.column(at))], [*batch.schema.names, bytes_col])
 
     base = df.select(*(F.col(f"`{c}`") for c in rest))
     return base.mapInArrow(run, T.StructType(list(base.schema.fields)).add(bytes_col, "binary"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hexsupport.llm.shingles import mix, text_slices
-from hexsupport.llm.store import bound_batches
+from hexsupport.llm.store import bound_batches, lean
 
 #: Hash buckets of n-grams.
 BUCKETS = 1 << 15
@@ -60,6 +60,7 @@ def _grams(column: pa.Array) -> Iterator[tuple[int, int, list[tuple[np.ndarray,
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lean()
     counts: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
     shard = 0
@@ -120,6 +121,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text
     at = rest.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         langs, prior, matrix = sent.value
         for batch in batches:
             best, score = [UNKNOWN] * len(batch), np.zeros(len(batch))
