@@ -19,10 +19,9 @@ def ship(spark: SparkSession) -> None:
     paths = [Path(p).resolve() for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) if p]
     if ROOT in paths or any((p / "hexsupport").exists() for p in paths) or sc.applicationId in _DONE:
         return
-    with tempfile.TemporaryDirectory() as folder:
-        target = f"{folder}/hexsupport.zip"
-        with zipfile.ZipFile(target, "w") as out:
-            for source in sorted((ROOT / "hexsupport").rglob("*.py")):
-                out.write(source, source.relative_to(ROOT))
-        sc.addPyFile(target)
+    target = f"{tempfile.mkdtemp(prefix='hexsupport-')}/hexsupport.zip"  # served to executors as long as the session lives
+    with zipfile.ZipFile(target, "w") as out:
+        for source in sorted((ROOT / "hexsupport").rglob("*.py")):
+            out.write(source, source.relative_to(ROOT))
+    sc.addPyFile(target)
     _DONE.add(sc.applicationId)
