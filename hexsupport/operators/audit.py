@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hexsupport.functions import bits
 from hexsupport.operators.cells import SupportError, as_cells, checked
-from hexsupport.operators.compact import owned, ownership, relation
+from hexsupport.operators.compact import owned, relation
 from hexsupport.operators.rollup import RELATION
 
 
@@ -43,20 +43,25 @@ def audit(source: DataFrame, compacted: DataFrame, lookup: DataFrame | None = No
     else:
         res = source.agg(F.max(bits.resolution(bits.to_long(F.col(column))))).first()[0]
     cells, kept = as_cells(source, column), as_cells(compacted, column)
-    levels = sorted(r.r for r in kept.select(bits.resolution(F.col("cell")).alias("r")).distinct().collect())
-    if lookup is None:
-        lookup = ownership(source, compacted, column, validate) if validate else relation(owned(cells, kept, levels).filter("owner IS NOT NULL"))
-    else:
+    own = bits.resolution(F.col("cell"))
+    sizes = kept.agg(F.count("*").alias("n"), F.min(own).alias("low"), F.max(own).alias("high"), F.collect_set(own).alias("levels")).first()
+    levels = sorted(sizes.levels)
+    given = lookup is not None
+    if given:
         lost = [c for c in RELATION if c not in lookup.columns]
         if lost:
             raise SupportError(f"`lookup` lacks columns: {lost}")
+    pairs = owned(cells, kept, levels)
+    found = pairs.agg(F.count("*").alias("source_cell_n"), F.count_if(F.col("owner").isNull()).alias("missing")).first()
+    if not given:
+        if found.missing:
+            raise SupportError(f"Source ownership is incomplete: {found.missing} cells without an owner")
+        lookup = relation(pairs)
 
-    found = cells.join(owned(cells, kept, levels), "cell").agg(F.count("*").alias("source_cell_n"), F.count_if(F.col("owner").isNull()).alias("missing")).first()
     # nested cells cover the same descendants: only those without an ancestor in the set cover anything new
     nested = overlaps(kept, levels)
     tops = kept.join(nested.select("cell").distinct(), "cell", "left_anti")
     covered = tops.agg(F.sum(bits.child_count(F.col("cell"), F.lit(res) - bits.resolution(F.col("cell")))).alias("n")).first().n
-    sizes = kept.agg(F.count("*").alias("n"), F.min(bits.resolution(F.col("cell"))).alias("low"), F.max(bits.resolution(F.col("cell"))).alias("high")).first()
     overlap = nested.count()
 
     text = lookup.select(*RELATION)
