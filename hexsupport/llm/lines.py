@@ -30,7 +30,7 @@ PLACES = BANDS * ROWS
 #: Bytes of text that are handled at once, and (key, line) entries that a task packs at once.
 SLICE, PACK = 1 << 17, 1_000_000
 #: Lines of one key that a task compares at once.
-BLOCK = 1024
+BLOCK = 512
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -162,7 +162,7 @@ def _pack(buckets: int):
                     if one not in seen and _has_content(text):
                         seen.add(one)
                         fresh.append(k)
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 if not fresh:
                     continue
@@ -227,7 +227,8 @@ def _settle(num: int, den: int):
         lean()
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for token, left, right in zip(*(batch.column(c).to_pylist() for c in ("token", "members", "others")), strict=True):
+            for row in range(len(batch)):  # one at a time: a row holds two blocks of lines
+                token, left, right = (batch.column(c)[row].as_py() for c in ("token", "members", "others"))
                 own = left + (right or [])
                 kind = [m["component"] for m in own]
                 if len(set(kind)) < 2:

@@ -25,13 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` texts, so that long texts fit a small Python worker.
+    """Arrow batches of at most ``rows`` texts and 16 MB, so that long texts fit a small Python worker.
 
-    Spark's own default of 10,000 is lowered; a session that chose a value keeps it.
+    Spark's own defaults (10,000 and 64 MB) are lowered; a session that chose a value keeps it.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, "16m")
 
 
 def lean() -> None:
