@@ -1,10 +1,12 @@
-"""Embedding near-dedup by sorted projection passes.
-
-Each pass orders the vectors of a label by their concatenated random sign
-hashes and compares each with its neighbours in a window. Pairs whose cosine
-reaches the threshold are united across all passes. A window is bounded, so a
-dense group yields a connected chain rather than all its pairs; the exact count
-of links follows inside each component, block by block, without emitting pairs.
+"""Embedding near-dedup by exact blocked search.
+
+The vectors of a label are dealt into blocks by hash, and every pair of blocks
+meets in one row, so no link is lost however large or dense a label is. Inside a
+block vectors are ordered into slices of near ones; a pair of slices whose angle
+bounds rule out a link is skipped. The others are multiplied in single precision,
+and again in double precision where a cosine is too near the threshold to tell.
+A pair of blocks gives counts and a union-find forest, never its pairs. The cost
+grows with the square of a label's size as far as the bounds do not rule out.
 Equal vectors collapse first, so copies cost nothing.
 """
 
@@ -16,18 +18,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexsupport.llm.components import Forest, components
+from hexsupport.llm.components import components
 from hexsupport.llm.store import Workspace, bound_batches
 
-#: Sorted passes, sign hashes in a key, and neighbours on either side that a vector is compared with.
-PASSES, BITS, WINDOW = 16, 63, 128
-#: Vectors in a sorted run, and in a block of a component.
-RUN, BLOCK = 20_000, 256
-_ROW = "pass int, label string, node long, vector binary"
+#: Vectors in a block at least, bytes of vectors in a block at most, and vectors in a slice.
+BLOCK, BLOCK_BYTES, SLICE = 256, 1 << 22, 128
+#: Blocks that a label is dealt into until these are of BLOCK_BYTES.
+BLOCKS = 8
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,130 +54,104 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(label, pa.string()), pa.array(node, pa.int64()), pa.array(vector, pa.binary())], ["vec_id", "label", "node", "vector"])
 
 
-def _unpack(column: pa.Array) -> np.ndarray:
-    """Vectors of one length, as rows."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-
-
-def _project(passes: int):
-    """(pass, label, key, node, vector) of each vector and pass."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            sizes = np.array([len(x) // 8 for x in batch.column("vector").to_pylist()])
-            for size in np.unique(sizes).tolist():
-                some = batch.take(pa.array(np.flatnonzero(sizes == size)))
-                vectors = _unpack(some.column("vector"))
-                for k in range(passes):
-                    if (k, size) not in planes:
-                        planes[k, size] = np.random.default_rng([k, size]).standard_normal((size, BITS))
-                    key = ((vectors @ planes[k, size]) > 0) @ (np.int64(1) << np.arange(BITS, dtype=np.int64)[::-1])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), some.column("label"), pa.array(key), some.column("node"), some.column("vector")], ["pass", "label", "key", "node", "vector"])
-
-    return run
-
-
-def _compare(forest: Forest, left: pa.Table, right: pa.Table, reach: float, window: int, same: bool) -> None:
-    """Unites rows of ``right`` with near rows that precede them in ``left`` (or in ``right`` if ``same``) by up to ``window`` places."""
-    names_l = list(zip(left.column("pass").to_pylist(), left.column("label").to_pylist(), strict=True))
-    names_r = list(zip(right.column("pass").to_pylist(), right.column("label").to_pylist(), strict=True))
-    nodes_l, nodes_r = left.column("node").to_pylist(), right.column("node").to_pylist()
-    for name in dict.fromkeys(names_r):
-        a = [i for i, x in enumerate(names_l) if x == name]
-        b = [i for i, x in enumerate(names_r) if x == name]
-        if not a:
+def _order(x: np.ndarray) -> np.ndarray:
+    """An order of the rows of ``x`` in which near ones stand together: halved along the line between far ones."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= SLICE:
+            out.append(own)
             continue
-        x, y = _unpack(left.column("vector").combine_chunks().take(pa.array(a))), _unpack(right.column("vector").combine_chunks().take(pa.array(b)))
-        for k in range(0, len(b), 256):
-            near = np.argwhere(y[k : k + 256] @ x.T >= reach)
-            apart = (near[:, 0] + k - near[:, 1]) if same else (near[:, 0] + k + len(a) - near[:, 1])
-            for i, j in near[(apart > 0) & (apart <= window)].tolist():
-                forest.union(nodes_l[a[j]], nodes_r[b[i + k]])
-
-
-def _edges(forest: Forest) -> tuple[list[int], list[int]]:
-    pairs = [(x, forest.find(x)) for x in forest.parent]
-    return [x for x, r in pairs if x != r], [r for x, r in pairs if x != r]
-
-
-_SWEPT = "part int, head boolean, a long, b long, " + _ROW
-_SWEPT_ARROW = pa.schema([("part", pa.int32()), ("head", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("pass", pa.int32()), ("label", pa.string()), ("node", pa.int64()), ("vector", pa.binary())])
-
-
-def _sweep(reach: float, window: int):
-    """Over a sorted run: links as (a, b); its first and last rows go on to meet those of the runs beside it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, forest, tail, head = TaskContext.get().partitionId(), Forest(), None, None
-        columns = ["pass", "label", "node", "vector"]
-        for batch in batches:
-            now = pa.Table.from_batches([batch.select(columns)])
-            head = now if head is None else pa.concat_tables([head, now]) if len(head) < window else head
-            _compare(forest, now, now, reach, window, True)
-            if tail is not None:
-                _compare(forest, tail, now, reach, window, False)
-            tail = now if tail is None else pa.concat_tables([tail, now])
-            tail = tail.slice(max(0, len(tail) - window)).combine_chunks()
-        a, b = _edges(forest)
-        yield pa.RecordBatch.from_pydict({"part": [part] * len(a), "head": [None] * len(a), "a": a, "b": b, "pass": [None] * len(a), "label": [None] * len(a), "node": [None] * len(a), "vector": [None] * len(a)}, _SWEPT_ARROW)
-        if head is not None:
-            for own, at, first in ((head.slice(0, window), part, True), (tail, part + 1, False)):
-                none = [None] * len(own)
-                yield from pa.table({"part": [at] * len(own), "head": [first] * len(own), "a": none, "b": none, **{c: own.column(c) for c in columns}}, _SWEPT_ARROW).to_batches()
-
-    return run
-
-
-def _meet(reach: float, window: int):
-    """Links between the last rows of one run and the first of the next."""
-
-    def run(table: pa.Table) -> pa.Table:
-        forest = Forest()
-        left, right = table.filter(pa.compute.invert(table.column("head"))), table.filter(table.column("head"))
-        if len(left) and len(right):
-            _compare(forest, left.combine_chunks(), right.combine_chunks(), reach, window, False)
-        a, b = _edges(forest)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return run
+        some = x[own]
+        a = some[(some @ some.mean(0)).argmin()]
+        b = some[(some @ a).argmin()]
+        # whole slices in the first half, so that slices never straddle a cut
+        half = (len(own) // SLICE + 1) // 2 * SLICE
+        near = own[np.argsort(some @ (b - a), kind="stable")]
+        todo += [near[half:], near[:half]]
+    return np.concatenate(out)
 
 
 def _block(table: pa.Table) -> pa.Table:
-    """A block of a component as one row."""
-    vectors = table.column("vector").combine_chunks()
+    """A block of a label as one row."""
+    size = len(table.column("vector")[0].as_py()) // 8
+    x = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(-1, size)
+    order = _order(x)
     return pa.table({
-        "component": table.column("component")[:1], "block": table.column("block")[:1], "label": table.column("label")[:1],
-        "nodes": pa.array([table.column("node").to_numpy().tobytes()], pa.binary()),
-        "times": pa.array([table.column("times").to_numpy().tobytes()], pa.binary()),
-        "vectors": pa.array([b"".join(vectors.to_pylist())], pa.binary()),
+        "label": table.column("label")[:1], "block": table.column("block")[:1], "blocks": table.column("blocks")[:1], "size": pa.array([size], pa.int32()),
+        "nodes": pa.array([table.column("node").to_numpy()[order].tobytes()], pa.binary()),
+        "times": pa.array([table.column("times").to_numpy()[order].tobytes()], pa.binary()),
+        "vectors": pa.array([x[order].tobytes()], pa.binary()),
     })
 
 
-def _count(reach: float):
-    """(node, links): the vectors of the other block that each vector of a pair of blocks links with."""
+def _bounds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each slice a centre of unit length, and the largest angle from it."""
+    centres, spread = [], []
+    for k in range(0, len(x), SLICE):
+        own = x[k : k + SLICE]
+        centre = own.mean(0)
+        norm = np.sqrt((centre * centre).sum())
+        centre = centre / norm if norm > 1e-9 else own[0]
+        centres.append(centre)
+        spread.append(np.arccos(np.clip(own @ centre, -1, 1)).max())
+    return np.array(centres), np.array(spread)
+
+
+def _meet(x: np.ndarray, y: np.ndarray, reach: float, same: bool):
+    """(rows of ``x``, rows of ``y``, whether they link) of all slices that bounds do not rule out."""
+    (cx, rx), (cy, ry) = _bounds(x), _bounds(y)
+    widest = np.arccos(np.clip(reach, -1, 1)) + 1e-6
+    may = np.arccos(np.clip(cx @ cy.T, -1, 1)) <= widest + rx[:, None] + ry[None, :]
+    single_x, single_y, slack = x.astype(np.float32), y.astype(np.float32), 1e-6 * (x.shape[1] + 8)
+    for k, row in enumerate(may):
+        i = np.arange(k * SLICE, min(len(x), (k + 1) * SLICE))
+        j = np.flatnonzero(np.repeat(row, SLICE)[: len(y)])
+        if not len(j):
+            continue
+        close = single_x[i] @ (single_y if len(j) == len(y) else single_y[j]).T
+        near = close >= reach - slack
+        if same:
+            near &= i[:, None] != j[None, :]
+        if not near.any():
+            continue
+        if (near & (close < reach + slack)).any():
+            near &= x[i] @ y[j].T >= reach
+        yield i, j, near
+
+
+def _links(reach: float):
+    """(node, other, links): of each vector of a pair of blocks how many it links with, and the least vector it is joined to by these links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, links = [], []
             for row in batch.to_pylist():
-                na, nb = np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["nodes_b"], np.int64)
-                x, y = np.frombuffer(row["vectors"], np.float64).reshape(len(na), -1), np.frombuffer(row["vectors_b"], np.float64).reshape(len(nb), -1)
-                near = x @ y.T >= reach
-                if row["block"] == row["block_b"]:
-                    np.fill_diagonal(near, False)
-                else:
-                    nodes.append(nb)
-                    links.append(near.T @ np.frombuffer(row["times"], np.int64))
-                nodes.append(na)
-                links.append(near @ np.frombuffer(row["times_b"], np.int64))
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(links).astype(np.int64))], ["node", "links"])
+                same = row["block"] == row["block_b"]
+                nodes, times = np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["times"], np.int64)
+                x = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["size"])
+                y, shift = x, 0
+                if not same:
+                    y, shift = np.frombuffer(row["vectors_b"], np.float64).reshape(-1, row["size"]), len(nodes)
+                    nodes, times = np.concatenate([nodes, np.frombuffer(row["nodes_b"], np.int64)]), np.concatenate([times, np.frombuffer(row["times_b"], np.int64)])
+                root, links = np.arange(len(nodes)), np.zeros(len(nodes), np.int64)
+                for i, j, near in _meet(x, y, reach, same):
+                    j = j + shift
+                    links[i] += near @ times[j]
+                    if not same:
+                        links[j] += near.T @ times[i]
+                    for k in np.flatnonzero(near.any(1)).tolist():
+                        joined = root[j[near[k]]]
+                        if (joined != root[i[k]]).any():
+                            joined = np.unique(np.append(joined, root[i[k]]))
+                            root[np.isin(root, joined)] = joined[0]
+                has = np.flatnonzero(links)
+                if len(has):
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[has]), pa.array(nodes[root[has]]), pa.array(links[has])], ["node", "other", "links"])
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, reach: float = 0.93, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_duplicates(vectors: DataFrame, reach: float = 0.93) -> DataFrame:
     """One row per row of ``vectors(vec_id, embedding, label)``: ``vec_id, n_links, component_id, kept``.
 
     Vectors of one label and length link when their cosine in double precision
@@ -196,23 +170,19 @@ def near_duplicates(vectors: DataFrame, reach: float = 0.93, passes: int = PASSE
     every = placed.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("times"), F.min("vec_id").alias("first"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     every = ws.write(every)
 
-    runs = max(1, every.count() * passes // RUN)
-    order = ["pass", "label", "key", "node"]
-    keyed = every.select("label", "node", "vector").mapInArrow(_project(passes), "pass int, label string, key long, node long, vector binary")
-    swept = ws.write(keyed.repartitionByRange(runs, *order).sortWithinPartitions(*order).mapInArrow(_sweep(reach, window), _SWEPT))
-    borders = swept.filter("head IS NOT NULL").groupBy("part").applyInArrow(_meet(reach, window), "a long, b long")
-    links = swept.filter("head IS NULL").select("a", "b").unionByName(borders)
-    groups = ws.write(components(links, ws))
-    ws.drop(swept)
-
-    member = every.join(groups.withColumnRenamed("id", "node"), "node")
-    sizes = member.groupBy("component").agg(F.count("*").alias("size"))
-    member = member.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
-    blocks = member.select("component", "block", "label", "node", "times", "vector").groupBy("component", "block").applyInArrow(_block, "component long, block long, label string, nodes binary, times binary, vectors binary")
-    blocks = ws.write(blocks)
-    other = blocks.select("component", *(F.col(c).alias(f"{c}_b") for c in ("block", "nodes", "times", "vectors")))
-    met = blocks.join(other, "component").filter("block <= block_b").drop("label", "component").mapInArrow(_count(reach), "node long, links long")
-    counts = met.groupBy("node").agg(F.sum("links").alias("links"))
+    sizes = every.groupBy("label").agg(F.count("*").alias("n"), F.max(F.length("vector")).alias("bytes")).filter("n > 1")
+    most = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / F.col("bytes")))
+    wanted = F.least(most, F.greatest(F.lit(BLOCK), F.ceil(F.col("n") / BLOCKS)))
+    sizes = sizes.select("label", F.ceil(F.col("n") / wanted).cast("int").alias("blocks"))
+    dealt = every.join(sizes, "label").select("label", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks", "node", "times", "vector")
+    blocks = ws.write(dealt.groupBy("label", "block").applyInArrow(_block, "label string, block int, blocks int, size int, nodes binary, times binary, vectors binary"))
+    data = ("nodes", "times", "vectors")
+    left = blocks.withColumn("block_b", F.explode(F.sequence("block", F.col("blocks") - 1)))
+    right = blocks.select("label", F.col("block").alias("block_b"), *(F.col(c).alias(f"{c}_b") for c in data)).withColumn("block", F.explode(F.sequence(F.lit(0), "block_b")))
+    met = left.join(right, ["label", "block", "block_b"]).select("block", "block_b", "size", *data, *(f"{c}_b" for c in data))
+    links = ws.write(met.mapInArrow(_links(reach), "node long, other long, links long"))
+    groups = ws.write(components(links.select(F.col("node").alias("a"), F.col("other").alias("b")), ws))
+    counts = links.groupBy("node").agg(F.sum("links").alias("links"))
 
     nodes = every.select("node", "times", "first").join(groups.withColumnRenamed("id", "node"), "node", "left").join(counts, "node", "left")
     nodes = ws.write(nodes.withColumn("component", F.coalesce("component", "node")))

@@ -116,6 +116,24 @@ def test_vectors_equal_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_no_link_is_lost_in_a_dense_label(spark):
+    """A cloud of mutual cosine 0.8 with pairs of cosine 0.95 in it, of more vectors than any window of sorted keys covers."""
+    rng = np.random.default_rng(5)
+    n, pairs, size = 20_000, 500, 64
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(np.sqrt(0.8) * unit(rng.standard_normal(size)) + np.sqrt(0.2) * unit(rng.standard_normal((n, size))))
+    aside = rng.standard_normal((pairs, size))
+    aside = unit(aside - (aside * x[:pairs]).sum(1)[:, None] * x[:pairs])
+    x[n - pairs :] = 0.95 * x[:pairs] + np.sqrt(1 - 0.95**2) * aside
+    links = [(i + k, j) for k in range(0, n, 1000) for i, j in np.argwhere(x[k : k + 1000] @ x.T >= 0.93).tolist() if i + k != j]
+    assert len(links) >= 2 * pairs
+    want, count = _roots(n, links), collections.Counter(i for i, _ in links)
+    df = spark.createDataFrame([(i, v, "hot") for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label string")
+    out = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
+    assert [out[i].component_id for i in range(n)] == want
+    assert [out[i].n_links for i in range(n)] == [count[i] for i in range(n)]
+
+
 def _deduplicated(texts: dict) -> dict:
     first, order = {}, []
     for i in sorted(texts):
