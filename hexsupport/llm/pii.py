@@ -1,10 +1,10 @@
 """Personal data: base patterns, and further spans chosen by boosted trees, in built-in functions only.
 
-Generators with high recall propose spans, which may overlap: number runs as
-phone and as card numbers, and spelled-out addresses. Format and context
-features of each go through gradient-boosted trees, which are compiled into
-column expressions; a span is chosen above its kind's threshold, calibrated on
-held-out examples. The trees are trained on the driver on at most
+Generators with high recall propose spans, which may overlap: every part of a
+number run that begins and ends with a group of digits, as phone and as card
+number, and spelled-out addresses. Format and context features of each go
+through gradient-boosted trees, which are compiled into column expressions; a
+span is chosen above its kind's threshold, calibrated on held-out examples. The trees are trained on the driver on at most
 ``EXAMPLES`` labelled examples that ``examples`` writes, with the same features.
 """
 
@@ -29,8 +29,10 @@ BASE = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 GENERATORS = {
     "spelled": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}(?: ?[(\[]at[)\]] ?| at )[a-z0-9-]{1,63}(?:(?: ?[(\[]dot[)\]] ?| dot |\.)[a-z0-9-]{1,63}){1,4}+(?![a-z0-9])",
-    "number": r"(?<![A-Za-z0-9+.,-])[(]?[0-9][0-9().\x20/-]{5,40}[0-9](?![A-Za-z0-9])",
+    "number": r"[(]?+[0-9](?:[().\x20/-]*+[0-9]){6,}+",
 }
+#: Characters of a proposed number at most, and its digits.
+LONGEST, DIGITS = 43, (7, 19)
 _OPEN, _CLOSE = "﷐", "﷑"
 #: Context words, by what they speak for.
 CONTEXT = {
@@ -46,6 +48,7 @@ ROUNDS, SHRINK, BINS = 40, 0.3, 16
 PRECISION = 0.98
 
 _SPAN = "array<struct<s:int,e:int,m:string>>"
+_RANKED = "array<struct<rank:int,kind:string,s:int,e:int>>"
 
 
 def found(text: str, pattern: str, likely: Column) -> Column:
@@ -113,7 +116,7 @@ def with_base(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 FEATURES = (
     "card", "email", "digits", "length", "spaces", "dashes", "dots", "parens", "slashes", "luhn", "groups", "first_group", "last_group", "dated", "marked",
-    *CONTEXT, "unit_after",
+    *CONTEXT, "unit_after", "joined_before", "joined_after",
 )
 
 
@@ -128,6 +131,9 @@ def _features(kind: str, m: Column, before: Column, after: Column) -> Column:
         "first_group": F.coalesce(F.length(F.get(parts, F.lit(0))), F.lit(0)), "last_group": F.coalesce(F.length(F.get(parts, F.size(parts) - 1)), F.lit(0)),
         "dated": m.rlike(r"(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2}").cast("int"), "marked": m.rlike(r"(?i)[(\[](?:at|dot)[)\]]").cast("int"),
         **{name: before.rlike(pattern).cast("int") for name, pattern in CONTEXT.items()}, "unit_after": after.rlike(r"^\s?(?:%|usd|eur|kg|km|px|ms|€|\$|x\b)").cast("int"),
+        # 1: digits beside it, 2: digits joined to it, 3: a word joined to it
+        "joined_before": F.when(before.rlike(r"[0-9][-./,:]$"), 2).when(before.rlike(r"[0-9][().\x20/-]{1,3}$"), 1).when(before.rlike(r"[A-Za-z][-./,:_]$"), 3).otherwise(0),
+        "joined_after": F.when(after.rlike(r"^[-./,:][0-9]"), 2).when(after.rlike(r"^[().\x20/-]{1,3}[0-9]"), 1).when(after.rlike(r"^[-./,:_][A-Za-z]"), 3).otherwise(0),
     }
     return F.struct(*(values[name].cast("int").alias(name) for name in FEATURES))
 
@@ -135,12 +141,41 @@ def _features(kind: str, m: Column, before: Column, after: Column) -> Column:
 _CANDIDATE = f"array<struct<kind:string,s:int,e:int,f:struct<{','.join(f'{n}:int' for n in FEATURES)}>>>"
 
 
+def _let(value: Column, f) -> Column:
+    """``f(value)``, with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _parts(run: Column) -> Column:
+    """The parts of a number run that begin and end with a whole group of digits and have ``DIGITS``, as (s, e, m)."""
+    before, after = F.substr("_text", F.greatest(run["s"], F.lit(1)), F.least(run["s"], F.lit(1))), F.substr("_text", run["e"] + 1, F.lit(1))
+
+    def of(chars: Column) -> Column:
+        n = F.length(run["m"])
+        digit = lambda i: F.coalesce(F.get(chars, i).between("0", "9"), F.lit(False))
+        # a group that goes on in letters, or follows a plus sign, is not whole
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: digit(i) & ~digit(i - 1))
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: digit(i - 1) & ~digit(i))
+        return _let(F.struct(starts.alias("starts"), ends.alias("ends"), before.rlike("[A-Za-z0-9+]").alias("torn_before"), after.rlike("[A-Za-z0-9]").alias("torn_after"), n.alias("n")), lambda g: pairs(chars, g))
+
+    def pairs(chars: Column, g: Column) -> Column:
+        # each group has a digit at least
+        later = lambda k: F.sequence(k, F.least(k + DIGITS[1] - 1, F.size(g["ends"]) - 1))
+        first = lambda a: F.when(F.coalesce(F.get(chars, a - 1) == "(", F.lit(False)), a - 1).otherwise(a)
+        both = F.flatten(F.transform(g["starts"], lambda a, k: F.transform(later(k), lambda j: F.struct(first(a).alias("a"), F.get(g["ends"], j).alias("b")))))
+        both = F.filter(both, lambda x: (x["b"] - x["a"] <= LONGEST) & ((x["a"] > 0) | ~g["torn_before"]) & ((x["b"] < g["n"]) | ~g["torn_after"]))
+        return F.transform(both, lambda x: F.struct((run["s"] + x["a"]).alias("s"), (run["s"] + x["b"]).alias("e"), F.substr(run["m"], x["a"] + 1, x["b"] - x["a"]).alias("m")))
+
+    return F.filter(_let(F.split(run["m"], ""), of), lambda x: F.length(digits(x["m"])).between(*DIGITS))
+
+
 def with_candidates(df: DataFrame) -> DataFrame:
     """``df`` (with ``_text``) and ``_candidates``: every proposed span of every kind, with its features."""
     digit = F.col("_text").rlike("[0-9]")
     likely = {"spelled": F.col("_text").rlike(r"(?i)[(\[ ]at[)\] ]") & (F.col("_text").rlike(r"(?i)[(\[ ]dot[)\] ]| at [a-z0-9-]++\.")), "number": digit}
     for name, pattern in GENERATORS.items():
         df = df.withColumn(f"_{name}", found("_text", pattern, likely[name]))
+    df = df.withColumn("_number", F.flatten(F.transform("_number", _parts)).cast(_SPAN))
 
     def proposed(x: Column, kind: str) -> Column:
         before = F.substr("_text", F.greatest(x["s"] - 29, F.lit(1)), F.least(x["s"], F.lit(30)))
@@ -156,8 +191,8 @@ def with_candidates(df: DataFrame) -> DataFrame:
     return df.withColumn("_candidates", F.concat(*(e.cast(_CANDIDATE) for e in each))).drop(*(f"_{name}" for name in GENERATORS))
 
 
-def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, int]]:
-    """Invented one-span texts: (text, whether the span is personal)."""
+def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Invented texts: (text, the places of its personal spans)."""
     rng = random.Random(seed)
     d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rng.choice("aeioulrstnmdcp") for _ in range(rng.randint(2, 9)))
@@ -175,15 +210,25 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, int]]:
     prose = lambda: f"{word()} at {word()}{rng.choice(('.', ' dot '))}{word()}"
     call, pay, write = ("call ", "tel: ", "phone ", "fax: ", "mobile: ", "dial "), ("card ", "visa ", "credit card: ", "amex "), ("mail ", "contact ", "write to ", "reach me: ")
     count = ("order ", "invoice ", "id ", "version ", "isbn ", "pages ", "ref ", "total $", "serial ", "date ", "model ")
+    ip = lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4))
+    beside, joint = (" ", " ", " / ", ", ", "; ", " - "), (".", ",", "-", ":")
     out = []
     for _ in range(n):
-        kind = rng.randrange(11)
+        kind = rng.randrange(18)
         lead = " ".join(word() for _ in range(rng.randint(0, 4))) + " "
-        text, good = (
-            (rng.choice(call) + phone(), 1), (rng.choice(pay) + card(), 1), (rng.choice(write) + mail(), 1), (f"({d(3)}) {d(3)}-{d(4)}", 1), (rng.choice(write) + mail(), 1),
-            (rng.choice(count) + plain(), 0), (plain(), 0), (rng.choice(count) + date(), 0), (date(), 0), (prose(), 0), (plain() + rng.choice((" kg", "%", " ms", " eur")), 0),
+        parts = (
+            [rng.choice(call), (phone(),)], [rng.choice(pay), (card(),)], [rng.choice(write), (mail(),)], [(f"({d(3)}) {d(3)}-{d(4)}",)], [rng.choice(write), (mail(),)],
+            [rng.choice(count), plain()], [plain()], [rng.choice(count), date()], [date()], [prose()], [plain(), rng.choice((" kg", "%", " ms", " eur"))],
+            [rng.choice(call), (phone(),), *(x for _ in range(rng.randint(1, 4)) for x in (rng.choice(beside), (phone(),)))], [date(), " ", (phone(),)], [rng.choice(("", *call)), (f"({d(3)}) {d(3)}-{d(4)}",), " ", ip()],
+            [rng.choice(call).rstrip(": "), rng.choice(joint), (phone(),)], [word(), rng.choice(joint), plain()], [rng.choice(pay), (card(),), rng.choice(beside), (phone(),)], [plain(), " ", plain()],
         )[kind]
-        out.append((f"{lead}{text}{'' if kind == 10 else ' ' + word()}", good))
+        text, spans = lead, []
+        for part in parts:
+            own = part if isinstance(part, str) else part[0]
+            if own is not part:
+                spans.append((len(text), len(text) + len(own)))
+            text += own
+        out.append((f"{text}{'' if kind == 10 else ' ' + word()}", spans))
     return out
 
 
@@ -233,12 +278,19 @@ def boost(x: np.ndarray, y: np.ndarray, names: tuple[str, ...], rounds: int = RO
 
 def train(spark: SparkSession, n: int = EXAMPLES, precision: float = PRECISION) -> Trees:
     """Trees of ``n`` examples: three quarters train them, the rest calibrates each kind's threshold."""
-    rows = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(examples(n))], "i int, text string, y int")
-    rows = with_candidates(rows.withColumn("_text", F.col("text"))).select("i", "y", F.explode("_candidates").alias("c")).select("i", "y", "c.kind", "c.f.*").collect()
-    rows = sorted(rows, key=lambda r: (r.i, r.kind))
+    written = examples(n)
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(written)], "i int, text string")
+    rows = with_candidates(rows.withColumn("_text", F.col("text"))).select("i", F.explode("_candidates").alias("c")).select("i", "c.kind", "c.s", "c.e", "c.f.*").collect()
+    rows = sorted(rows, key=lambda r: (r.i, r.kind, r.s, r.e))
     x = np.array([[r[name] for name in FEATURES] for r in rows], np.int64)
-    # of a good example only the kind that its digits allow is good
-    y = np.array([float(r.y and (r.kind == "email" or (r.kind == "card") == (r.luhn == 1 and r.digits >= 13))) for r in rows])
+
+    def good(r) -> bool:
+        # an address that meets a personal span; a number that is just that span, as the kind that its digits allow
+        if r.kind == "email":
+            return any(a < r.e and r.s < b for a, b in written[r.i][1])
+        return (r.s, r.e) in written[r.i][1] and (r.kind == "card") == (r.luhn == 1 and r.digits >= 13)
+
+    y = np.array([float(good(r)) for r in rows])
     held = np.array([r.i % 4 == 0 for r in rows])
     base, trees = boost(x[~held], y[~held], FEATURES)
     score = np.full(len(y), base)
@@ -259,8 +311,8 @@ def detected(df: DataFrame, text_col: str = "text", trees: Trees | None = None)
 
     ``rank`` is the kind's place in ``KINDS``; both are sorted by rank, then start.
     Base matches always stay; a proposed span is chosen where its probability
-    reaches its kind's threshold, it overlaps no base match and no better
-    proposal. Defined results: null and empty texts have no spans; rows are judged
+    reaches its kind's threshold and it overlaps no base match and no better
+    chosen one (of equal ones the longer is better). Defined results: null and empty texts have no spans; rows are judged
     each by its own text; other columns pass through.
     """
     trees = trees or train(df.sparkSession)
@@ -272,9 +324,11 @@ def detected(df: DataFrame, text_col: str = "text", trees: Trees | None = None)
     bound = lambda kind: reduce(lambda a, k: F.when(kind == k, trees.least[k]).otherwise(a), KINDS, F.lit(1.1))
     free = lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
     df = df.withColumn("_chosen", F.filter(scored, lambda c: (c["p"] >= bound(c["kind"])) & free(c)))
-    beaten = lambda c: F.exists("_chosen", lambda o: (o["s"] < c["e"]) & (c["s"] < o["e"]) & ((o["p"] > c["p"]) | ((o["p"] == c["p"]) & (o["kind"] < c["kind"]))))
     rank = lambda kind: reduce(lambda a, k: F.when(kind == k, KINDS.index(k)).otherwise(a), KINDS, F.lit(len(KINDS)))
-    added = F.transform(F.filter("_chosen", lambda c: ~beaten(c)), lambda c: F.struct(rank(c["kind"]).alias("rank"), c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
+    ordered = F.array_sort(F.transform("_chosen", lambda c: F.struct((-c["p"]).alias("p"), (c["s"] - c["e"]).alias("size"), c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"))))
+    taken = lambda out, c: F.exists(out, lambda o: (o["s"] < c["e"]) & (c["s"] < o["e"]))
+    one = lambda c: F.array(F.struct(rank(c["kind"]).alias("rank"), c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
+    added = F.aggregate(ordered, F.array().cast(_RANKED), lambda out, c: F.when(taken(out, c), out).otherwise(F.concat(out, one(c)).cast(_RANKED)))
     df = df.withColumn("spans", F.array_sort(F.concat("base", added)))
     return df.drop("_text", "_candidates", "_chosen", *(f"_{kind}" for kind in KINDS))
 

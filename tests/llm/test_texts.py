@@ -175,6 +175,15 @@ def test_personal_spans_by_context(spark, trees):
     assert {r.i: r.text for r in pii.redacted(rows, trees=trees).collect()}[0] == "please call [PHONE] today"
 
 
+def test_personal_numbers_beside_others(spark, trees):
+    """Each marked number is found, whatever stands beside it."""
+    texts = ["call <555-123-4567> <555-987-6543> now", "tel <555-123-4567> / <555-987-6543> now", "on 2024-01-05 <555-123-4567> now", "tel.<555-123-4567> now", "phone,<555-123-4567> now", "so <(826) 555-4081> 190.137.223.204 now", "so 190.137.223.204 <(843) 555-4081> now", "call <555-123-4567> <555-987-6543> <555-222-3333> <555-444-1111> now", "serial 12345678 12345678 kg"]
+    plain = [t.replace("<", "").replace(">", "") for t in texts]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(plain)], "i int, text string")
+    found = {r.i: [plain[r.i][x.s : x.e] for x in r.spans if x.kind == "phone"] for r in pii.detected(rows, trees=trees).collect()}
+    assert found == {i: re.findall("<(.*?)>", t) for i, t in enumerate(texts)}
+
+
 def test_languages(spark, odd):
     documents = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/documents.parquet")
     out = queries.op8_language_id(spark, SF.replace("sf0.001", "sf0.01")).join(documents.select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
