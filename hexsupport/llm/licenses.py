@@ -6,12 +6,15 @@ words around the ends are matched, and each gap between anchors is aligned in
 the same way. The share of the template's words that are matched is its
 coverage. Windows come from every place where a distinctive word of a template
 occurs, so a notice is found anywhere in a text and as often as it stands there.
+Each place is tried with windows of three widths and the best alignment counts,
+so that copies that stand side by side do not hide each other's unique words.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -94,6 +97,7 @@ class Scanner:
     def __init__(self, templates: dict[str, str], least: float):
         self.least = least
         self.words = {name: words_of(text) for name, text in templates.items()}
+        self.counts = {name: Counter(own) for name, own in self.words.items()}
         #: A text that lacks all of these lacks so many of the template's words that it cannot reach ``least``.
         self.marks: dict[str, dict[str, int]] = {}
         spread: dict[str, int] = {}
@@ -115,6 +119,15 @@ class Scanner:
                 self.by_mark.setdefault(w, []).append(name)
         self.marked = set(self.by_mark)
 
+    def _common(self, name: str, window: list[str]) -> int:
+        """The words that a template and a window have in common, each as often as in both: no alignment matches more."""
+        spare, n = dict(self.counts[name]), 0
+        for w in window:
+            if spare.get(w):
+                spare[w] -= 1
+                n += 1
+        return n
+
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(license, coverage, start, end) of the notices in a text, by start; of overlapping ones the best alone."""
         low = text.lower()
@@ -129,18 +142,25 @@ class Scanner:
         hits = []
         for name, at in starts.items():
             own = self.words[name]
-            slack, begun = len(own) // 2 + 2, None
-            for s in sorted(at):
+            whole, begun = len(own) // 2 + 2, None
+            for s in sorted(set(at)):
                 if begun is not None and s <= begun + len(own) // 4:
-                    continue  # this window was looked at
-                begun = s
-                lo, hi = max(0, s - slack), min(len(words), s + len(own) + slack)
-                pairs = align(own, words[lo:hi])
-                if len(pairs) >= self.least * len(own):
-                    first, last = lo + pairs[0][1], lo + pairs[-1][1]
-                    hits.append((len(pairs) / len(own), len(pairs), name, spots[first][1], spots[last][2]))
+                    continue  # the whole notice was found from here
+                best: list[tuple[int, int]] = []
+                # the widest window holds all that the others hold; in narrower ones a notice is told from copies beside it
+                for slack in (whole, whole // 2, 0):
+                    lo, hi = max(0, s - slack), min(len(words), max(0, s + len(own) + slack))
+                    if self._common(name, words[lo:hi]) < self.least * len(own):
+                        break
+                    pairs = [(i, lo + j) for i, j in align(own, words[lo:hi])]
+                    if pairs and (not best or (len(pairs), best[-1][1] - best[0][1]) > (len(best), pairs[-1][1] - pairs[0][1])):
+                        best = pairs
+                if best and len(best) >= self.least * len(own):
+                    first, last = best[0][1], best[-1][1]
+                    hits.append((len(best) / len(own), len(best), name, spots[first][1], spots[last][2]))
+                    begun = s if len(best) == len(own) else None
         kept: list[tuple[str, float, int, int]] = []
-        for coverage, size, name, a, b in sorted(hits, key=lambda h: (-h[1] * h[0], -h[0], h[2], h[3])):
+        for coverage, size, name, a, b in sorted(hits, key=lambda h: (-h[1] * h[0], -h[0], h[2], h[4] - h[3], h[3])):
             if all(b <= c or d <= a for _, _, c, d in kept):
                 kept.append((name, round(coverage, 6), a, b))
         return sorted(kept, key=lambda h: h[2])

@@ -215,6 +215,21 @@ def test_licenses(spark, odd):
     assert licenses.scanned(odd).filter("size(licenses) > 0").count() == 0 and licenses.scanned(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["ISC", "MIT", "MIT-short", "GPL-3.0-or-later"])
+@pytest.mark.parametrize("between", [" ", " so then ", " zzz " * 9])
+def test_adjacent_copies_of_a_notice(name, between):
+    scanner, own = licenses.Scanner(licenses.TEMPLATES, 0.8), licenses.TEMPLATES[name]
+    for n in (1, 2, 3, 10):
+        text = "words before " + between.join([own] * n) + " words after"
+        starts = [m.start() for m in re.finditer(re.escape(own), text)]
+        assert [(h[0], h[1], h[2]) for h in scanner.scan(text)] == [(name, 1.0, a) for a in starts]
+    # a changed word in each copy, another place each time
+    copies = [own.split() for _ in range(5)]
+    for k, copy in enumerate(copies):
+        copy[1 + k % (len(copy) - 2)] = "changed"
+    assert [h[0] for h in scanner.scan("a " + between.join(" ".join(c) for c in copies) + " b")] == [name] * 5
+
+
 def test_alignment_is_increasing_and_equal():
     rng = random.Random(2)
     for _ in range(100):
