@@ -146,8 +146,8 @@ def judged(df: DataFrame, text_col: str = "text", least: float = 0.5, carry: lis
     voted = Workspace(df.sparkSession, "quality").write(voted)
     columns = [f"_vote_{name}" for name in votes]
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    # the rules are only needed, and so only fitted, where the base decides nothing; at most 3 ** len(rules()) rows reach the driver
-    patterns = [(tuple(r[:-1]), r[-1]) for r in voted.filter(~failed).groupBy(*columns).count().collect()]
+    # fitted on all rows, also those that fail the base; at most 3 ** len(rules()) rows reach the driver
+    patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*columns).count().collect()]
     model = fit(sorted(patterns), list(votes))
     out = voted.withColumn("posterior", model.posterior()).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least)).drop(*columns)

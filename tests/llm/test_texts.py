@@ -133,6 +133,13 @@ def test_quality_estimation_finds_a_noisy_rule():
     assert abs(model.good - 0.8) < 0.05 and model.votes["a"][1][0] > model.votes["d"][1][0] > 0.5
 
 
+def test_quality_is_fitted_on_all_rows(spark, odd, monkeypatch):
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda patterns, names: seen.extend(patterns) or fit(patterns, names))
+    assert quality.judged(odd).filter("base_failed").count() > 0
+    assert sum(n for _, n in seen) == len(ODD)
+
+
 def _base_spans(text: str) -> list[tuple[str, int, int]]:
     def luhn(s: str) -> bool:
         return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(int(c) for c in s[::-1])) % 10 == 0
