@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hexsupport.llm.linking import grouped
 from hexsupport.llm.shingles import shingle_sets
@@ -176,6 +177,11 @@ def linked(documents: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_
     with no other id have a null component. An empty table gives an empty one.
     Other columns of the input are ignored.
     """
+    return _grouped(documents, width, num, den, id_col, text_col).drop("node", "group")
+
+
+def _grouped(documents: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``linked`` with the row's ``node``, and the ``group`` of nodes that it belongs to (null without shingles)."""
     spark = documents.sparkSession
     bound_batches(spark)
     ws = Workspace(spark, "ngrams")
@@ -220,17 +226,45 @@ def linked(documents: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_
     placed = digest.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("group", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
     least = placed.filter("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "group", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", "node", "group", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _named(width: int, at: int):
+    """The rows with their ``_node``; the text is the column at place ``at``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for batch in batches:
+            node = [node_of(own) for own in shingle_sets(batch.column(at), width)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], [*batch.schema.names, "_node"])
+
+    return run
 
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:
     """The rows of ``documents`` without near copies: of each component the row with its smallest id stays.
 
-    Rows whose id is null stay. Where the smallest id is repeated, its first row by text stays.
+    Rows whose id is null stay, and rows that link with no other, also of a
+    repeated id. Where a component's smallest id is repeated in it, its first row
+    by text stays.
     """
-    ids = linked(documents, **options).filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = documents.join(ids, "doc_id", "left_anti")
-    if kept.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("_rank", rank).filter("_rank = 1 OR doc_id IS NULL").drop("_rank")
+    id_col, text_col, width = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("width", 5)
+    ws = Workspace(documents.sparkSession, "kept")
+    found = ws.write(_grouped(documents, **options))
+    doc = F.col(f"`{id_col}`").cast("long")
+    lost = found.filter("doc_id <> component_id")
+    repeated = ws.write(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id")))
+    if repeated.isEmpty():
+        return documents.join(lost.select(F.col("doc_id").alias("_id")).distinct(), doc == F.col("_id"), "left_anti")
+    # of other ids the id names the row; of repeated ones the id and the shingles, and then the text
+    gone = lost.select(F.col("doc_id").alias("_id")).unionByName(repeated).distinct()
+    single = documents.join(gone, doc == F.col("_id"), "left_anti")
+    many = documents.join(repeated, doc == F.col("_id"), "left_semi")
+    many = many.mapInArrow(_named(width, documents.columns.index(text_col)), T.StructType([*many.schema.fields, T.StructField("_node", T.LongType())]))
+    own = found.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("doc_id").alias("_id"), F.col("node").alias("_own"), F.col("group").alias("_group"), F.col("component_id").alias("_least")).distinct()
+    many = many.join(own, (doc == F.col("_id")) & (F.col("_node") == F.col("_own")))
+    linking = many.filter("_group IS NOT NULL AND _id = _least")
+    rank = F.row_number().over(Window.partitionBy("_group").orderBy(F.col(f"`{text_col}`")))
+    first = linking.withColumn("_rank", rank).filter("_rank = 1")
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    return single.unionByName(many.filter("_group IS NULL").select(*columns)).unionByName(first.select(*columns))

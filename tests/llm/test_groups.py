@@ -76,6 +76,16 @@ def test_near_copies_odd_ids(spark):
     assert sorted(str(r.doc_id) for r in ngrams.keep_one(docs).collect()) == ["3", "5", "9", "None", "None"]
 
 
+def test_only_the_linked_rows_of_a_repeated_id_go(spark):
+    a, b, c, e = "a b c d e f g h", "q r s t u v w x", "i j k l m n o p", "1 2 3 4 5 6 7 8"
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, e), (3, e.replace(" ", "  ")), (4, e), (5, ""), (5, None), (None, a), (6, "alone here")]
+    docs = spark.createDataFrame([(t, i) for i, t in rows], "text string, doc_id long")
+    out = ngrams.keep_one(docs)
+    assert out.columns == docs.columns
+    want = [(1, a), (2, b), (3, c), (3, e.replace(" ", "  ")), (5, ""), (5, None), (None, a), (6, "alone here")]
+    assert collections.Counter((r.doc_id, r.text) for r in out.collect()) == collections.Counter(want)
+
+
 def test_a_chain_is_one_component(spark):
     ws = store.Workspace(spark, "test")
     n = 500
