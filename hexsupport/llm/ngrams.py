@@ -30,11 +30,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hexsupport.llm.linking import grouped
-from hexsupport.llm.shingles import shingle_sets
-from hexsupport.llm.store import Workspace, bound_batches, lean, picked, small_ids
+from hexsupport.llm.shingles import BASE, shingle_sets
+from hexsupport.llm.store import Workspace, bound_batches, buckets_for, lean, small
 
 #: Documents and shingles that a task packs at once.
 PACK_DOCS, PACK_SHINGLES = 60_000, 1_000_000
+#: A shingle of more documents than this in one pack has its list dealt apart from its bucket, and counts as longest.
+HOT = 4096
+#: Sets that a task remembers as packed; forgetting costs repeated entries, which collapse later.
+REMEMBERED = 200_000
+LONGEST = 1 << 40
+#: Bits of a shingle's hash that lists leave out.
+CUT = np.uint64(16)
+#: Documents (16 bytes each) that are broadcast to pick texts out of a scan; more are joined by shuffling.
+BROADCAST_ROWS = 100_000
 
 
 def node_of(own: np.ndarray) -> int:
@@ -43,21 +52,32 @@ def node_of(own: np.ndarray) -> int:
 
 
 def _digests(width: int):
+    """(doc_id, row, n_shingles, n_tokens, node): ``n_tokens`` lists hold a set's shingles, fewer where two share the bits that lists keep."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for batch in batches:
-            n, node = [], []
+            n, kinds, node = [], [], []
             for own in shingle_sets(batch.column("text"), width):
+                token = own >> CUT
                 n.append(len(own))
+                kinds.append(int((token[1:] != token[:-1]).sum()) + bool(len(own)))
                 node.append(node_of(own))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "n_shingles", "node"])
+            counts = [pa.array(x, pa.int64()) for x in (n, kinds, node)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *counts], ["doc_id", "row", "n_shingles", "n_tokens", "node"])
 
     return run
 
 
-def _pack(width: int, buckets: int):
-    """Blobs (bucket, tops, tails, owners, nodes) of a task's lists; equal sets of a task are packed once."""
-    names = ["bucket", "tops", "tails", "owners", "nodes"]
+_PACKED = "bucket long, tops binary, tails binary, owners binary, nodes binary, marks binary"
+
+
+def _pack(width: int, buckets: int, most: int):
+    """Blobs of a task's lists by bucket; equal sets of a task are packed once as far as it remembers.
+
+    Entries of hot lists go to further buckets, where all are kept; one entry and a mark stay behind.
+    """
+    names = ["bucket", "tops", "tails", "owners", "nodes", "marks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -66,29 +86,42 @@ def _pack(width: int, buckets: int):
         seen: set[int] = set()
 
         def drain() -> pa.RecordBatch:
-            token = np.concatenate(sets) >> np.uint64(16)
+            token = np.concatenate(sets) >> CUT
             owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
-            bucket = token % np.uint64(buckets)
-            order = np.argsort(bucket.astype(np.uint16), kind="stable")
-            token, owner = token[order], owner[order]
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            parts = [slice(cuts[k], cuts[k + 1]) for k in range(buckets) if cuts[k] < cuts[k + 1]]
-            kept = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
+            bucket, marks = (token % np.uint64(buckets)).astype(np.int64), np.zeros(0, np.uint64)
+            if len(sets) > most:
+                order = np.argsort(token, kind="stable")
+                start = np.flatnonzero(np.append(True, np.diff(token[order]) != 0))
+                many = np.diff(np.append(start, len(token)))
+                marks = token[order[start[many > most]]]
+                hot = np.isin(token, marks)
+                hot[order[start]] = False
+                bucket[hot] = buckets + ((token[hot] + owner[hot] * BASE) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 15 else bucket, kind="stable")
+            token, owner, bucket = token[order], owner[order], bucket[order]
+            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            kept = bucket[cuts]
+            cuts = [*cuts.tolist(), len(bucket)]
+            parts = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             tops, tails = (token >> np.uint64(16)).astype(np.uint32), (token & np.uint64(0xFFFF)).astype(np.uint16)
             used = []
             for p in parts:  # a bucket's blob carries only the nodes that it refers to
                 mine, owner[p] = np.unique(owner[p], return_inverse=True)
                 used.append(np.array(nodes, np.int64)[mine].tobytes())
             blobs = [[x[p].tobytes() for p in parts] for x in (tops, tails, owner)]
+            own = (marks % np.uint64(buckets)).astype(np.int64)
+            marked = [marks[own == k].tobytes() if len(marks) else b"" for k in kept.tolist()]
             nodes.clear()
             sets.clear()
-            return pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), *(pa.array(x, pa.binary()) for x in (*blobs, used))], names)
+            return pa.RecordBatch.from_arrays([pa.array(kept), *(pa.array(x, pa.binary()) for x in (*blobs, used, marked))], names)
 
         held = 0
         for batch in batches:
             for own in shingle_sets(batch.column("text"), width):
                 if not len(own) or (node := node_of(own)) in seen:
                     continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
                 seen.add(node)
                 nodes.append(node)
                 sets.append(own)
@@ -102,29 +135,34 @@ def _pack(width: int, buckets: int):
     return run
 
 
-def _lists(table: pa.Table) -> pa.Table:
-    """A bucket's (node, rank, shingle) for shingles that at least two nodes have; rank is the list's length."""
-    lean()
-    tokens, nodes = [], []
-    for tops, tails, owners, ids in zip(*(table.column(c) for c in ("tops", "tails", "owners", "nodes")), strict=True):
-        tokens.append(np.frombuffer(tops.as_py(), np.uint32).astype(np.uint64) << np.uint64(16) | np.frombuffer(tails.as_py(), np.uint16))
-        nodes.append(np.frombuffer(ids.as_py(), np.int64)[np.frombuffer(owners.as_py(), np.uint16)])
-    token, node = np.concatenate(tokens), np.concatenate(nodes)
-    order = np.argsort(token, kind="stable")
-    token, node = token[order], node[order]
-    same = np.zeros(len(token) + 1, bool)
-    same[1:-1] = token[1:] == token[:-1]
-    shared = same[1:] | same[:-1]
-    token, node = token[shared], node[shared]
-    order = np.lexsort((node, token))  # a node that several tasks packed counts once
-    token, node = token[order], node[order]
-    first = np.ones(len(token), bool)
-    first[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-    token, node = token[first], node[first]
-    _, place, length = np.unique(token, return_inverse=True, return_counts=True)
-    rank = length[place]
-    many = rank > 1
-    return pa.table({"node": node[many], "rank": rank[many], "token": token[many].astype(np.int64)})
+def _lists(buckets: int):
+    """A bucket's (node, rank, token) for tokens that at least two nodes have; rank is the list's length."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lean()
+        tokens, nodes = [], []
+        for tops, tails, owners, ids in zip(*(table.column(c) for c in ("tops", "tails", "owners", "nodes")), strict=True):
+            tokens.append(np.frombuffer(tops.as_py(), np.uint32).astype(np.uint64) << np.uint64(16) | np.frombuffer(tails.as_py(), np.uint16))
+            nodes.append(np.frombuffer(ids.as_py(), np.int64)[np.frombuffer(owners.as_py(), np.uint16)])
+        token, node = np.concatenate(tokens), np.concatenate(nodes)
+        marks = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("marks")]))
+        apart = table.column("bucket")[0].as_py() >= buckets
+        order = np.argsort(token, kind="stable")
+        token, node = token[order], node[order]
+        marked = np.full(len(token), apart) if apart or not len(marks) else np.isin(token, marks)
+        same = np.append(False, token[1:] == token[:-1])
+        shared = same | np.append(same[1:], False) | marked
+        token, node, marked = token[shared], node[shared], marked[shared]
+        order = np.lexsort((node, token))  # a node that several tasks packed counts once
+        token, node, marked = token[order], node[order], marked[order]
+        fresh = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))[: len(token)]
+        token, node, marked = token[fresh], node[fresh], marked[fresh]
+        _, place, length = np.unique(token, return_inverse=True, return_counts=True)
+        rank = np.where(marked, LONGEST, length[place]) if len(token) else np.zeros(0, np.int64)
+        many = rank > 1
+        return pa.table({"node": node[many], "rank": rank[many].astype(np.int64), "token": token[many].astype(np.int64)})
+
+    return run
 
 
 def _probe(width: int, num: int, den: int):
@@ -146,26 +184,6 @@ def _probe(width: int, num: int, den: int):
     return run
 
 
-def _texts(width: int, wanted):
-    """(node, text) of the texts whose node is wanted; None: of all."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
-        known = None if wanted is None else set(wanted.value)
-        sent = set()
-        for batch in batches:
-            node, keep = [], []
-            for k, own in enumerate(shingle_sets(batch.column("text"), width)):
-                it = node_of(own)
-                if len(own) and (known is None or it in known) and it not in sent:
-                    sent.add(it)
-                    node.append(it)
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), batch.column("text").take(pa.array(keep, pa.int64()))], ["node", "text"])
-
-    return run
-
-
 def linked(documents: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id``.
 
@@ -185,18 +203,19 @@ def _grouped(documents: DataFrame, width: int = 5, num: int = 4, den: int = 5, i
     spark = documents.sparkSession
     bound_batches(spark)
     ws = Workspace(spark, "ngrams")
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    digest = ws.write(docs.mapInArrow(_digests(width), "doc_id long, n_shingles long, node long"))
-    nodes = digest.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"))
-
-    buckets = max(128, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = docs.mapInArrow(_pack(width, buckets), "bucket int, tops binary, tails binary, owners binary, nodes binary")
-    shared = packed.groupBy("bucket").applyInArrow(_lists, "node long, rank long, token long")
-    owned = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rank", "token"))).alias("lists"))
-    # the lists of length one are the shortest, and stand before these
-    short = F.size("lists") - F.ceil(F.col("n") * num / den) + 1
+    key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    docs = documents.select(key.alias("doc_id"), F.xxhash64(key, text).alias("row"), text.alias("text"))
+    digest = ws.write(docs.mapInArrow(_digests(width), "doc_id long, row long, n_shingles long, n_tokens long, node long"))
+    nodes = digest.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("row").alias("row"), F.max("n_shingles").alias("n"), F.max("n_tokens").alias("of"))
+
+    buckets = buckets_for(spark, (digest.agg(F.sum("n_shingles")).first()[0] or 0) * 14)
+    packed = docs.select("text").mapInArrow(_pack(width, buckets, HOT), _PACKED)
+    shared = packed.groupBy("bucket").applyInArrow(_lists(buckets), "node long, rank long, token long")
+    owned = shared.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("rank", "token"))).alias("lists"))
+    # of n shingles, n - ceil(n j) + 1 lists are short; the lists of length one, which end above, stand before these
+    short = F.size("lists") - F.ceil(F.col("n") * num / den) + 1 + F.col("n") - F.col("of")
     short = owned.join(nodes, "node").withColumn("short", short.cast("int")).filter("short > 0")
-    short = ws.write(short.select("node", "doc", "n", F.slice("lists", 1, F.col("short")).getField("token").alias("tokens")))
+    short = ws.write(short.select("node", "row", "n", F.slice("lists", 1, F.col("short")).getField("token").alias("tokens")))
 
     def least_merged(n: Column, m: Column) -> Column:
         """The common short lists that, with all that the long lists can add, just reach T."""
@@ -209,16 +228,9 @@ def _grouped(documents: DataFrame, width: int = 5, num: int = 4, den: int = 5, i
     def probed(pairs: DataFrame) -> DataFrame:
         pairs = ws.write(pairs.select("a", "b"))
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        found = wanted.join(short.select("node", "doc"), "node")
-        known, ids = small_ids(wanted), small_ids(found.select("doc").distinct())
-        if known is None or ids is None:
-            source = docs.join(found.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
-            texts = source.mapInArrow(_texts(width, None), "node long, text string").join(wanted, "node", "left_semi")
-        else:
-            chosen = spark.sparkContext.broadcast(frozenset(x for x in ids if x is not None))
-            source = docs.mapInArrow(picked(chosen), "doc_id long, text string")
-            texts = source.mapInArrow(_texts(width, spark.sparkContext.broadcast(known)), "node long, text string")
-        texts = texts.dropDuplicates(["node"])
+        found = ws.write(wanted.join(short.select("node", "row"), "node"))
+        found = F.broadcast(found) if small(found, BROADCAST_ROWS) else found
+        texts = docs.select("row", "text").join(found, "row").select("node", "text").dropDuplicates(["node"])
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return ws.write(both.mapInArrow(_probe(width, num, den), "a long, b long"))
 

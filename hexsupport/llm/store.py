@@ -1,7 +1,7 @@
 """Tables written to the cluster's shared folder, to cut lineage durably.
 
-The folder is ``spark.checkpoint.dir`` of the session. Only where it is unset
-(tests, a laptop) a folder of our own is made.
+The folder is ``spark.checkpoint.dir`` of the session. Only where it is unset and
+Spark runs on this machine (tests, a laptop) a folder of our own is made.
 """
 
 from __future__ import annotations
@@ -9,9 +9,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,13 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='hexsupport-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` texts and 16 MB, so that long texts fit a small Python worker.
+    """Arrow batches of at most ``rows`` texts and 8 MB, so that long texts fit a small Python worker.
 
     Spark's own defaults (10,000 and 64 MB) are lowered; a session that chose a value keeps it.
     """
@@ -34,16 +34,42 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) == "67108864b":
-        spark.conf.set(key, "16m")
+        spark.conf.set(key, "8m")
 
 
 def lean() -> None:
-    """In a Python worker: freed arrays go back to the system at once, so that workers side by side stay small."""
+    """In a Python worker: large freed arrays go back to the system, so that workers side by side stay small.
+
+    Arrays up to a few MB, as in work done by slices, are reused in place: asking the system anew for each costs more than the work.
+    """
     pa.set_memory_pool(pa.system_memory_pool())
     libc = ctypes.CDLL(None)
     if hasattr(libc, "mallopt"):
-        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """For each name, one like it that no column of ``df`` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        own = f"_{name}"
+        while own.lower() in taken:
+            own += "_"
+        taken.add(own.lower())
+        out.append(own)
+    return out
+
+
+def small(df: DataFrame, limit: int) -> bool:
+    """Whether ``df`` has at most ``limit`` rows."""
+    return df.count() <= limit
+
+
+def buckets_for(spark: SparkSession, size: int, each: int = 64 << 20) -> int:
+    """Buckets for ``size`` bytes, of ``each`` at most on average."""
+    return max(128, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
 class Workspace:
@@ -67,29 +93,3 @@ class Workspace:
         for table in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(table._workspace_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-#: Ids that are broadcast to pick texts out of a scan (8 bytes each); beyond it a join does so.
-BROADCAST_IDS = 2_000_000
-
-
-def small_ids(df: DataFrame, limit: int = BROADCAST_IDS) -> list | None:
-    """The values of a one-column frame if they are at most ``limit``, else None.
-
-    At most ``limit + 1`` values reach the driver.
-    """
-    rows = df.limit(limit + 1).collect()
-    return [r[0] for r in rows] if len(rows) <= limit else None
-
-
-def picked(chosen):
-    """The rows whose id is among ``chosen``, or null."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = np.array(sorted(chosen.value), np.int64)
-        for batch in batches:
-            doc = batch.column("doc_id")
-            keep = np.isin(doc.fill_null(0).to_numpy(zero_copy_only=False), ids) | doc.is_null().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(keep))
-
-    return run

@@ -183,6 +183,55 @@ def test_lines_equal_brute_force(spark):
         assert r.n_removed == len((texts[i] or "").split("\n")) - len((want[i] or "").split("\n")) or want[i] == ""
 
 
+def test_lines_in_many_blocks_equal_brute_force(spark, monkeypatch):
+    """Families whose lines chain, meet a hub or keep apart, under keys that are hot and groups of many blocks."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("aeioulrstn") for _ in range(rng.randint(2, 8)))
+    texts: dict = {}
+    for _ in range(3):
+        line = " ".join(word() for _ in range(30))
+        for k in range(60):
+            own = line
+            for _ in range(1 if k < 30 else 7):
+                at = rng.randrange(len(own))
+                own = own[:at] + rng.choice("XYZQ") + own[at + 1 :]
+            texts[len(texts)] = own + "\n" + word()
+            line = own if k % 9 == 8 else line
+    monkeypatch.setattr(lines, "BLOCK", 8)
+    monkeypatch.setattr(lines, "HOT", 5)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(2)
+    out = {r.doc_id: r.text for r in lines.deduplicated(docs).collect()}
+    assert out == _deduplicated(texts)
+
+
+def test_bands_meet_near_copies():
+    """The share of pairs of Jaccard similarity 0.8 to 0.86 that have a key in common."""
+    rng = random.Random(2)
+    met = tried = 0
+    while tried < 400:
+        a = "".join(rng.choice("abcdefgh ") for _ in range(300))
+        b = list(a)
+        for _ in range(rng.randint(3, 5)):
+            b[rng.randrange(300)] = rng.choice("XYZ")
+        b = "".join(b)
+        x, y = lines.shingles(a), lines.shingles(b)
+        if 0.8 <= len(x & y) / len(x | y) <= 0.86:
+            keys = lines._keys(lines._signatures([a.encode(), b.encode()]))
+            met, tried = met + bool((keys[0] == keys[1]).any()), tried + 1
+    assert met >= 0.98 * tried
+
+
+def test_lines_of_any_length(spark):
+    """A line that is signed in several pieces, a text of many copies of one line, and columns with names like inner ones."""
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(200_000))
+    near = long[:100_000] + "#" + long[100_001:]
+    docs = spark.createDataFrame([(1, long, "a", "b"), (2, near + "\nown", "c", "d"), (3, "\n".join(["again and again"] * 20_000), "e", "f")], "doc_id long, text string, _row string, GONE string")
+    out = {r.doc_id: r for r in lines.deduplicated(docs).collect()}
+    assert out[1].text == long and out[2].text == "own" and out[3].text == "again and again"
+    assert (out[3].n_lines, out[3].n_removed) == (20_000, 19_999) and (out[2]["_row"], out[3]["GONE"]) == ("c", "f")
+
+
 def test_lines_of_repeated_rows_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "same line\nother"), (1, "same line\nother"), (2, "same line"), (None, "same line")], "doc_id long, text string")
     out = sorted((str(r.doc_id), r.text) for r in lines.deduplicated(docs).collect())
