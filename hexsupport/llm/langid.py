@@ -3,7 +3,7 @@
 Training counts the n-grams of all training texts in numpy, one vector for a
 language and task, summed in two steps. The log-probability matrix (languages x
 ``BUCKETS``) is broadcast: its size is bounded by ``max_languages``. Scoring
-gathers each text's rows of the matrix and sums them.
+gathers each language's log-probabilities at a slice's n-grams and sums them by text.
 """
 
 from __future__ import annotations
@@ -16,17 +16,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hexsupport.llm.shingles import mix, text_slices
-from hexsupport.llm.store import bound_batches, lean
+from hexsupport.llm.shingles import LOWER, text_slices
+from hexsupport.llm.store import bound_batches, lean, unused
 
 #: Hash buckets of n-grams.
 BUCKETS = 1 << 15
 #: Lengths of the n-grams, in characters.
 SIZES = (1, 2, 3)
 #: Bytes of text that are handled at once.
-SLICE = 1 << 18
+SLICE = 1 << 15
+#: N-grams that a task holds before it counts them.
+PACK = 1 << 20
 UNKNOWN = "und"
 
+_ODD = np.array([0x9E3779B1, 0x7F4A7C15, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
+
 _LETTER: list[np.ndarray] = []
 
 
@@ -36,47 +40,82 @@ def _letters() -> np.ndarray:
     return _LETTER[0]
 
 
-def _grams(column: pa.Array) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]], np.ndarray]]:
-    """(first row, end row, [(buckets, where each text's begin)] by size, whether a text has a letter)."""
+def _pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(rows, UTF-8 bytes, offsets of the rows' bytes, whether a text goes on) of about ``SLICE`` bytes; a long text comes in several, each with the two characters before it."""
     for row, end, data, offsets in text_slices(column, SLICE):
-        starts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-        chars = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = np.concatenate([[0], np.cumsum(_letters()[chars])])
-        chars = np.where((chars >= 65) & (chars <= 90), chars + 32, chars).astype(np.uint64)
-        found = []
+        if len(data) <= 4 * SLICE:
+            yield np.arange(row, end), data, offsets, False
+            continue
+        at = 0  # one text
+        while at < len(data):
+            start, until = at, min(len(data), at + SLICE)
+            for _ in range(2 if at else 0):
+                start -= 1
+                while data[start] & 0xC0 == 0x80:
+                    start -= 1
+            while until < len(data) and data[until] & 0xC0 == 0x80:
+                until += 1
+            yield np.array([row]), data[start:until], np.array([0, until - start]), at > 0
+            at = until
+
+
+def _grams(column: pa.Array) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(rows, buckets at each character by size, where each row's characters begin, whether a row has a letter).
+
+    An n-gram that would reach beyond its text, or was seen with an earlier piece of it, has the bucket ``BUCKETS``.
+    """
+    for rows, data, offsets, goes_on in _pieces(column):
+        starts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)])[offsets]
+        chars = np.frombuffer(LOWER[data].tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        some = np.flatnonzero(starts[1:] > starts[:-1])
+        letter = np.zeros(len(rows), bool)
+        if len(some):
+            letter[some] = np.logical_or.reduceat(_letters()[chars], starts[some])
+        found, rolled = [], np.zeros(len(chars), np.uint32)
         for size in SIZES:
-            n = max(0, len(chars) - size + 1)
-            rolled = np.full(n, size, np.uint64)
-            for k in range(size):
-                rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + chars[k : k + n]
-            bucket = (mix(rolled) >> np.uint64(49)).astype(np.int32)
-            inside = np.ones(n, bool)
-            for k in range(1, size):  # an n-gram that reaches into the next text
-                cut = starts[1:-1] - k
-                inside[cut[(cut >= 0) & (cut < n)]] = False
-            bounds = np.concatenate([[0], np.cumsum(inside)])[np.minimum(starts, n)]
-            found.append((bucket[inside], bounds))
-        yield row, end, found, letter[starts[1:]] > letter[starts[:-1]]
+            # each size goes on from the one before
+            rolled = rolled[: len(chars) - size + 1] * _ODD[0] + chars[size - 1 :] + _ODD[1] if len(chars) >= size else rolled[:0]
+            h = rolled ^ rolled >> np.uint32(16)
+            h *= _ODD[2]
+            h ^= h >> np.uint32(13)
+            h *= _ODD[3]
+            bucket = np.full(len(chars), BUCKETS, np.uint16)
+            bucket[: len(h)] = h >> np.uint32(17)
+            for k in range(1, size):
+                cut = starts[1:] - k
+                bucket[cut[cut >= starts[:-1]]] = BUCKETS
+            if goes_on:
+                bucket[: len(SIZES) - size] = BUCKETS
+            found.append(bucket)
+        yield rows, found, starts, letter
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lean()
     counts: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
-    shard = 0
+    waiting: dict[str, list[np.ndarray]] = {}
+    held, shard = 0, 0
+
+    def settle() -> None:
+        for name, parts in waiting.items():
+            counts[name] = counts.get(name, 0) + np.bincount(np.concatenate(parts), minlength=BUCKETS + 1)[:BUCKETS]
+        waiting.clear()
+
     for batch in batches:
         lang = batch.column("lang").to_pylist()
         shard = batch.column("shard")[0].as_py() if len(batch) else shard
-        for row, end, found, _ in _grams(batch.column("text")):
-            own = lang[row:end]
-            names = sorted(set(own))
-            place = np.array([names.index(x) for x in own])
-            total = np.zeros(len(names) * BUCKETS, np.int64)
-            for bucket, bounds in found:
-                total += np.bincount(np.repeat(place, np.diff(bounds)) * BUCKETS + bucket, minlength=len(total))
-            for k, name in enumerate(names):
-                counts[name] = counts.get(name, 0) + total[k * BUCKETS : (k + 1) * BUCKETS]
-                docs[name] = docs.get(name, 0) + own.count(name)
+        for name in lang:
+            docs[name] = docs.get(name, 0) + 1
+            counts.setdefault(name, np.zeros(BUCKETS, np.int64))
+        for rows, found, starts, _ in _grams(batch.column("text")):
+            for k, row in enumerate(rows.tolist()):
+                waiting.setdefault(lang[row], []).extend(bucket[starts[k] : starts[k + 1]] for bucket in found)
+            held += sum(map(len, found))
+            if held > PACK:
+                settle()
+                held = 0
+    settle()
     if counts:
         yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([shard] * len(counts), pa.int32()), pa.array([docs[x] for x in counts], pa.int64()), pa.array([c.tobytes() for c in counts.values()], pa.binary())], ["lang", "shard", "docs", "counts"])
 
@@ -112,33 +151,39 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text
 
     Defined results: null texts, texts without a letter, and a model without
     languages give ``und`` and 0; equal probabilities go to the language first
-    in alphabetical order; columns of the names of the results are replaced.
+    in alphabetical order; columns of the names of the results (in any case) are
+    replaced; rows, repeated or not, are judged each by its own text; texts of
+    any length are scored whole, by slices. An empty table gives an empty one.
     """
     bound_batches(df.sparkSession)
     langs, prior, matrix = model
-    sent = df.sparkSession.sparkContext.broadcast((langs, prior, np.ascontiguousarray(matrix.T)))
-    rest = [c for c in df.columns if c not in (lang_col, score_col)]
+    matrix = np.hstack([matrix, np.zeros((len(langs), 1))])  # the bucket of no n-gram
+    sent = df.sparkSession.sparkContext.broadcast((langs, prior, np.ascontiguousarray(matrix)))
+    rest = [c for c in df.columns if c.lower() not in (lang_col.lower(), score_col.lower())]
     at = rest.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         langs, prior, matrix = sent.value
         for batch in batches:
-            best, score = [UNKNOWN] * len(batch), np.zeros(len(batch))
-            for row, end, found, letter in _grams(batch.column(at)):
-                total = np.tile(prior, (end - row, 1))
-                for bucket, bounds in found:
-                    some = np.flatnonzero(np.diff(bounds))
-                    if len(some) and langs:
-                        total[some] += np.add.reduceat(matrix[bucket], bounds[some], axis=0)
-                if not langs:
-                    continue
+            best, score = np.full(len(batch), UNKNOWN, object), np.zeros(len(batch))
+            total, letters = np.tile(prior, (len(batch), 1)), np.zeros(len(batch), bool)
+            for rows, found, starts, letter in _grams(batch.column(at)):
+                letters[rows] |= letter
+                some = np.flatnonzero(starts[1:] > starts[:-1])
+                for k in range(len(langs) if len(some) else 0):
+                    own = matrix[k]
+                    each = own[found[0]]
+                    for bucket in found[1:]:
+                        each += own[bucket]
+                    total[rows[some], k] += np.add.reduceat(each, starts[some])
+            if langs and len(batch):
+                some = np.flatnonzero(letters)
                 top = total.argmax(axis=1)
                 share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                for k in np.flatnonzero(letter).tolist():
-                    best[row + k] = langs[top[k]]
-                    score[row + k] = round(share[k], 6)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best), pa.array(score)], [*batch.schema.names, lang_col, score_col])
+                best[some] = np.array(langs, object)[top[some]]
+                score[some] = share[some].round(6)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score)], [*batch.schema.names, lang_col, score_col])
 
     base = df.select(*(F.col(f"`{c}`") for c in rest))
     return base.mapInArrow(run, T.StructType(list(base.schema.fields)).add(lang_col, "string").add(score_col, "double"))
@@ -156,5 +201,6 @@ def trained_on(documents: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]
 
 def accepted(documents: DataFrame, min_score: float = 0.5) -> DataFrame:
     """The rows with a recognised language: not ``und`` and of at least ``min_score``; the columns stay as they are."""
-    marked = predict(documents, trained_on(documents), lang_col="_lang_pred", score_col="_lang_score")
-    return marked.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= min_score)).drop("_lang_pred", "_lang_score")
+    lang, score = unused(documents, "lang_pred", "lang_score")
+    marked = predict(documents, trained_on(documents), lang_col=lang, score_col=score)
+    return marked.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score)).drop(lang, score)

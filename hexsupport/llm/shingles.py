@@ -20,8 +20,8 @@ SLICE = 1 << 18
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -74,7 +74,7 @@ def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a slice, and where each text's words begin (one more entry than texts)."""
-    data = _LOWER[data]
+    data = LOWER[data]
     word = ~_IS_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
