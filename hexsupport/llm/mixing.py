@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexsupport.llm.store import Workspace
+from hexsupport.llm.store import Workspace, unused
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Cells that are raked on the driver (some 100 bytes each); more are raked as a table.
+#: Cells that are raked on the driver and broadcast to the texts (some 100 bytes each); more are raked as a table and joined by shuffling.
 DRIVER_CELLS = 50_000
 ROUNDS, CLOSE = 200, 1e-9
 
@@ -128,11 +128,11 @@ def _rake_table(cells: DataFrame, power: float, given: dict, budget_share: float
         if now <= scale * (1 + 1e-12):
             break
         scale = now
-    return cells.select(*DIMENSIONS, "tokens", "weight", F.least(F.lit(1.0), F.col("rate") * scale).alias("probability"))
+    return cells.select(*DIMENSIONS, "tokens", "weight", F.least(F.lit(1.0), F.col("rate") * scale).alias("probability"), F.lit(misfit).alias("misfit"))
 
 
 def cell_rates(rows: DataFrame, ws: Workspace, targets: dict | None = None, budget_share: float = 0.75, power: float = 0.7, driver_cells: int = DRIVER_CELLS, rounds: int = ROUNDS) -> DataFrame:
-    """(source, lang, topic, tokens, weight, probability) of every cell of ``rows(source, lang, topic, n_tokens)``."""
+    """(source, lang, topic, tokens, weight, probability, misfit) of every cell of ``rows(source, lang, topic, n_tokens)``; those of up to ``driver_cells`` are to be broadcast."""
     spark, targets = rows.sparkSession, targets or {}
     cells = ws.write(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
     found = cells.limit(driver_cells + 1).collect()
@@ -140,9 +140,10 @@ def cell_rates(rows: DataFrame, ws: Workspace, targets: dict | None = None, budg
         return _rake_table(cells, power, targets, budget_share, ws, rounds)
     found = sorted((tuple(r) for r in found), key=_key)
     even = tempered(found, power)
-    weight, _ = rake(found, [targets.get(d, even[k]) for k, d in enumerate(DIMENSIONS)], rounds)
+    weight, misfit = rake(found, [targets.get(d, even[k]) for k, d in enumerate(DIMENSIONS)], rounds)
     chance = calibrate([c[3] for c in found], weight, budget_share * sum(c[3] for c in found))
-    return spark.createDataFrame([(*c, w, p) for c, w, p in zip(found, weight, chance, strict=True)], "source string, lang string, topic string, tokens long, weight double, probability double")
+    rates = [(*c, w, p, misfit) for c, w, p in zip(found, weight, chance, strict=True)]
+    return F.broadcast(spark.createDataFrame(rates, "source string, lang string, topic string, tokens long, weight double, probability double, misfit double"))
 
 
 def draw(df: DataFrame, id_col: str, text_col: str, seed: int) -> Column:
@@ -152,24 +153,30 @@ def draw(df: DataFrame, id_col: str, text_col: str, seed: int) -> Column:
 
 
 def mixed(documents: DataFrame, topic_col: str | None = None, targets: dict | None = None, budget_share: float = 0.75, power: float = 0.7, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", driver_cells: int = DRIVER_CELLS) -> DataFrame:
-    """``documents`` with ``topic``, ``n_tokens``, ``weight`` (its cell's), ``probability`` and ``kept``.
+    """``documents`` with ``topic``, ``n_tokens``, ``weight`` (its cell's), ``probability``, ``misfit`` and ``kept``.
 
     ``targets`` gives shares by value for any of source, lang and topic; the
-    others get tempered shares. ``budget_share`` of all tokens are to be kept.
+    others get tempered shares. ``budget_share`` of all tokens are to be kept;
+    ``n_tokens`` counts words. ``misfit`` is the largest difference that raking
+    leaves between a share of the weights and its target: over 1e-9 where targets
+    contradict each other or the cells. A cell kept in full (probability 1) has
+    less than its target share, and the others take up what it lacks.
     Defined results: a null source, language or topic is a value of its own; a
     null or wordless text has 0 tokens and, in a cell without tokens, is not
     kept; cells without a target share are not kept; rows with equal ids are
-    kept or not together; columns of the names of the results are replaced
-    (``topic`` only where ``topic_col`` is None). An empty table gives an empty one.
+    kept or not together; texts of any length count whole; columns of the names
+    of the results (in any case) are replaced (``topic`` only where ``topic_col``
+    is None). An empty table gives an empty one.
     """
     ws = Workspace(documents.sparkSession, "mixing")
-    drop = {"n_tokens", "weight", "probability", "kept"} | ({"topic"} if topic_col != "topic" else set())
+    drop = {"n_tokens", "weight", "probability", "misfit", "kept"} | ({"topic"} if (topic_col or "").lower() != "topic" else set())
     text = F.col(f"`{text_col}`")
-    kept = [F.col(f"`{c}`") for c in documents.columns if c not in drop]
+    kept = [F.col(f"`{c}`") for c in documents.columns if c.lower() not in drop]
     label = topic(text) if topic_col is None else F.col(f"`{topic_col}`").cast("string")
-    rows = documents.select(*kept, *([] if topic_col == "topic" else [label.alias("topic")]), words(text).alias("n_tokens"))
-    rates = cell_rates(rows, ws, targets, budget_share, power, driver_cells)
-    rates = rates.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), "weight", "probability")
-    same = [rows[d].cast("string").eqNullSafe(rates[f"_{d}"]) for d in DIMENSIONS]
-    out = rows.join(rates, same[0] & same[1] & same[2], "left").drop(*(f"_{d}" for d in DIMENSIONS))
+    rows = documents.select(*kept, *([] if "topic" not in drop else [label.alias("topic")]), words(text).alias("n_tokens"))
+    rates = cell_rates(rows.select(*(F.col(d).cast("string").alias(d) for d in DIMENSIONS), "n_tokens"), ws, targets, budget_share, power, driver_cells)
+    own = dict(zip(DIMENSIONS, unused(rows, *DIMENSIONS), strict=True))
+    rates = rates.select(*(F.col(d).alias(name) for d, name in own.items()), "weight", "probability", "misfit")
+    same = [rows[d].cast("string").eqNullSafe(rates[name]) for d, name in own.items()]
+    out = rows.join(rates, same[0] & same[1] & same[2], "left").drop(*own.values())
     return out.withColumn("kept", F.coalesce(draw(out, id_col, text_col, seed) < F.col("probability"), F.lit(False)))
