@@ -10,13 +10,17 @@ A token is valid after another if merging their joined bytes from scratch gives
 just these two. That is decided by undoing the merges on both sides of the
 border, latest first, and asking whether the border's neighbours would have
 been merged earlier.
+
+``Together`` runs the same program over many short pieces at once, a prefix
+length at a time, in numpy.
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,11 @@ from pyspark.sql import types as T
 from hexsupport.llm.store import bound_batches, lean
 
 #: Entries of a worker's caches of split pieces and of token pairs; they bound memory, not results.
-PIECES, PAIRS = 300_000, 200_000
+PIECES, PAIRS = 100_000, 100_000
+#: Longest piece that is kept in the cache, in characters, and longest one that goes with others, in bytes.
+KEPT, SHORT = 40, 32
+#: Pieces that go together, at least and at most, pieces of a text that are looked up at once, and characters of texts.
+FEW, GROUP, TURN, TEXTS = 100, 4096, 50_000, 1 << 18
 #: Largest rank file that is broadcast.
 MAX_RANK_FILE = 64 << 20
 
@@ -77,7 +85,10 @@ class Vocabulary:
         self.unmade = {rank for rank, parts in self.parts.items() if parts is None}
         self.follows = Recent(self._follows, PAIRS)
         self.split = regex.compile(pattern).findall
-        self.pieces = Recent(self._piece, PIECES)
+        self.cuts = regex.compile(pattern).finditer
+        self.together = Together(self)
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _last_merge(self, token: bytes) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one, if merging its bytes ends so."""
@@ -107,20 +118,188 @@ class Vocabulary:
             else:
                 before, right = right + 1, own[1][0]
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode("utf-8", "surrogatepass")
-        whole = self.ranks.get(raw)
-        if whole is not None and whole not in self.unmade:
-            return (whole,)
-        return tuple(Prefixes(self, raw).ids())
+    def learn(self, pieces) -> None:
+        """Sees to it that ``self.pieces`` has the ids of all ``pieces``."""
+        if len(self.pieces) > PIECES:
+            self.pieces, self.older = {}, self.pieces
+        known, older, todo = self.pieces, self.older, []
+        for piece in dict.fromkeys(pieces):
+            if piece not in known:
+                ids = older.get(piece)
+                if ids is None:
+                    todo.append(piece)
+                else:
+                    known[piece] = ids
+        short = []
+        for piece in todo:
+            raw = piece.encode("utf-8", "surrogatepass")
+            whole = self.ranks.get(raw)
+            if whole is not None:  # a piece that is a token is that token, also one that merging never makes
+                known[piece] = (whole,)
+            elif len(raw) <= SHORT:
+                short.append((len(raw), piece, raw))
+            else:
+                known[piece] = tuple(Prefixes(self, raw).ids())
+        if len(short) < FEW:
+            for _, piece, raw in short:
+                known[piece] = tuple(Prefixes(self, raw).ids())
+            return
+        short.sort()
+        for k in range(0, len(short), GROUP):
+            own = short[k : k + GROUP]
+            for (_, piece, _), ids in zip(own, self.together.ids([raw for _, _, raw in own]), strict=True):
+                known[piece] = ids
+
+    def ids(self, pieces: list[str], learnt: bool = False) -> Iterator[int]:
+        if not learnt:
+            self.learn(pieces)
+        return chain.from_iterable(map(self.pieces.__getitem__, pieces))
+
+    def forget_long(self, pieces: list[str]) -> None:
+        """Long pieces do not stay in the cache."""
+        for piece in pieces:
+            if len(piece) > KEPT:
+                self.pieces.pop(piece, None)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
+        return self.encode_long(text).tolist()
+
+    def encode_long(self, text: str) -> array:
+        """The ids of a text of any length, whose pieces are taken in turns."""
+        out, cuts = array("i"), self.cuts(text)
+        while pieces := [m.group() for m in islice(cuts, TURN)]:
+            out.extend(self.ids(pieces))
+            self.forget_long(pieces)
+        return out
+
+    def encode_all(self, texts: list[str]) -> Iterator[array]:
+        """The ids of each of some short texts, whose pieces are learnt together."""
+        split = [self.split(text) for text in texts]
+        self.learn(chain.from_iterable(split))
+        for pieces in split:
+            yield array("i", self.ids(pieces, learnt=True))
+        for pieces in split:
+            self.forget_long(pieces)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+class Together:
+    """The prefix program over many pieces at once. Byte strings are known by a 64-bit polynomial hash; a result is held against the bytes themselves."""
+
+    BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+    BITS = 18
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        top = max(v.tokens, default=-1) + 1
+        self.power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(max(v.reach, SHORT) * 2 + 1, self.BASE)]))
+        self.length, self.hash = np.zeros(top, np.int64), np.zeros(top, np.uint64)
+        self.parts = np.full((2, top), -1, np.int64)
+        for rank, parts in v.parts.items():
+            if parts is not None:
+                self.parts[:, rank] = parts
+        order = sorted(v.tokens, key=lambda rank: len(v.tokens[rank]))
+        ranks = np.array(order, np.int64)
+        self.length[ranks] = [len(v.tokens[rank]) for rank in order]
+        for size in np.unique(self.length[ranks]).tolist():
+            own = ranks[self.length[ranks] == size]
+            data = np.frombuffer(b"".join(v.tokens[rank] for rank in own.tolist()), np.uint8).reshape(len(own), size)
+            self.hash[own] = self._prefixes(data)[:, -1]
+        self.lengths = self.length.tolist()
+        self.sizes = np.unique(self.length[ranks])[::-1].tolist()
+        self.made = np.ones(top + 1, bool)  # the last stands for no token
+        self.made[[*v.unmade, top]] = False
+        # open addressing; a few free places at the end save the wrap
+        self.bits = max(self.BITS, int(top).bit_length() + 2)
+        self.keys, self.ranks = np.zeros((1 << self.bits) + top, np.uint64), np.full((1 << self.bits) + top, -1, np.int64)
+        for rank, at in zip(order, self._slot(self.hash[ranks]).tolist(), strict=True):
+            while self.ranks[at] >= 0:
+                at += 1
+            self.keys[at], self.ranks[at] = self.hash[rank], rank
+
+    def _prefixes(self, data: np.ndarray) -> np.ndarray:
+        out = np.zeros((data.shape[0], data.shape[1] + 1), np.uint64)
+        for k in range(data.shape[1]):
+            out[:, k + 1] = out[:, k] * self.BASE + data[:, k] + np.uint64(1)
+        return out
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return ((h * self.SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The tokens of these hashes, or -1."""
+        at = self._slot(h)
+        out = np.where(self.keys[at] == h, self.ranks[at], -1)
+        todo = np.flatnonzero((out < 0) & (self.ranks[at] >= 0))
+        while len(todo):
+            at[todo] += 1
+            own = at[todo]
+            hit = self.keys[own] == h[todo]
+            out[todo[hit]] = self.ranks[own[hit]]
+            todo = todo[~hit & (self.ranks[own] >= 0)]
+        return out
+
+    def follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether each right token may follow its left one."""
+        out, todo, before = np.zeros(len(left), bool), np.arange(len(left)), np.full(len(left), 1 << 62)
+        while len(todo):
+            merged = self.find(self.hash[left] * self.power[self.length[right]] + self.hash[right])
+            own_left, own_right = self.parts[0, left] >= 0, self.parts[0, right] >= 0
+            torn = (merged >= 0) & (merged < before)
+            whole = ~(own_left | own_right)
+            out[todo[whole & ~torn]] = True
+            go = ~(torn | whole)
+            todo, left, right, own_left, own_right = todo[go], left[go], right[go], own_left[go], own_right[go]
+            undo = ~own_right | own_left & (left > right)
+            before = np.where(undo, left, right + 1)
+            left, right = np.where(undo, self.parts[1, left], left), np.where(undo, right, self.parts[0, right])
+        return out
+
+    def ids(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of pieces in ascending order of their lengths."""
+        size = np.array([len(x) for x in pieces])
+        width = int(size[-1])
+        data = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in pieces), np.uint8).reshape(len(pieces), width)
+        h = self._prefixes(data)
+        # the token between each two places, by the later place and the length
+        token = np.full((len(pieces), width + 1, width + 1), -1, np.int32)
+        for n in self.sizes:
+            if n <= width:
+                found = self.find((h[:, n:] - h[:, :-n] * self.power[n]).ravel())
+                token[:, n:, n] = np.where(self.made[found], found, -1).reshape(len(pieces), -1)
+        last = np.full((len(pieces), width + 1), -1, np.int64)
+        for end in range(1, width + 1):
+            todo = np.arange(int(np.searchsorted(size, end)), len(pieces))
+            own = token[todo, end, end::-1]  # longest first
+            may = own >= 0
+            while len(todo):
+                first = may.argmax(axis=1)
+                at = np.arange(len(todo))
+                if not may[at, first].all():
+                    raise ValueError(f"no token ends the prefix of {end} bytes; the ranks lack a byte")
+                best = own[at, first].astype(np.int64)
+                good, inner = first == 0, np.flatnonzero(first)
+                good[inner] = self.follow(last[todo[inner], first[inner]], best[inner])
+                last[todo[good], end] = best[good]
+                may[at, first] = False
+                bad = ~good
+                todo, own, may = todo[bad], own[bad], may[bad]
+        out: list[tuple[int, ...]] = []
+        tokens, lengths, rows = self.v.tokens, self.lengths, last.tolist()
+        for piece, row, at in zip(pieces, rows, size.tolist(), strict=True):
+            found = []
+            while at:
+                found.append(row[at])
+                at -= lengths[row[at]]
+            found.reverse()
+            if b"".join(map(tokens.__getitem__, found)) != piece:  # hashes clashed
+                found = Prefixes(self.v, piece).ids()
+            out.append(tuple(found))
+        return out
+
+
 class Prefixes:
     """The last token of each prefix of a byte string; ``last[i]`` ends the prefix of ``i`` bytes."""
 
@@ -188,11 +367,13 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
 
     Each match of ``pattern`` is encoded by itself; there are no special tokens.
     Defined results: a null or empty text has no ids; a column of the name
-    ``ids_col`` is replaced; other columns, repeated rows and nulls pass through.
+    ``ids_col`` or ``bytes_col`` (in any case) is replaced; other columns, repeated
+    rows and nulls pass through. A text of any length is encoded whole, its pieces
+    in turns. An empty table gives an empty one.
     """
     bound_batches(df.sparkSession)
     sent, key = df.sparkSession.sparkContext.broadcast(read_ranks(path)), f"{path}\n{pattern}"
-    rest = [c for c in df.columns if c not in (ids_col, bytes_col)]
+    rest = [c for c in df.columns if c.lower() not in (ids_col.lower(), (bytes_col or ids_col).lower())]
     at = rest.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,12 +381,27 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
         vocabulary = _worker_vocabulary(key, sent, pattern)
         decoder = Decoder(vocabulary.ranks) if bytes_col else None
         for batch in batches:
-            ids, ends = [], [0]
+            ids, ends, waiting, held = array("i"), [0], [], 0
+
+            def settle() -> None:
+                for own in vocabulary.encode_all(waiting):
+                    ids.extend(own)
+                    ends.append(len(ids))
+                waiting.clear()
+
             for text in batch.column(at):
-                if text.is_valid:
-                    ids += vocabulary.encode(text.as_py())
-                ends.append(len(ids))
-            arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(ids, np.int32)))
+                own = text.as_py() or ""
+                if len(own) <= TEXTS:
+                    waiting.append(own)
+                    held += len(own)
+                if held > TEXTS or len(own) > TEXTS:
+                    settle()
+                    held = 0
+                if len(own) > TEXTS:
+                    ids.extend(vocabulary.encode_long(own))
+                    ends.append(len(ids))
+            settle()
+            arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)) if ids else pa.array([], pa.int32()))
             more = [(ids_col, arrays)] + ([(bytes_col, decoder(arrays))] if decoder else [])
             yield pa.RecordBatch.from_arrays([*batch.columns, *(x for _, x in more)], [*batch.schema.names, *(c for c, _ in more)])
 
@@ -248,11 +444,12 @@ def decode(df: DataFrame, path: str, ids_col: str = "token_ids", bytes_col: str
     """``df`` with ``bytes_col`` (binary): the bytes that each array of ids stands for.
 
     Defined results: null or empty ids give no bytes; an id outside the
-    vocabulary, or a null inside an array, is an error.
+    vocabulary, or a null inside an array, is an error; a column of the name
+    ``bytes_col`` is replaced. An empty table gives an empty one.
     """
     bound_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(read_ranks(path))
-    rest = [c for c in df.columns if c != bytes_col]
+    rest = [c for c in df.columns if c.lower() != bytes_col.lower()]
     at = rest.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
