@@ -17,8 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as cells of resolution 9, all but each 97th, so that parents are partly full."""
-    return text_cells(table(spark, sf_dir, "orders").filter("o_orderkey % 97 <> 0"), "o_orderkey")
+    """All orders as cells of resolution 9; each 97th cell is left free, so that parents are partly full."""
+    orders = table(spark, sf_dir, "orders").withColumn("place", F.expr("o_orderkey + o_orderkey div 96"))
+    return text_cells(orders, "place")
 
 
 # --- ids
@@ -108,7 +109,7 @@ def rollup_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rollup_null_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values are null for half of the owners, and for some rows of the others."""
-    cells = text_cells(table(spark, sf_dir, "customer").filter("c_custkey % 89 <> 0"), "c_custkey")
+    cells = text_cells(table(spark, sf_dir, "customer").withColumn("place", F.expr("c_custkey + c_custkey div 88")), "place")
     cells = cells.withColumn("segment", F.when((F.floor(F.col("c_custkey") / 49) % 2 == 0) & (F.col("c_custkey") % 4 > 0), F.col("c_mktsegment")))
     return rollup(cells, compact_and_own(cells, 7), collapse=["segment", "c_nationkey"])
 
@@ -189,7 +190,7 @@ def _res(c: str) -> str:
     return f"((({c}) >> 52) & 15)::INT"
 
 
-_ORDERS = f"orders_c AS (SELECT *, {_number('o_orderkey', 9)} AS c FROM orders WHERE o_orderkey % 97 <> 0)"
+_ORDERS = f"orders_c AS (SELECT *, {_number('(o_orderkey + o_orderkey // 96)', 9)} AS c FROM orders)"
 
 
 def _owners(cells: str, res: int, floor: int, pentagon: bool = False) -> str:
@@ -238,9 +239,9 @@ SQL = {
     "rollup_collapse": f"WITH {_ORDERS}, {_owners('orders_c', 9, 5)}, {_RELATION} " + _SUMMED.format(_COLLAPSE.format("o_orderpriority", "o_orderpriority")),
     "rollup_mixed": f"WITH {_ORDERS}, {_owners('orders_c', 9, 5)}, {_RELATION} "
     + _SUMMED.format("sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total, sum(o_custkey)::DOUBLE AS o_custkey, " + _COLLAPSE.format("o_orderstatus", "o_orderstatus") + ", " + _COLLAPSE.format("o_orderpriority", "o_orderpriority")),
-    "rollup_null_collapse": f"""WITH cust AS (SELECT *, {_number('c_custkey', 9)} AS c, CASE WHEN (c_custkey // 49) % 2 = 0 AND c_custkey % 4 > 0 THEN c_mktsegment END AS segment FROM customer WHERE c_custkey % 89 <> 0),
+    "rollup_null_collapse": f"""WITH cust AS (SELECT *, {_number('(c_custkey + c_custkey // 88)', 9)} AS c, CASE WHEN (c_custkey // 49) % 2 = 0 AND c_custkey % 4 > 0 THEN c_mktsegment END AS segment FROM customer),
       {_owners('cust', 9, 7)}, {_RELATION} SELECT compact_h3, compact_resolution, count(*)::INT AS source_cell_n, {_COLLAPSE.format('segment', 'segment')}, {_COLLAPSE.format('c_nationkey', 'c_nationkey')} FROM rel JOIN cust USING (c) GROUP BY compact_h3, compact_resolution""",
-    "reconcile_global": "SELECT 'one' AS field, count(*)::DOUBLE AS source_total, count(*)::DOUBLE AS owner_total FROM orders WHERE o_orderkey % 97 <> 0 UNION ALL SELECT 'o_custkey', sum(o_custkey)::DOUBLE, sum(o_custkey)::DOUBLE FROM orders WHERE o_orderkey % 97 <> 0",
+    "reconcile_global": "SELECT 'one' AS field, count(*)::DOUBLE AS source_total, count(*)::DOUBLE AS owner_total FROM orders UNION ALL SELECT 'o_custkey', sum(o_custkey)::DOUBLE, sum(o_custkey)::DOUBLE FROM orders",
     "reconcile_by_parent": f"""WITH {_ORDERS}, g AS (SELECT {_hex(_parent('c', 5))} AS area, count(*)::DOUBLE AS n, sum(o_custkey)::DOUBLE AS k FROM orders_c GROUP BY area)
       SELECT area, 'one' AS field, n AS source_total, n AS owner_total FROM g UNION ALL SELECT area, 'o_custkey', k, k FROM g""",
     "audit_summary": f"""{_AUDIT6} SELECT count(*) AS source_cell_n, count(DISTINCT o) AS compact_cell_n, count(*) - count(DISTINCT o) AS reduction_n, round(100.0 * (count(*) - count(DISTINCT o)) / count(*), 6)::DOUBLE AS reduction_pct,
