@@ -10,6 +10,16 @@ GRS80 = (6378137.0, 1 / 298.257222101)
 SYSTEMS = (4326, 3857, 7899)
 
 
+def zone(crs: int) -> tuple[int, bool] | None:
+    """The UTM zone of a reference system on WGS84, and whether it is of the south."""
+    number, south = (crs - 32700, True) if crs > 32700 else (crs - 32600, False)
+    return (number, south) if 1 <= number <= 60 else None
+
+
+def supported(crs) -> bool:
+    return crs in SYSTEMS or isinstance(crs, int) and zone(crs) is not None
+
+
 def geodesic(lat0: float, lng0: float, lat, lng) -> tuple[np.ndarray, np.ndarray]:
     """(distance in metres, azimuth) from one place to others on WGS84, in degrees (Vincenty, 1975)."""
     a, f = WGS84
@@ -103,6 +113,38 @@ class Conic:
         return np.stack([np.degrees(turn / self.n) + self.LNG0, np.degrees(p)], -1)
 
 
+class Transverse:
+    """Transverse Mercator projection of a UTM zone, by Krueger's series in the third flattening."""
+
+    SCALE, EAST, SOUTH = 0.9996, 500_000.0, 10_000_000.0
+
+    def __init__(self, number: int, south: bool):
+        a, f = WGS84
+        n = f / (2 - f)
+        self.lng0, self.north = 6 * number - 183.0, self.SOUTH if south else 0.0
+        self.e = np.sqrt(f * (2 - f))
+        self.radius = self.SCALE * a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+        self.there = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+        self.back = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+
+    def forward(self, points: np.ndarray) -> np.ndarray:
+        s, turn = np.sin(np.radians(points[..., 1])), np.radians(points[..., 0] - self.lng0)
+        t = np.sinh(np.arctanh(s) - self.e * np.arctanh(self.e * s))
+        z = np.arctan2(t, np.cos(turn)) + 1j * np.arctanh(np.sin(turn) / np.hypot(1, t))
+        z = z + sum(c * np.sin(2 * (k + 1) * z) for k, c in enumerate(self.there))
+        return np.stack([self.EAST + self.radius * z.imag, self.north + self.radius * z.real], -1)
+
+    def inverse(self, points: np.ndarray) -> np.ndarray:
+        z = (points[..., 1] - self.north + 1j * (points[..., 0] - self.EAST)) / self.radius
+        z = z - sum(c * np.sin(2 * (k + 1) * z) for k, c in enumerate(self.back))
+        t = np.sin(z.real) / np.hypot(np.sinh(z.imag), np.cos(z.real))
+        turn, goal = np.arctan2(np.sinh(z.imag), np.cos(z.real)), np.arcsinh(t)
+        s = np.tanh(goal)
+        for _ in range(8):
+            s = np.tanh(goal + self.e * np.arctanh(self.e * s))
+        return np.stack([np.degrees(turn) + self.lng0, np.degrees(np.arcsin(s))], -1)
+
+
 def from_lng_lat(points: np.ndarray, crs: int) -> np.ndarray:
     if crs == 4326:
         return points
@@ -110,6 +152,8 @@ def from_lng_lat(points: np.ndarray, crs: int) -> np.ndarray:
         return np.stack([np.radians(points[..., 0]), np.arctanh(np.sin(np.radians(points[..., 1])))], -1) * WGS84[0]
     if crs == 7899:
         return Conic().forward(points)
+    if supported(crs):
+        return Transverse(*zone(crs)).forward(points)
     raise ValueError(f"reference system {crs} is not supported; use one of {SYSTEMS}")
 
 
@@ -120,4 +164,6 @@ def to_lng_lat(points: np.ndarray, crs: int) -> np.ndarray:
         return np.stack([np.degrees(points[..., 0] / WGS84[0]), np.degrees(np.arctan(np.sinh(points[..., 1] / WGS84[0])))], -1)
     if crs == 7899:
         return Conic().inverse(points)
+    if supported(crs):
+        return Transverse(*zone(crs)).inverse(points)
     raise ValueError(f"reference system {crs} is not supported; use one of {SYSTEMS}")

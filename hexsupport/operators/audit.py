@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexsupport.functions import bits
-from hexsupport.operators.cells import SupportError, as_cells, checked
+from hexsupport.operators.cells import SupportError, as_cells, settled
 from hexsupport.operators.compact import owned, relation
 from hexsupport.operators.rollup import RELATION
+from hexsupport.sources.shared import written
 
 
 class Audit(NamedTuple):
@@ -35,14 +36,14 @@ def audit(source: DataFrame, compacted: DataFrame, lookup: DataFrame | None = No
     covers beyond the source is its number of descendants less the sources below.
     """
     if validate:
-        own = checked(source, "source", column, empty_ok=False, single="")
-        other = checked(compacted, "compacted", column, empty_ok=False)
+        own, cells = settled(source, "source", column, empty_ok=False, single="")
+        other, kept = settled(compacted, "compacted", column, empty_ok=False)
         if other.finest > own.finest:
             raise SupportError("`compacted` has cells finer than the source resolution")
         res = own.finest
     else:
-        res = source.agg(F.max(bits.resolution(bits.to_long(F.col(column))))).first()[0]
-    cells, kept = as_cells(source, column), as_cells(compacted, column)
+        cells, kept = written(as_cells(source, column)), written(as_cells(compacted, column))
+        res = cells.agg(F.max(bits.resolution(F.col("cell")))).first()[0]
     own = bits.resolution(F.col("cell"))
     sizes = kept.agg(F.count("*").alias("n"), F.min(own).alias("low"), F.max(own).alias("high"), F.collect_set(own).alias("levels")).first()
     levels = sorted(sizes.levels)
@@ -51,7 +52,7 @@ def audit(source: DataFrame, compacted: DataFrame, lookup: DataFrame | None = No
         lost = [c for c in RELATION if c not in lookup.columns]
         if lost:
             raise SupportError(f"`lookup` lacks columns: {lost}")
-    pairs = owned(cells, kept, levels)
+    pairs = written(owned(cells, kept, levels))
     found = pairs.agg(F.count("*").alias("source_cell_n"), F.count_if(F.col("owner").isNull()).alias("missing")).first()
     if not given:
         if found.missing:

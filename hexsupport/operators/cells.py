@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hexsupport.functions import bits
+from hexsupport.sources.shared import written
 
 
 class SupportError(ValueError):
@@ -44,6 +45,11 @@ def checked(df: DataFrame, what: str = "x", column: str = "h3", empty_ok: bool =
     if column not in df.columns or dict(df.dtypes)[column] != "string":
         raise SupportError(f"`{what}` needs a character column of cells named `{column}`")
     found = df.agg(*faults(df, column)).first()
+    _judge(found, what, empty_ok, single)
+    return found
+
+
+def _judge(found, what: str, empty_ok: bool, single: str | None) -> None:
     if not found.rows and not empty_ok:
         raise SupportError(f"`{what}` must contain at least one cell")
     if found.missing:
@@ -52,7 +58,26 @@ def checked(df: DataFrame, what: str = "x", column: str = "h3", empty_ok: bool =
         raise SupportError(f"`{what}` has invalid H3 indexes: {found.invalid}")
     if single and found.rows and found.coarsest != found.finest:
         raise SupportError(f"`{what}` must have a single {single}resolution, not {found.coarsest} to {found.finest}")
-    return found
+
+
+def settled(df: DataFrame, what: str = "x", column: str = "h3", empty_ok: bool = True, single: str | None = None):
+    """(facts, cells): the checks of ``checked`` and the distinct ``cells(cell)``, from one pass whose result is written once."""
+    if column not in df.columns or dict(df.dtypes)[column] != "string":
+        raise SupportError(f"`{what}` needs a character column of cells named `{column}`")
+    text = F.col(f"`{column}`")
+    counted = df.select(bits.to_long(text).alias("cell"), (text.isNull() | (text == "")).alias("missing")).groupBy("cell", "missing").agg(F.count("*").alias("n"))
+    counted = written(counted)
+    cell, valid = F.col("cell"), bits.is_valid(F.col("cell"))
+    facts = counted.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(F.when(F.col("missing"), F.col("n"))), F.lit(0)).alias("missing"),
+        F.coalesce(F.sum(F.when(~F.col("missing") & ~valid, F.col("n"))), F.lit(0)).alias("invalid"),
+        F.min(F.when(valid, bits.resolution(cell))).alias("coarsest"),
+        F.max(F.when(valid, bits.resolution(cell))).alias("finest"),
+        F.collect_set(F.when(valid, bits.resolution(cell))).alias("levels"),
+    ).first()
+    _judge(facts, what, empty_ok, single)
+    return facts, counted.select("cell")
 
 
 def uncompact(cells: DataFrame, res: int, chunk: int = 5) -> DataFrame:

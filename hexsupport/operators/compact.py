@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexsupport.functions import bits
-from hexsupport.operators.cells import SupportError, as_cells, checked, uncompact, whole_number
+from hexsupport.operators.cells import SupportError, as_cells, settled, uncompact, whole_number
+from hexsupport.sources.shared import written
 
 SPAN = 4
 
@@ -46,21 +47,23 @@ def compact(source: DataFrame, min_resolution: int | None = None, column: str =
 
     ``min_resolution`` is the coarsest resolution allowed. Repeated cells count once.
     """
-    res = _resolution(source, column, validate)
+    res, cells = _source(source, column, validate)
     if min_resolution is not None:
         high = bits.FINEST if res is None else res
         min_resolution = whole_number(min_resolution, 0, high, f"`min_resolution` must be between 0 and {high}")
     if res is None:
         return source.sparkSession.createDataFrame([], "h3 string")
-    found = owners(as_cells(source, column), res, min_resolution or 0)
+    found = owners(cells, res, min_resolution or 0)
     return found.select("owner").distinct().select(bits.to_text(F.col("owner")).alias("h3")).orderBy("h3")
 
 
-def _resolution(source: DataFrame, column: str, validate: bool) -> int | None:
+def _source(source: DataFrame, column: str, validate: bool) -> tuple[int | None, DataFrame]:
+    """The resolution of a source, None if it is empty, and its distinct ``cells(cell)``."""
     if validate:
-        return checked(source, "x", column, single="source ").finest
+        facts, cells = settled(source, "x", column, single="source ")
+        return facts.finest, cells
     row = source.select(bits.resolution(bits.to_long(F.col(column))).alias("r")).limit(1).collect()
-    return row[0].r if row else None
+    return row[0].r if row else None, as_cells(source, column)
 
 
 def owned(source: DataFrame, compacted: DataFrame, resolutions: list[int]) -> DataFrame:
@@ -89,15 +92,16 @@ def ownership(source: DataFrame, compacted: DataFrame, column: str = "h3", valid
     The owner is the cell itself if compacted has it (``exact``), else its finest
     ancestor there (``ancestor``). Compacted cells that own nothing are left out.
     """
-    if validate:
-        own = checked(source, "source", column, empty_ok=False, single="")
-        other = checked(compacted, "compacted", column, empty_ok=False)
+    if not validate:
+        kept = as_cells(compacted, column)
+        levels = sorted(r.r for r in kept.select(bits.resolution(F.col("cell")).alias("r")).distinct().collect())
+        pairs = owned(as_cells(source, column), kept, levels)
+    else:
+        own, cells = settled(source, "source", column, empty_ok=False, single="")
+        other, kept = settled(compacted, "compacted", column, empty_ok=False)
         if other.finest > own.finest:
             raise SupportError("`compacted` has cells finer than the source resolution")
-    cells = as_cells(compacted, column)
-    levels = sorted(r.r for r in cells.select(bits.resolution(F.col("cell")).alias("r")).distinct().collect())
-    pairs = owned(as_cells(source, column), cells, levels)
-    if validate:
+        pairs = written(owned(cells, kept, sorted(other.levels)))
         lost = pairs.filter("owner IS NULL").count()
         if lost:
             raise SupportError(f"Source ownership is incomplete: {lost} cells without an owner")
@@ -106,10 +110,10 @@ def ownership(source: DataFrame, compacted: DataFrame, column: str = "h3", valid
 
 def compact_and_own(source: DataFrame, min_resolution: int = 0, column: str = "h3", validate: bool = True) -> DataFrame:
     """The relation between a source and its own compaction, in one pass and unsorted."""
-    res = _resolution(source, column, validate)
+    res, cells = _source(source, column, validate)
     if res is None:
         raise SupportError("`source` must contain at least one cell")
-    return relation(owners(as_cells(source, column), res, min_resolution))
+    return relation(owners(cells, res, min_resolution))
 
 
 def expanded(compacted: DataFrame, res: int, column: str = "h3") -> DataFrame:

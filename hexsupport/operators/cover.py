@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from hexsupport.functions import bits, grid, planar
 from hexsupport.functions.project import azimuthal, gnomonic
 from hexsupport.operators.cells import SupportError, as_cells, checked, whole_number
-from hexsupport.operators.polygons import DEPTH, cell_rings, checked_polygons, descend, numbered, reach, shapes
+from hexsupport.operators.polygons import DEPTH, Laid, cell_rings, checked_polygons, descend, numbered, reach, shapes
 
 RULES = ("center", "within", "intersects", "overlap")
 #: A cell is contained if no more than this share of it lies outside.
@@ -54,22 +54,21 @@ def _seeds(polygons: DataFrame, crs: int, res: int) -> DataFrame:
 
 
 def disks(cells: DataFrame, rings: int) -> DataFrame:
-    """``cells(cell)`` and all within ``rings`` steps, each once.
-
-    A round adds the neighbours of the cells that the round before added.
-    """
+    """``cells(cell)`` and all within ``rings`` steps, each once: a task goes outwards from its own cells, whatever the number of rings."""
+    turn = max(1, 1_000_000 // (1 + 3 * rings * (rings + 1)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             cell = df.cell.to_numpy()
-            for k in range(0, len(cell), 50_000):
-                yield pd.DataFrame({"cell": np.unique(grid.neighbours(cell[k : k + 50_000])[1])})
+            for k in range(0, len(cell), turn):
+                whole = edge = np.unique(cell[k : k + turn])
+                for _ in range(rings):
+                    edge = np.setdiff1d(grid.neighbours(edge)[1], whole)
+                    whole = np.union1d(whole, edge)
+                yield pd.DataFrame({"cell": whole})
 
-    whole = edge = cells.select("cell").distinct()
-    for _ in range(rings):
-        edge = edge.mapInPandas(run, "cell long").distinct().join(whole, "cell", "left_anti")
-        whole = whole.unionByName(edge)
-    return whole
+    cells = cells.select("cell").distinct()
+    return cells.mapInPandas(run, "cell long").distinct() if rings else cells
 
 
 def expand(cells: DataFrame, rings: int = 1, column: str = "h3", validate: bool = True) -> DataFrame:
@@ -80,25 +79,38 @@ def expand(cells: DataFrame, rings: int = 1, column: str = "h3", validate: bool
     return disks(as_cells(cells, column), rings).select(bits.to_text(F.col("cell")).alias("h3"))
 
 
-def near_pairs(cells: DataFrame, polygons: DataFrame, crs: int, res: int) -> DataFrame:
-    """``(cell, poly, geometry)`` for cells and polygons that may meet: an equi-join on coarse cells."""
+def near_groups(cells: DataFrame, polygons: DataFrame, crs: int, res: int) -> DataFrame:
+    """``(poly, coarse, cells, geometry)``: the cells below a coarse cell (at most ``7 ** DEPTH``) and a polygon that they may meet; an equi-join on coarse cells."""
     low = max(0, res - DEPTH)
-    met = reach(polygons, crs, low).withColumnRenamed("coarse", "a")
-    pairs = cells.select("cell", bits.parent(F.col("cell"), low).alias("a")).join(met, "a").select("cell", "poly")
-    return pairs.join(polygons.select("poly", "geometry"), "poly")
+    below = cells.select("cell", bits.parent(F.col("cell"), low).alias("coarse")).groupBy("coarse").agg(F.collect_list("cell").alias("cells"))
+    pairs = reach(polygons, crs, low).join(below, "coarse")
+    return pairs.join(polygons.select("poly", "geometry"), "poly").select("poly", "coarse", "cells", "geometry")
+
 
+def meeting(polygons: DataFrame, crs: int, res: int) -> DataFrame:
+    """``(poly, cell)``: all cells of a resolution that have a point in common with a polygon.
+
+    Every cell near the polygon's box is a candidate. Cells whose centre lies
+    farther from the outline than their corners are settled at once.
+    """
+    low = max(0, res - DEPTH)
 
-def _meeting(crs: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            keep = []
-            lat, lng = grid.centres(df.cell.to_numpy())
-            for shape, ring, at in zip(shapes(df.geometry, crs), cell_rings(df.cell.to_numpy()), zip(lng, lat, strict=True), strict=True):
-                to = gnomonic(*at)
-                keep.append(planar.meet([[to(ring)]], planar.mapped(shape, to)))
-            yield df.loc[keep, ["cell"]]
+            for poly, part in df.groupby("poly"):
+                shape = shapes(part.geometry[:1], crs)[0]
+                for coarse in part.coarse.to_numpy():
+                    cell = descend(planar.box(shape), np.array([coarse]), low, res)
+                    if len(cell):
+                        lat, lng = grid.centres(np.array([coarse]))
+                        laid = Laid(shape, cell, gnomonic(lng[0], lat[0]))
+                        keep = laid.inside.copy()
+                        for k in np.flatnonzero(laid.near).tolist():
+                            keep[k] = planar.meet([[laid.rings[k]]], laid.flat)
+                        yield pd.DataFrame({"poly": np.full(keep.sum(), poly, np.int64), "cell": cell[keep]})
 
-    return run
+    rows = reach(polygons, crs, low).join(polygons.select("poly", "geometry"), "poly")
+    return rows.repartition("poly", "coarse").select("poly", "coarse", "geometry").mapInPandas(run, "poly long, cell long")
 
 
 def _pieces(crs: int, spherical: bool):
@@ -107,13 +119,14 @@ def _pieces(crs: int, spherical: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             out = []
-            cell = df.cell.to_numpy()
-            lat, lng = grid.centres(cell)
-            for c, shape, ring, at in zip(cell, shapes(df.geometry, crs), cell_rings(cell), zip(lng, lat, strict=True), strict=True):
-                to = gnomonic(*at) if spherical else azimuthal(*at)
-                found = planar.clipped(planar.mapped(shape, to), to(ring))
-                if found:
-                    out.append((c, [r.ravel().tolist() for r in found]))
+            for cells, shape in zip(df.cells, shapes(df.geometry, crs), strict=True):
+                cell = np.asarray(cells, np.int64)
+                lat, lng = grid.centres(cell)
+                for c, ring, at in zip(cell, cell_rings(cell), zip(lng, lat, strict=True), strict=True):
+                    to = gnomonic(*at) if spherical else azimuthal(*at)
+                    found = planar.clipped(planar.mapped(shape, to), to(ring))
+                    if found:
+                        out.append((c, [r.ravel().tolist() for r in found]))
             yield pd.DataFrame(out, columns=["cell", "rings"])
 
     return run
@@ -136,14 +149,16 @@ def _covered(least: float, spherical: bool):
     return run
 
 
-def cover(polygons: DataFrame, resolution: int, boundary: str = "center", min_overlap: float | None = None, crs: int = 4326, validate: bool = True) -> DataFrame:
+def cover(polygons: DataFrame, resolution: int, boundary: str = "center", min_overlap: float | None = None, crs: int = 4326, validate: bool = True, exhaustive: bool = False) -> DataFrame:
     """``(h3)``: the cells of a resolution that cover a polygon table under a rule, each once.
 
     ``center``: the centre lies in a polygon. ``within``: the cell lies in the
     union. ``intersects``: it has a point in common with a polygon. ``overlap``: at
     least ``min_overlap`` of its area is covered by the union (1: ``within``, of all
-    candidates). Candidates of the last two are the centre cells, the cell of a point inside
-    each polygon, and their neighbours.
+    candidates). Candidates of the last two are the centre cells, the cell of a
+    point inside each polygon, and their neighbours: polygons thinner than a cell
+    and sharp corners may meet cells beyond. With ``exhaustive`` every cell that
+    meets a polygon is a candidate.
     """
     resolution = whole_number(resolution, 0, bits.FINEST, "`resolution` must be an integer between 0 and 15")
     if boundary not in RULES:
@@ -156,18 +171,18 @@ def cover(polygons: DataFrame, resolution: int, boundary: str = "center", min_ov
     if validate:
         checked_polygons(polygons, crs)
     polygons = numbered(polygons)
-    centres = centre_cells(polygons, crs, resolution)
-    if boundary in ("center", "within"):
-        cells = centres.select("cell").distinct()
+    if boundary == "center":
+        cells = centre_cells(polygons, crs, resolution).select("cell").distinct()
+        return cells.select(bits.to_text(F.col("cell")).alias("h3"))
+    found = (centre_cells if boundary == "within" else meeting)(polygons, crs, resolution).select("cell").distinct()
+    if boundary != "within" and not exhaustive:
+        beside = disks(centre_cells(polygons, crs, resolution).unionByName(_seeds(polygons, crs, resolution)).select("cell"), 1)
+        found = found.join(beside, "cell", "left_semi")
+    if boundary == "intersects":
+        cells = found
     else:
-        cells = disks(centres.unionByName(_seeds(polygons, crs, resolution)).select("cell"), 1)
-    if boundary != "center":
-        pairs = near_pairs(cells, polygons, crs, resolution)
-        if boundary == "intersects":
-            cells = pairs.mapInPandas(_meeting(crs), "cell long").distinct()
-        else:
-            spherical = boundary == "within" or min_overlap == 1
-            pieces = pairs.mapInPandas(_pieces(crs, spherical), "cell long, rings array<array<double>>")
-            grouped = pieces.groupBy("cell").agg(F.collect_list("rings").alias("pieces"))
-            cells = grouped.mapInPandas(_covered(1 - SLIVER if spherical else min_overlap, spherical), "cell long")
+        spherical = boundary == "within" or min_overlap == 1
+        pieces = near_groups(found, polygons, crs, resolution).mapInPandas(_pieces(crs, spherical), "cell long, rings array<array<double>>")
+        grouped = pieces.groupBy("cell").agg(F.collect_list("rings").alias("pieces"))
+        cells = grouped.mapInPandas(_covered(1 - SLIVER if spherical else min_overlap, spherical), "cell long")
     return cells.select(bits.to_text(F.col("cell")).alias("h3"))

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexsupport.functions import grid, planar
-from hexsupport.functions.project import SYSTEMS, from_lng_lat, gnomonic, to_lng_lat
+from hexsupport.functions.project import SYSTEMS, from_lng_lat, gnomonic, supported, to_lng_lat
 from hexsupport.operators.cells import SupportError
 from hexsupport.sources.fixtures import GEOMETRY
+from hexsupport.sources.shared import written
 
 #: Radius of a resolution-0 cell in degrees of arc, with room for descendants that stand out of their ancestor.
 REACH = 1.7 * 1.1 * 1281.256 / 6371.0088 * 180 / np.pi
@@ -24,8 +25,8 @@ def checked_polygons(polygons: DataFrame, crs: int | None, id_col: str | None =
     """Raises unless there are valid polygons, a supported reference system and, if asked for, unique ids."""
     if crs is None:
         raise SupportError("Polygons must have a defined coordinate reference system")
-    if crs not in SYSTEMS:
-        raise SupportError(f"Reference system {crs} is not supported; use one of {SYSTEMS}")
+    if not supported(crs):
+        raise SupportError(f"Reference system {crs} is not supported; use one of {SYSTEMS} or a UTM zone (32601 to 32660, 32701 to 32760)")
     if "geometry" not in polygons.columns or polygons.schema["geometry"].dataType.simpleString() != GEOMETRY:
         raise SupportError("Polygons need a `geometry` column of POLYGON or MULTIPOLYGON as nested arrays")
     if id_col is not None:
@@ -88,8 +89,8 @@ def reach(polygons: DataFrame, crs: int, res: int) -> DataFrame:
 
 
 def numbered(polygons: DataFrame) -> DataFrame:
-    """``polygons`` with ``poly``: the place of each row in the table."""
-    return polygons.withColumn("poly", F.monotonically_increasing_id())
+    """``polygons`` with ``poly``: the place of each row in the table. It is written once, so that all that reads it sees the same places."""
+    return written(polygons.withColumn("poly", F.monotonically_increasing_id()))
 
 
 def cell_rings(cell: np.ndarray) -> list[np.ndarray]:
@@ -106,3 +107,27 @@ def cell_rings(cell: np.ndarray) -> list[np.ndarray]:
 def plane_for(centre: tuple[float, float], crs: int):
     """Where topology is judged: great circles are straight for longitude and latitude, the plane of the reference system else."""
     return gnomonic(*centre) if crs == 4326 else lambda p: from_lng_lat(p, crs)
+
+
+class Laid:
+    """Cells and a shape in one plane: ``flat`` (the shape), ``rings`` and ``at`` (boundaries and centres).
+
+    ``near``: the outline may come into the cell; of the others, ``inside`` tells whether all of the cell lies in the shape.
+    """
+
+    #: Distances of points from edges that are held at once.
+    HELD = 1 << 20
+
+    def __init__(self, shape: planar.Shape, cell: np.ndarray, to):
+        self.flat = planar.mapped(shape, to)
+        lat, lng = grid.centres(cell)
+        rings = cell_rings(cell)
+        size = [len(r) for r in rings]
+        self.rings = np.split(to(np.concatenate(rings)), np.cumsum(size)[:-1])
+        self.at = to(np.stack([lng, lat], 1))
+        reach = np.array([np.sqrt(((r - c) ** 2).sum(axis=1).max()) for r, c in zip(self.rings, self.at, strict=True)])
+        turn = max(1, self.HELD // len(planar.edges(self.flat)[0]))
+        parts = [self.at[k : k + turn] for k in range(0, len(cell), turn)]
+        far = np.concatenate([planar.distance(self.flat, p) for p in parts])
+        self.near = far <= reach * (1 + 1e-9) + 1e-12
+        self.inside = np.concatenate([planar.inside(self.flat, p) for p in parts])

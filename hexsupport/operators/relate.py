@@ -6,14 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexsupport.functions import bits, grid, planar
 from hexsupport.functions.project import azimuthal, from_lng_lat, gnomonic
 from hexsupport.operators.cells import SupportError, as_cells, checked
-from hexsupport.operators.cover import near_pairs
-from hexsupport.operators.polygons import cell_rings, checked_polygons, numbered, plane_for, reach, shapes
+from hexsupport.operators.cover import near_groups
+from hexsupport.operators.polygons import Laid, cell_rings, checked_polygons, numbered, plane_for, reach, shapes
+from hexsupport.sources.shared import written
 
 #: Relative tolerance of equal overlaps, and of equal distances.
 TIE, EQUAL = 2.0**-26, 1e-9
@@ -49,24 +50,27 @@ def check_topology(polygons: DataFrame, crs: int = 4326) -> None:
 
 
 def _features(crs: int, areas: bool):
-    """Per cell and polygon: whether the centre lies inside, whether they meet, and the overlap in square metres."""
+    """Per cell and polygon that meet: whether the centre lies inside, and the overlap in square metres. Cells wholly inside are settled at once."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            cell = df.cell.to_numpy()
-            lat, lng = grid.centres(cell)
             out = []
-            for c, poly, shape, ring, x, y in zip(cell, df.poly, shapes(df.geometry, crs), cell_rings(cell), lng, lat, strict=True):
-                to = plane_for((x, y), crs)
-                flat, hexagon, centre = planar.mapped(shape, to), to(ring), to(np.array([[x, y]]))
-                if not planar.meet([[hexagon]], flat):
-                    continue
-                within = bool(planar.inside(flat, centre)[0]) and not bool(planar.on_edge(flat, centre)[0])
-                area = None
-                if areas:
-                    local = azimuthal(x, y)
-                    area = planar.union_area([planar.clipped(planar.mapped(shape, local), local(ring))])
-                out.append((c, poly, within, area))
+            for poly, cells, shape in zip(df.poly, df.cells, shapes(df.geometry, crs), strict=True):
+                cell = np.asarray(cells, np.int64)
+                lat, lng = grid.centres(cell)
+                laid = Laid(shape, cell, plane_for((lng[0], lat[0]), crs))
+                rings = cell_rings(cell) if areas else None
+                for k in np.flatnonzero(laid.near | laid.inside).tolist():
+                    near, within, area = laid.near[k], True, None
+                    if near:
+                        if not planar.meet([[laid.rings[k]]], laid.flat):
+                            continue
+                        centre = laid.at[k : k + 1]
+                        within = bool(laid.inside[k]) and not bool(planar.on_edge(laid.flat, centre)[0])
+                    if areas:
+                        local = azimuthal(lng[k], lat[k])
+                        area = planar.union_area([planar.clipped(planar.mapped(shape, local), local(rings[k]))]) if near else abs(planar.ring_area(local(rings[k])))
+                    out.append((cell[k], poly, within, area))
             yield pd.DataFrame(out, columns=["cell", "poly", "within", "area"]).astype({"area": float})
 
     return run
@@ -82,8 +86,7 @@ def membership(cells: DataFrame, polygons: DataFrame, id_col: str, crs: int = 43
     else:
         res = cells.agg(F.min(bits.resolution(bits.to_long(F.col(column))))).first()[0]
     table = numbered(polygons)
-    pairs = near_pairs(as_cells(cells, column), table, crs, res).select("cell", "poly", "geometry")
-    met = pairs.mapInPandas(_features(crs, False), "cell long, poly long, within boolean, area double")
+    met = near_groups(as_cells(cells, column), table, crs, res).mapInPandas(_features(crs, False), "cell long, poly long, within boolean, area double")
     named = met.join(table.select("poly", F.col(f"`{id_col}`").alias("polygon_id")), "poly")
     return named.orderBy(bits.to_text(F.col("cell")), "poly").select(bits.to_text(F.col("cell")).alias("h3"), "polygon_id")
 
@@ -132,10 +135,9 @@ def cascade(features: DataFrame) -> DataFrame:
     The polygon around the centre; else the only one that meets the cell; else the
     one with the largest overlap, unless another equals it.
     """
-    per = features.groupBy("cell").agg(F.count("*").cast("int").alias("hits"), F.count_if("within").alias("inside"), F.max_by("poly", F.col("within").cast("int")).alias("around"), F.max_by("poly", "area").alias("most"), F.max("area").alias("top"))
-    slack = F.greatest(F.lit(TIE), F.col("top") * TIE)
-    level = features.join(per.select("cell", "top"), "cell").groupBy("cell").agg(F.count_if(F.col("area") >= F.col("top") - slack).alias("level"))
-    per = per.join(level, "cell")
+    ranked = features.withColumn("top", F.max("area").over(Window.partitionBy("cell")))
+    level = F.count_if(F.col("area") >= F.col("top") - F.greatest(F.lit(TIE), F.col("top") * TIE))
+    per = ranked.groupBy("cell").agg(F.count("*").cast("int").alias("hits"), F.count_if("within").alias("inside"), F.max_by("poly", F.col("within").cast("int")).alias("around"), F.max_by("poly", "area").alias("most"), level.alias("level"))
     method = F.when(F.col("inside") > 1, "error").when(F.col("inside") == 1, "centre").when(F.col("hits") == 1, "intersects").when(F.col("level") == 1, "largest_overlap").otherwise("ambiguous")
     per = per.withColumn("assignment_method", method)
     poly = F.when(F.col("assignment_method") == "centre", F.col("around")).when(F.col("assignment_method") != "ambiguous", F.col("most"))
@@ -167,9 +169,9 @@ def assign(cells: DataFrame, polygons: DataFrame, id_col: str, keep: list[str] |
     else:
         res = cells.agg(F.min(bits.resolution(bits.to_long(F.col(column))))).first()[0]
     table = numbered(polygons)
-    own = as_cells(cells, column)
-    pairs = near_pairs(own, table, crs, res).select("cell", "poly", "geometry")
-    met = cascade(pairs.mapInPandas(_features(crs, True), "cell long, poly long, within boolean, area double"))
+    own = written(as_cells(cells, column))
+    features = near_groups(own, table, crs, res).mapInPandas(_features(crs, True), "cell long, poly long, within boolean, area double")
+    met = written(cascade(features))
     if validate and not met.filter("assignment_method = 'error'").isEmpty():
         raise SupportError("There are multiple assignments for an H3 centre")
     met = met.withColumn("assignment_distance", F.lit(0.0))

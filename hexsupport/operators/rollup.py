@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hexsupport.functions import bits
 from hexsupport.operators.cells import SupportError, faults
+from hexsupport.sources.shared import written
 
 KEYS = ("compact_h3", "compact_resolution", "source_cell_n")
 RELATION = ("source_h3", "source_resolution", "compact_h3", "compact_resolution", "relationship")
@@ -50,7 +51,7 @@ def _arguments(data: DataFrame, relation: DataFrame, sums: list[str], collapses:
 
 
 def _contents(data: DataFrame, relation: DataFrame, sums: list[str], column: str) -> None:
-    """All checks of the rows: one pass over the data, one over the relation, one over both."""
+    """Tells what is wrong with the rows, check by check; called only where the joined rows show that something is."""
     gaps = [F.count_if(F.col(f"`{f}`").isNull() | F.isnan(F.col(f"`{f}`").cast("double"))).alias(f"gap{k}") for k, f in enumerate(sums)]
     found = data.agg(*faults(data, column), F.count_distinct(F.lower(f"`{column}`")).alias("kinds"), *gaps).first()
     if not found.rows:
@@ -91,10 +92,14 @@ def rollup(data: DataFrame, relation: DataFrame, sum=None, collapse=None, column
     """
     sums, collapses = _names(sum, "sum"), _names(collapse, "collapse")
     _arguments(data, relation, sums, collapses, column)
-    if validate:
-        _contents(data, relation, sums, column)
     rows = data.select(F.lower(f"`{column}`").alias("source_h3"), *(F.col(f"`{f}`").cast("double").alias(f"s{k}") for k, f in enumerate(sums)), *(_as_text(data, f).alias(f"c{k}") for k, f in enumerate(collapses)))
-    joined = rows.join(relation.select("source_h3", "compact_h3", "compact_resolution"), "source_h3")
+    if validate:
+        joined, before = _joined(rows, relation, len(sums))
+        if before is None:
+            _contents(data, relation, sums, column)
+            raise SupportError("`data` and `lookup` do not fit together")
+    else:
+        joined = rows.join(relation.select("source_h3", "compact_h3", "compact_resolution"), "source_h3")
     aggs = [F.count("*").cast("int").alias("source_cell_n"), *(F.sum(f"s{k}").alias(f"s{k}") for k in range(len(sums))), *(F.array_sort(F.collect_set(f"c{k}")).alias(f"c{k}") for k in range(len(collapses)))]
     grouped = joined.groupBy("compact_h3", "compact_resolution").agg(*aggs)
     columns = [*KEYS, *(F.col(f"s{k}").alias(f) for k, f in enumerate(sums))]
@@ -102,13 +107,26 @@ def rollup(data: DataFrame, relation: DataFrame, sum=None, collapse=None, column
         columns += [F.when(F.size(f"c{k}") > 0, F.array_join(f"c{k}", SEPARATOR)).alias(f), F.size(f"c{k}").cast("int").alias(f"{f}_n")]
     out = grouped.select(*columns)
     if validate:
-        conserved(rows, out, sums)
+        out = written(out)
+        conserved(before, out, sums)
     return out.orderBy("compact_h3")
 
 
-def conserved(rows: DataFrame, out: DataFrame, sums: list[str]) -> None:
+def _joined(rows: DataFrame, relation: DataFrame, n_sums: int):
+    """(rows with their owners, their number and sums): joined and written once; the sums are None where any check fails."""
+    own = relation.select(*RELATION, F.lit(1).alias("r"))
+    both = rows.withColumn("l", F.lit(1)).join(own, "source_h3", "full")
+    # the window goes by the join's key, so that nothing is dealt again
+    both = both.withColumn("times", F.count("*").over(Window.partitionBy("source_h3")))
+    gap = reduce(lambda a, c: a | F.col(c).isNull(), ("source_resolution", "compact_h3", "compact_resolution", "relationship", "l", "r"), F.col("source_h3").isNull())
+    gap = reduce(lambda a, k: a | F.col(f"s{k}").isNull() | F.isnan(f"s{k}"), range(n_sums), gap | (F.col("times") > 1) | ~bits.is_valid(bits.to_long(F.col("source_h3"))))
+    both = written(both.withColumn("bad", gap).drop("source_resolution", "relationship", "l", "r", "times"))
+    facts = both.agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"), *(F.sum(f"s{k}").alias(f"s{k}") for k in range(n_sums))).first()
+    return both, (facts if facts.n and not facts.bad else None)
+
+
+def conserved(before, out: DataFrame, sums: list[str]) -> None:
     """Raises unless every source row and every sum is found in the owners once."""
-    before = rows.agg(F.count("*").alias("n"), *(F.sum(f"s{k}").alias(f"s{k}") for k in range(len(sums)))).first()
     after = out.agg(F.sum("source_cell_n").alias("n"), *(F.sum(f"`{f}`").alias(f"s{k}") for k, f in enumerate(sums))).first()
     if (after.n or 0) != before.n:
         raise SupportError(f"{before.n} source rows became {after.n}")

@@ -9,14 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexsupport.functions import planar
+from hexsupport.functions import grid, planar
 from hexsupport.operators.compact import compact, ownership
 from hexsupport.operators.cover import cover, expand
+from hexsupport.operators.polygons import cell_rings, descend
 from hexsupport.operators.relate import TIE, assign, cascade, membership, overlapping_pairs
 from hexsupport.operators.render import boundaries, with_geojson, with_wkt
 from hexsupport.operators.rollup import rollup
 from hexsupport.plans.algebra import table
-from hexsupport.sources.fixtures import GEOMETRY, toy_features, toy_polygons
+from hexsupport.sources.fixtures import FEATURES, GEOMETRY, TOY, toy_features, toy_polygons
+from hexsupport.sources.shared import written
 
 #: The kernels on rectangles: polygons are a 5 x 5 lattice of 10 x 10 squares with gaps, cells squares of side 4.
 PITCH, SIDE, CELL = 12.0, 10.0, 4.0
@@ -151,6 +153,10 @@ def cover_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover(toy_features(spark), 8, "intersects")
 
 
+def cover_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover(toy_features(spark), 8, "intersects", exhaustive=True)
+
+
 def membership_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return membership(cover(toy_features(spark), 7), toy_features(spark), "feature_id")
 
@@ -169,7 +175,7 @@ def assign_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def workflow_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage, assignment, compaction, ownership and rollup from end to end."""
     features = toy_features(spark)
-    cells = cover(features, 8, "intersects").cache()
+    cells = written(cover(features, 8, "intersects"))
     named = assign(cells, features, "feature_id", ["group_name"]).select("h3", F.coalesce("polygon_id", F.lit("none")).alias("feature"), "group_name").withColumn("one", F.lit(1))
     return rollup(named, ownership(cells, compact(cells, 7)), sum=["one"], collapse=["feature", "group_name"])
 
@@ -181,7 +187,7 @@ def render_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        membership_lattice, within_lattice, overlap_lattice, assign_lattice, nearest_lattice, topology_pairs, cover_toy, cover_within, cover_overlap, cover_features, membership_features,
+        membership_lattice, within_lattice, overlap_lattice, assign_lattice, nearest_lattice, topology_pairs, cover_toy, cover_within, cover_overlap, cover_features, cover_exhaustive, membership_features,
         assign_features, assign_nearest, workflow_features, render_boundaries,
     )
 }
@@ -212,3 +218,46 @@ SQL = {
     "topology_pairs": """WITH p AS (SELECT n_nationkey::BIGINT AS k, n_nationkey % 5 AS i, n_nationkey // 5 AS j, CASE WHEN n_nationkey % 3 = 0 THEN 3 ELSE 2 END AS wide FROM nation)
       SELECT x.k AS a, y.k AS b FROM p x JOIN p y ON x.k < y.k AND x.j = y.j AND 2 * x.i < 2 * y.i + y.wide AND 2 * y.i < 2 * x.i + x.wide""",
 }
+
+
+def _cell_sql(shapes: dict, res: int) -> str:
+    """CTEs ``met(h3, id, crossed, around)`` for the cells near shapes and each shape.
+
+    Centres and corners of all cells around the shapes come precomputed; the rest
+    is plain SQL, in a plane with the cell's centre as origin in which great
+    circles are straight: whether an edge of the cell crosses one of the shape, and
+    whether the shape lies around the centre. No shape here fits into a cell.
+    """
+    edges = [(k, *a, *b) for k, g in shapes.items() for polygon in g for ring in polygon for a, b in zip(ring, ring[1:], strict=False)]
+    outline = [[np.array([[a, b] for _, a, b, _, _ in edges])]]
+    cell = descend(planar.box(outline), grid.roots(), 0, res)
+    lat, lng = grid.centres(cell)
+    listed = ", ".join(f"('{c:x}', {x:.12f}, {y:.12f}, {np.round(ring[:, 0], 12).tolist()}, {np.round(ring[:, 1], 12).tolist()})" for c, x, y, ring in zip(cell.tolist(), lng, lat, cell_rings(cell), strict=True))
+
+    def flat(x: str, y: str) -> str:
+        depth = f"(sin(radians(y0)) * sin(radians({y})) + cos(radians(y0)) * cos(radians({y})) * cos(radians({x} - x0)))"
+        return f"cos(radians({y})) * sin(radians({x} - x0)) / {depth}, (cos(radians(y0)) * sin(radians({y})) - sin(radians(y0)) * cos(radians({y})) * cos(radians({x} - x0))) / {depth}"
+
+    turn = lambda p, q, r: f"(({q}x - {p}x) * ({r}y - {p}y) - ({q}y - {p}y) * ({r}x - {p}x))"
+    return f"""cells(h3, x0, y0, xs, ys) AS (VALUES {listed}),
+  edges(id, ex, ey, fx, fy) AS (VALUES {", ".join(f"('{k}', {', '.join(map(repr, rest))})" for k, *rest in edges)}),
+  sides AS (SELECT h3, x0, y0, unnest(xs) AS px, unnest(ys) AS py, unnest(list_concat(xs[2:], xs[:1])) AS qx, unnest(list_concat(ys[2:], ys[:1])) AS qy FROM cells),
+  hexagon(h3, px, py, qx, qy) AS (SELECT h3, {flat("px", "py")}, {flat("qx", "qy")} FROM sides),
+  outline(h3, id, ex, ey, fx, fy) AS (SELECT h3, id, {flat("ex", "ey")}, {flat("fx", "fy")} FROM cells CROSS JOIN edges),
+  around AS (SELECT h3, id, count(*) FILTER ((ey > 0) <> (fy > 0) AND ex - ey / nullif(fy - ey, 0) * (fx - ex) > 0) % 2 = 1 AS around FROM outline GROUP BY h3, id),
+  crossed AS (SELECT DISTINCT h3, id FROM outline JOIN hexagon USING (h3)
+    WHERE {turn("e", "f", "p")} * {turn("e", "f", "q")} <= 0 AND {turn("p", "q", "e")} * {turn("p", "q", "f")} <= 0),
+  met AS (SELECT a.h3, a.id, c.h3 IS NOT NULL AS crossed, around FROM around a LEFT JOIN crossed c USING (h3, id) WHERE around OR c.h3 IS NOT NULL)"""
+
+
+def sql() -> dict[str, str]:
+    """SQL for the queries of this module that have any."""
+    return SQL | {
+        "cover_within": f"WITH {_cell_sql(TOY, 8)} SELECT h3 FROM met WHERE around AND NOT crossed",
+        "cover_exhaustive": f"WITH {_cell_sql(FEATURES, 8)} SELECT DISTINCT h3 FROM met",
+        # of those, the ones whose centre is at most one step (0.0090 degrees here, two steps are 0.0155 or more) from a cell around whose centre a shape lies
+        "cover_features": f"""WITH {_cell_sql(FEATURES, 8)} SELECT DISTINCT m.h3 FROM met m JOIN cells c USING (h3) WHERE EXISTS (SELECT 1 FROM met n JOIN cells d ON n.h3 = d.h3
+    WHERE n.around AND sqrt(power((c.x0 - d.x0) * cos(radians(c.y0)), 2) + power(c.y0 - d.y0, 2)) < 0.012)""",
+        # coarse cells by their centre, and all pairs that meet
+        "membership_features": f"WITH {_cell_sql(FEATURES, 7)} SELECT h3, id AS polygon_id FROM met WHERE h3 IN (SELECT h3 FROM met WHERE around)",
+    }

@@ -1,13 +1,16 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hexsupport.functions import bits
+from hexsupport.functions import bits, grid, planar
+from hexsupport.functions.project import from_lng_lat, gnomonic, to_lng_lat
 from hexsupport.operators.audit import audit
 from hexsupport.operators.cells import SupportError
 from hexsupport.operators.compact import compact, expanded, ownership
 from hexsupport.operators.cover import cover, expand
+from hexsupport.operators.polygons import cell_rings
 from hexsupport.operators.relate import assign, membership
 from hexsupport.operators.render import boundaries, svg
 from hexsupport.operators.rollup import rollup
@@ -124,9 +127,6 @@ def test_coverage_rules_contain_each_other(spark):
 def test_small_and_projected_polygons(spark):
     tiny = spark.createDataFrame([([[rectangle(144.95, -37.80, 144.952, -37.798)]],)], f"geometry {GEOMETRY}")
     assert cover(tiny, 8).count() == 0 and cover(tiny, 8, "within").count() == 0 and cover(tiny, 8, "intersects").count() >= 1
-    from hexsupport.functions.project import from_lng_lat, to_lng_lat
-    import numpy as np
-
     ring = np.array(rectangle(144.90, -37.85, 145.00, -37.75))
     for crs in (3857, 7899):
         moved = from_lng_lat(ring, crs)
@@ -135,6 +135,48 @@ def test_small_and_projected_polygons(spark):
         assert cover(table, 7, crs=crs).count() == 17
 
 
+#: Shapes that are hard to cover.
+HARD = {
+    "sliver": [[rectangle(144.80, -37.80, 145.20, -37.7999)]],
+    "tiny": [[rectangle(144.95, -37.80, 144.952, -37.798)]],
+    "bay": [[[[144.80, -37.80], [145.00, -37.80], [145.00, -37.70], [144.98, -37.70], [144.98, -37.78], [144.82, -37.78], [144.82, -37.70], [144.80, -37.70], [144.80, -37.80]]]],
+    "neck": [[[[144.80, -37.80], [144.90, -37.80], [144.90, -37.755], [145.00, -37.755], [145.00, -37.80], [145.10, -37.80], [145.10, -37.70], [145.00, -37.70], [145.00, -37.745], [144.90, -37.745], [144.90, -37.70], [144.80, -37.70], [144.80, -37.80]]]],
+    "ring": [[rectangle(144.80, -37.80, 144.90, -37.70), rectangle(144.805, -37.795, 144.895, -37.705)[::-1]]],
+    "parts": [[rectangle(144.80, -37.80, 144.84, -37.76)], [rectangle(144.90, -37.74, 144.94, -37.70)]],
+}
+
+
+@pytest.mark.parametrize("name", sorted(HARD))
+def test_all_cells_that_meet_a_polygon_are_found(spark, name):
+    """Against each cell around the polygon, tried alone, and against the cells of points in it."""
+    shape = planar.shape_of(HARD[name])
+    west, south, east, north = planar.box(shape)
+    table = spark.createDataFrame([(HARD[name],)], f"geometry {GEOMETRY}")
+    found = {int(h, 16) for h in _set(cover(table, 8, "intersects", exhaustive=True))}
+    x, y = (v.ravel() for v in np.meshgrid(np.linspace(west, east, 400), np.linspace(south, north, 60)))
+    within = planar.inside(shape, np.stack([x, y], 1))
+    assert set(grid.cells(y[within], x[within], 8).tolist()) <= found
+    wide = np.unique(grid.cells(*(v.ravel() for v in np.meshgrid(np.arange(south - 0.02, north + 0.02, 0.002), np.arange(west - 0.02, east + 0.02, 0.002))), 8))
+    lat, lng = grid.centres(wide)
+    meets = [c for c, ring, a, b in zip(wide.tolist(), cell_rings(wide), lng, lat, strict=True) if planar.meet([[gnomonic(a, b)(ring)]], planar.mapped(shape, gnomonic(a, b)))]
+    assert found == set(meets)
+    assert {int(h, 16) for h in _set(cover(table, 8, "overlap", 1e-9, exhaustive=True))} <= found
+
+
+def test_many_rings(spark):
+    one = spark.createDataFrame([("88be631825fffff",)], "h3 string")
+    assert expand(one, 20).count() == 1 + 3 * 20 * 21
+    assert _set(expand(expand(one, 2), 3)) == _set(expand(one, 5))
+
+
+def test_zones_of_a_projected_grid(spark):
+    place = np.array([[144.9631, -37.8136], [147.0, -10.0], [149.5, -60.0]])
+    assert np.allclose(from_lng_lat(place[:1], 32755), [[320704.4, 5812911.7]], atol=0.1)
+    assert np.allclose(to_lng_lat(from_lng_lat(place, 32755), 32755), place, atol=1e-9)
+    moved = from_lng_lat(np.array(rectangle(144.90, -37.85, 145.00, -37.75)), 32755)
+    assert cover(spark.createDataFrame([([[moved.tolist()]],)], f"geometry {GEOMETRY}"), 7, crs=32755).count() == 17
+
+
 def test_expansion(spark, fine):
     one = fine.limit(1)
     assert expand(one, 0).count() == 1 and expand(one, 1).count() == 7 and expand(one, 2).count() == 19

@@ -6,7 +6,7 @@ import __spark_entry__
 from hexsupport.plans import algebra, geometry
 from tests.oracle import SF, compare
 
-SQL = algebra.SQL | geometry.SQL
+SQL = algebra.SQL | geometry.sql()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
