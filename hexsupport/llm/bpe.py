@@ -11,8 +11,8 @@ just these two. That is decided by undoing the merges on both sides of the
 border, latest first, and asking whether the border's neighbours would have
 been merged earlier.
 
-``Together`` runs the same program over many short pieces at once, a prefix
-length at a time, in numpy.
+A prefix's last token depends on its bytes alone, so short prefixes are shared
+by all pieces that begin with them.
 """
 
 from __future__ import annotations
@@ -31,12 +31,12 @@ from pyspark.sql import types as T
 
 from hexsupport.llm.store import bound_batches, lean
 
-#: Entries of a worker's caches of split pieces and of token pairs; they bound memory, not results.
-PIECES, PAIRS = 100_000, 100_000
-#: Longest piece that is kept in the cache, in characters, and longest one that goes with others, in bytes.
-KEPT, SHORT = 40, 32
-#: Pieces that go together, at least and at most, pieces of a text that are looked up at once, and characters of texts.
-FEW, GROUP, TURN, TEXTS = 100, 4096, 50_000, 1 << 18
+#: Entries of a worker's caches of split pieces, of token pairs and of prefixes; they bound memory, not results.
+PIECES, PAIRS, PREFIXES = 200_000, 200_000, 100_000
+#: Longest piece that is kept in the cache, in characters, and longest prefix that is, in bytes.
+KEPT, SHARED = 40, 4
+#: Pieces of a text that are looked up at once, and characters of texts whose pieces are.
+TURN, TEXTS = 50_000, 1 << 18
 #: Largest rank file that is broadcast.
 MAX_RANK_FILE = 64 << 20
 
@@ -74,21 +74,25 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, pattern
         self.tokens = {rank: token for token, rank in ranks.items()}
-        #: The lengths of all tokens with these last three bytes (or that are so short), longest first.
-        self.lengths: dict[bytes, list[int]] = {}
-        for token in ranks:
-            self.lengths.setdefault(token[-3:], set()).add(len(token))
-        self.lengths = {end: sorted(found, reverse=True) for end, found in self.lengths.items()}
+        self.size = {rank: len(token) for token, rank in ranks.items()}
         self.reach = max(map(len, ranks), default=0)
         self.parts = {rank: self._last_merge(token) for token, rank in ranks.items() if len(token) > 1}
-        #: Tokens that merging never makes; they end no prefix.
-        self.unmade = {rank for rank, parts in self.parts.items() if parts is None}
+        #: Tokens that merging makes; the others end no prefix.
+        self.made = {token: rank for token, rank in ranks.items() if len(token) == 1 or self.parts[rank] is not None}
+        #: The lengths of all tokens with these last four bytes, longest first.
+        self.lengths: dict[bytes, tuple[int, ...]] = {}
+        for token in sorted(self.made, key=len, reverse=True):
+            if len(token) >= 4 and len(token) not in self.lengths.get(token[-4:], ()):
+                self.lengths[token[-4:]] = (*self.lengths.get(token[-4:], ()), len(token))
+        self.top = max(self.tokens, default=-1) + 1
+        #: Whether a token may follow another, by left * top + right.
         self.follows = Recent(self._follows, PAIRS)
         self.split = regex.compile(pattern).findall
         self.cuts = regex.compile(pattern).finditer
-        self.together = Together(self)
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.prefixes: dict[bytes, int] = {}
+        self.long: list[str] = []
 
     def _last_merge(self, token: bytes) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one, if merging its bytes ends so."""
@@ -102,8 +106,8 @@ class Vocabulary:
         ids = self.ranks.get(parts[0]), self.ranks.get(parts[1])
         return None if None in ids else ids
 
-    def _follows(self, pair: tuple[int, int]) -> bool:
-        left, right = pair
+    def _follows(self, pair: int) -> bool:
+        left, right = divmod(pair, self.top)
         ranks, tokens, parts = self.ranks, self.tokens, self.parts
         before = 1 << 62  # the border's neighbours coexist only until this rank is merged
         while True:
@@ -118,48 +122,73 @@ class Vocabulary:
             else:
                 before, right = right + 1, own[1][0]
 
+    def extend(self, data: bytes, last: list[int], end: int) -> None:
+        """Appends the last tokens of the prefixes of ``data`` of up to ``end`` bytes to those in ``last``."""
+        made, lengths, follows, top = self.made.get, self.lengths.get, self.follows, self.top
+        for i in range(len(last), end + 1):
+            for length in lengths(data[i - 4 : i], ()) if i >= 4 else ():
+                if length <= i:
+                    token = made(data[i - length : i])
+                    if token is not None and (length == i or follows[last[i - length] * top + token]):
+                        break
+            else:
+                for length in (3, 2, 1):
+                    if length <= i:
+                        token = made(data[i - length : i])
+                        if token is not None and (length == i or follows[last[i - length] * top + token]):
+                            break
+                else:
+                    raise ValueError(f"no token ends the prefix of {i} bytes; the ranks lack a byte")
+            last.append(token)
+
+    def back(self, last: list[int], at: int) -> list[int]:
+        """The ids of the prefix of ``at`` bytes."""
+        found, size = [], self.size
+        while at:
+            token = last[at]
+            found.append(token)
+            at -= size[token]
+        found.reverse()
+        return found
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        raw = piece.encode("utf-8", "surrogatepass")
+        whole = self.ranks.get(raw)
+        if whole is not None:  # a piece that is a token is that token, also one that merging never makes
+            return (whole,)
+        last, prefixes = [-1], self.prefixes
+        for i in range(1, min(len(raw), SHARED) + 1):
+            token = prefixes.get(raw[:i])
+            if token is None:
+                self.extend(raw, last, i)
+                prefixes[raw[:i]] = last[i]
+            else:
+                last.append(token)
+        self.extend(raw, last, len(raw))
+        return tuple(self.back(last, len(raw)))
+
     def learn(self, pieces) -> None:
         """Sees to it that ``self.pieces`` has the ids of all ``pieces``."""
         if len(self.pieces) > PIECES:
             self.pieces, self.older = {}, self.pieces
-        known, older, todo = self.pieces, self.older, []
-        for piece in dict.fromkeys(pieces):
-            if piece not in known:
-                ids = older.get(piece)
-                if ids is None:
-                    todo.append(piece)
-                else:
-                    known[piece] = ids
-        short = []
-        for piece in todo:
-            raw = piece.encode("utf-8", "surrogatepass")
-            whole = self.ranks.get(raw)
-            if whole is not None:  # a piece that is a token is that token, also one that merging never makes
-                known[piece] = (whole,)
-            elif len(raw) <= SHORT:
-                short.append((len(raw), piece, raw))
-            else:
-                known[piece] = tuple(Prefixes(self, raw).ids())
-        if len(short) < FEW:
-            for _, piece, raw in short:
-                known[piece] = tuple(Prefixes(self, raw).ids())
-            return
-        short.sort()
-        for k in range(0, len(short), GROUP):
-            own = short[k : k + GROUP]
-            for (_, piece, _), ids in zip(own, self.together.ids([raw for _, _, raw in own]), strict=True):
-                known[piece] = ids
+        if len(self.prefixes) > PREFIXES:
+            self.prefixes = {}
+        known, older = self.pieces, self.older
+        for piece in set(pieces).difference(known):
+            known[piece] = older.get(piece) or self._piece(piece)
+            if len(piece) > KEPT:
+                self.long.append(piece)
 
     def ids(self, pieces: list[str], learnt: bool = False) -> Iterator[int]:
         if not learnt:
             self.learn(pieces)
         return chain.from_iterable(map(self.pieces.__getitem__, pieces))
 
-    def forget_long(self, pieces: list[str]) -> None:
+    def forget_long(self) -> None:
         """Long pieces do not stay in the cache."""
-        for piece in pieces:
-            if len(piece) > KEPT:
-                self.pieces.pop(piece, None)
+        for piece in self.long:
+            self.pieces.pop(piece, None)
+        self.long.clear()
 
     def encode(self, text: str) -> list[int]:
         return self.encode_long(text).tolist()
@@ -169,7 +198,7 @@ class Vocabulary:
         out, cuts = array("i"), self.cuts(text)
         while pieces := [m.group() for m in islice(cuts, TURN)]:
             out.extend(self.ids(pieces))
-            self.forget_long(pieces)
+            self.forget_long()
         return out
 
     def encode_all(self, texts: list[str]) -> Iterator[array]:
@@ -178,128 +207,12 @@ class Vocabulary:
         self.learn(chain.from_iterable(split))
         for pieces in split:
             yield array("i", self.ids(pieces, learnt=True))
-        for pieces in split:
-            self.forget_long(pieces)
+        self.forget_long()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-class Together:
-    """The prefix program over many pieces at once. Byte strings are known by a 64-bit polynomial hash; a result is held against the bytes themselves."""
-
-    BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-    BITS = 18
-
-    def __init__(self, v: Vocabulary):
-        self.v = v
-        top = max(v.tokens, default=-1) + 1
-        self.power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(max(v.reach, SHORT) * 2 + 1, self.BASE)]))
-        self.length, self.hash = np.zeros(top, np.int64), np.zeros(top, np.uint64)
-        self.parts = np.full((2, top), -1, np.int64)
-        for rank, parts in v.parts.items():
-            if parts is not None:
-                self.parts[:, rank] = parts
-        order = sorted(v.tokens, key=lambda rank: len(v.tokens[rank]))
-        ranks = np.array(order, np.int64)
-        self.length[ranks] = [len(v.tokens[rank]) for rank in order]
-        for size in np.unique(self.length[ranks]).tolist():
-            own = ranks[self.length[ranks] == size]
-            data = np.frombuffer(b"".join(v.tokens[rank] for rank in own.tolist()), np.uint8).reshape(len(own), size)
-            self.hash[own] = self._prefixes(data)[:, -1]
-        self.lengths = self.length.tolist()
-        self.sizes = np.unique(self.length[ranks])[::-1].tolist()
-        self.made = np.ones(top + 1, bool)  # the last stands for no token
-        self.made[[*v.unmade, top]] = False
-        # open addressing; a few free places at the end save the wrap
-        self.bits = max(self.BITS, int(top).bit_length() + 2)
-        self.keys, self.ranks = np.zeros((1 << self.bits) + top, np.uint64), np.full((1 << self.bits) + top, -1, np.int64)
-        for rank, at in zip(order, self._slot(self.hash[ranks]).tolist(), strict=True):
-            while self.ranks[at] >= 0:
-                at += 1
-            self.keys[at], self.ranks[at] = self.hash[rank], rank
-
-    def _prefixes(self, data: np.ndarray) -> np.ndarray:
-        out = np.zeros((data.shape[0], data.shape[1] + 1), np.uint64)
-        for k in range(data.shape[1]):
-            out[:, k + 1] = out[:, k] * self.BASE + data[:, k] + np.uint64(1)
-        return out
-
-    def _slot(self, h: np.ndarray) -> np.ndarray:
-        return ((h * self.SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The tokens of these hashes, or -1."""
-        at = self._slot(h)
-        out = np.where(self.keys[at] == h, self.ranks[at], -1)
-        todo = np.flatnonzero((out < 0) & (self.ranks[at] >= 0))
-        while len(todo):
-            at[todo] += 1
-            own = at[todo]
-            hit = self.keys[own] == h[todo]
-            out[todo[hit]] = self.ranks[own[hit]]
-            todo = todo[~hit & (self.ranks[own] >= 0)]
-        return out
-
-    def follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether each right token may follow its left one."""
-        out, todo, before = np.zeros(len(left), bool), np.arange(len(left)), np.full(len(left), 1 << 62)
-        while len(todo):
-            merged = self.find(self.hash[left] * self.power[self.length[right]] + self.hash[right])
-            own_left, own_right = self.parts[0, left] >= 0, self.parts[0, right] >= 0
-            torn = (merged >= 0) & (merged < before)
-            whole = ~(own_left | own_right)
-            out[todo[whole & ~torn]] = True
-            go = ~(torn | whole)
-            todo, left, right, own_left, own_right = todo[go], left[go], right[go], own_left[go], own_right[go]
-            undo = ~own_right | own_left & (left > right)
-            before = np.where(undo, left, right + 1)
-            left, right = np.where(undo, self.parts[1, left], left), np.where(undo, right, self.parts[0, right])
-        return out
-
-    def ids(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of pieces in ascending order of their lengths."""
-        size = np.array([len(x) for x in pieces])
-        width = int(size[-1])
-        data = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in pieces), np.uint8).reshape(len(pieces), width)
-        h = self._prefixes(data)
-        # the token between each two places, by the later place and the length
-        token = np.full((len(pieces), width + 1, width + 1), -1, np.int32)
-        for n in self.sizes:
-            if n <= width:
-                found = self.find((h[:, n:] - h[:, :-n] * self.power[n]).ravel())
-                token[:, n:, n] = np.where(self.made[found], found, -1).reshape(len(pieces), -1)
-        last = np.full((len(pieces), width + 1), -1, np.int64)
-        for end in range(1, width + 1):
-            todo = np.arange(int(np.searchsorted(size, end)), len(pieces))
-            own = token[todo, end, end::-1]  # longest first
-            may = own >= 0
-            while len(todo):
-                first = may.argmax(axis=1)
-                at = np.arange(len(todo))
-                if not may[at, first].all():
-                    raise ValueError(f"no token ends the prefix of {end} bytes; the ranks lack a byte")
-                best = own[at, first].astype(np.int64)
-                good, inner = first == 0, np.flatnonzero(first)
-                good[inner] = self.follow(last[todo[inner], first[inner]], best[inner])
-                last[todo[good], end] = best[good]
-                may[at, first] = False
-                bad = ~good
-                todo, own, may = todo[bad], own[bad], may[bad]
-        out: list[tuple[int, ...]] = []
-        tokens, lengths, rows = self.v.tokens, self.lengths, last.tolist()
-        for piece, row, at in zip(pieces, rows, size.tolist(), strict=True):
-            found = []
-            while at:
-                found.append(row[at])
-                at -= lengths[row[at]]
-            found.reverse()
-            if b"".join(map(tokens.__getitem__, found)) != piece:  # hashes clashed
-                found = Prefixes(self.v, piece).ids()
-            out.append(tuple(found))
-        return out
-
-
 class Prefixes:
     """The last token of each prefix of a byte string; ``last[i]`` ends the prefix of ``i`` bytes."""
 
@@ -307,26 +220,9 @@ class Prefixes:
         self.vocabulary, self.data, self.last = vocabulary, bytearray(), [-1]
         self.append(data)
 
-    def _ending(self, data: bytes, at: int) -> int:
-        v, last = self.vocabulary, self.last
-        ranks, lengths, follows, unmade = v.ranks, v.lengths, v.follows, v.unmade
-        for size in (3, 2, 1):
-            if size <= at:
-                for length in lengths.get(data[at - size : at], ()):
-                    if length <= at:
-                        token = ranks.get(data[at - length : at])
-                        if token is not None and token not in unmade:
-                            start = at - length
-                            if start == 0 or follows[last[start], token]:
-                                return token
-        raise ValueError(f"no token ends the prefix of {at} bytes; the ranks lack a byte")
-
     def append(self, more: bytes) -> None:
-        at = len(self.data)
         self.data += more
-        data = bytes(self.data)
-        for i in range(at + 1, len(data) + 1):
-            self.last.append(self._ending(data, i))
+        self.vocabulary.extend(bytes(self.data), self.last, len(self.data))
 
     def replace(self, start: int, end: int, new: bytes) -> int:
         """Puts ``new`` in place of ``data[start:end]``; returns how many prefixes were recomputed."""
@@ -335,7 +231,7 @@ class Prefixes:
         self.last = old[: start + 1]
         data, agree = bytes(self.data), 0
         for i in range(start + 1, len(data) + 1):
-            self.last.append(self._ending(data, i))
+            self.vocabulary.extend(data, self.last, i)
             agree = agree + 1 if i > start + len(new) and self.last[i] == old[i - shift] else 0
             if agree >= self.vocabulary.reach:  # later prefixes depend on nothing before
                 self.last += old[i + 1 - shift :]
@@ -344,11 +240,7 @@ class Prefixes:
 
     def ids(self, end: int | None = None) -> list[int]:
         """The encoding of the first ``end`` bytes, or of all."""
-        at, found = len(self.data) if end is None else end, []
-        while at:
-            found.append(self.last[at])
-            at -= len(self.vocabulary.tokens[self.last[at]])
-        return found[::-1]
+        return self.vocabulary.back(self.last, len(self.data) if end is None else end)
 
 
 _OWN: dict[str, Vocabulary] = {}
