@@ -1,13 +1,18 @@
-"""Embedding near-dedup by exact blocked search.
+"""Embedding near-dedup by sorted projection passes, and an exact check after them.
 
 The vectors of a label are dealt into blocks by hash, and every pair of blocks
-meets in one row, so no link is lost however large or dense a label is. Inside a
-block vectors are ordered into slices of near ones; a pair of slices whose angle
-bounds rule out a link is skipped. The others are multiplied in single precision,
-and again in double precision where a cosine is too near the threshold to tell.
-A pair of blocks gives counts and a union-find forest, never its pairs. The cost
-grows with the square of a label's size as far as the bounds do not rule out.
-Equal vectors collapse first, so copies cost nothing.
+meets in one row. There, in several passes, the vectors are ordered
+lexicographically by concatenated random hashes (signs of random projections);
+vectors within a window of this order are compared, and verified pairs are united
+across the passes. Windows miss links where a label is large or dense, and links
+are to be counted, so an exact check follows: inside a block vectors stand in
+slices of near ones; a pair of slices whose angle bounds rule out a link is
+skipped. The others are multiplied in single precision, and again in double
+precision where a cosine is too near the threshold to tell. A pair of blocks
+gives counts and a union-find forest, never its pairs. The cost grows with the
+square of a label's size as far as the bounds do not rule out. Equal vectors
+collapse first, so copies cost nothing; vectors travel as they came (4 bytes a
+component for floats).
 """
 
 from __future__ import annotations
@@ -27,31 +32,40 @@ from hexsupport.llm.store import Workspace, bound_batches
 #: Vectors in a block at least, bytes of vectors in a block at most, and vectors in a slice.
 BLOCK, BLOCK_BYTES, SLICE = 256, 1 << 22, 128
 #: Blocks that a label is dealt into until these are of BLOCK_BYTES.
-BLOCKS = 8
+BLOCKS = 4
+#: Passes, random hashes that are concatenated in each, and places of its order by which compared vectors are apart at most.
+PASSES, HASHES, WINDOW = 4, 32, 8
+
+
+def _units(raw: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision from rows of finite numbers that are not all zero."""
+    x = raw.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True)) + 0.0
+
+
+def _unpacked(row: dict, kind: str) -> np.ndarray:
+    return _units(np.frombuffer(row["vectors" + kind], np.dtype(f"f{len(row['vectors' + kind]) // (len(row['nodes' + kind]) // 8) // row['size']}")).reshape(-1, row["size"]))
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, label, node, vector): unit vectors in double precision; null where a vector links with nothing."""
+    """(vec_id, label, size, node, vector): the components as they came; null where a vector links with nothing."""
     for batch in batches:
-        node, vector, label = [], [], []
+        node, vector, label, sizes = [], [], [], []
         for own, group in zip(batch.column("embedding"), batch.column("label").to_pylist(), strict=True):
             x = None
             if own.is_valid and group is not None and len(own) and not own.values.null_count:
-                x = own.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                top = np.abs(x).max()
-                x = x / top if np.isfinite(top) and top > 0 else None
+                x = own.values.to_numpy(zero_copy_only=False)
+                x = x if np.isfinite(x).all() and x.any() else None
             if x is None:
-                node.append(None)
-                vector.append(None)
-                label.append(None)
+                found = (None, None, None, None)
             else:
-                x = x / np.sqrt((x * x).sum()) + 0.0
-                raw = x.tobytes()
                 group = f"{len(x)}:{group}"
-                node.append(int(np.uint64(xxhash.xxh3_64_intdigest(group.encode() + raw)).astype(np.int64)))
-                vector.append(raw)
-                label.append(group)
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(label, pa.string()), pa.array(node, pa.int64()), pa.array(vector, pa.binary())], ["vec_id", "label", "node", "vector"])
+                digest = xxhash.xxh3_64_intdigest(group.encode() + _units(x[None]).tobytes())
+                found = (int(np.uint64(digest).astype(np.int64)), x.tobytes(), group, len(x))
+            for to, value in zip((node, vector, label, sizes), found, strict=True):
+                to.append(value)
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(label, pa.string()), pa.array(sizes, pa.int32()), pa.array(node, pa.int64()), pa.array(vector, pa.binary())], ["vec_id", "label", "size", "node", "vector"])
 
 
 def _order(x: np.ndarray) -> np.ndarray:
@@ -74,17 +88,30 @@ def _order(x: np.ndarray) -> np.ndarray:
 
 def _block(table: pa.Table) -> pa.Table:
     """A block of a label as one row."""
-    size = len(table.column("vector")[0].as_py()) // 8
-    x = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(-1, size)
-    order = _order(x)
+    size, raw = table.column("size")[0].as_py(), table.column("vector").to_pylist()
+    x = np.frombuffer(b"".join(raw), np.dtype(f"f{len(raw[0]) // size}")).reshape(-1, size)
+    order = _order(_units(x))
     return pa.table({
-        "label": table.column("label")[:1], "block": table.column("block")[:1], "blocks": table.column("blocks")[:1], "size": pa.array([size], pa.int32()),
+        "label": table.column("label")[:1], "block": table.column("block")[:1], "blocks": table.column("blocks")[:1], "size": table.column("size")[:1],
         "nodes": pa.array([table.column("node").to_numpy()[order].tobytes()], pa.binary()),
         "times": pa.array([table.column("times").to_numpy()[order].tobytes()], pa.binary()),
         "vectors": pa.array([x[order].tobytes()], pa.binary()),
     })
 
 
+def _passes(x: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, rows) of ``x`` that link, from windows of the orders by concatenated random hashes."""
+    for k in range(PASSES):
+        planes = np.random.default_rng(k).standard_normal((x.shape[1], HASHES))
+        key = np.packbits(x @ planes >= 0, axis=1).astype(np.uint64)
+        key = (key << np.arange(HASHES - 8, -1, -8, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        order = np.argsort(key, kind="stable")
+        own = x[order]
+        for apart in range(1, min(WINDOW + 1, len(x))):
+            near = (own[apart:] * own[:-apart]).sum(axis=1) >= reach
+            yield order[apart:][near], order[:-apart][near]
+
+
 def _bounds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each slice a centre of unit length, and the largest angle from it."""
     centres, spread = [], []
@@ -125,25 +152,34 @@ def _links(reach: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                same = row["block"] == row["block_b"]
+            for at in range(len(batch)):  # one at a time: a row holds two blocks
+                row = batch.slice(at, 1).to_pylist()[0]
+                same = row["nodes_b"] is None
                 nodes, times = np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["times"], np.int64)
-                x = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["size"])
+                x = _unpacked(row, "")
                 y, shift = x, 0
                 if not same:
-                    y, shift = np.frombuffer(row["vectors_b"], np.float64).reshape(-1, row["size"]), len(nodes)
+                    y, shift = _unpacked(row, "_b"), len(nodes)
                     nodes, times = np.concatenate([nodes, np.frombuffer(row["nodes_b"], np.int64)]), np.concatenate([times, np.frombuffer(row["times_b"], np.int64)])
                 root, links = np.arange(len(nodes)), np.zeros(len(nodes), np.int64)
+
+                def unite(these: np.ndarray) -> None:
+                    joined = np.unique(root[these])
+                    if len(joined) > 1:
+                        root[np.isin(root, joined)] = joined[0]
+
+                for i, j in _passes(x if same else np.concatenate([x, y]), reach):
+                    for pair in np.stack([i, j], 1)[root[i] != root[j]]:
+                        unite(pair)
                 for i, j, near in _meet(x, y, reach, same):
                     j = j + shift
                     links[i] += near @ times[j]
                     if not same:
                         links[j] += near.T @ times[i]
                     for k in np.flatnonzero(near.any(1)).tolist():
-                        joined = root[j[near[k]]]
-                        if (joined != root[i[k]]).any():
-                            joined = np.unique(np.append(joined, root[i[k]]))
-                            root[np.isin(root, joined)] = joined[0]
+                        own = j[near[k]]
+                        if (root[own] != root[i[k]]).any():
+                            unite(np.append(own, i[k]))
                 has = np.flatnonzero(links)
                 if len(has):
                     yield pa.RecordBatch.from_arrays([pa.array(nodes[has]), pa.array(nodes[root[has]]), pa.array(links[has])], ["node", "other", "links"])
@@ -160,26 +196,30 @@ def near_duplicates(vectors: DataFrame, reach: float = 0.93) -> DataFrame:
     nothing, are their own component and kept. Rows with equal vectors link.
     ``component_id`` is the smallest non-null vec_id reachable; a row with a null
     vec_id is kept only where its component has no other id. Every row has its
-    result, also repeated ones. An empty table gives an empty one.
+    result, also repeated ones; other columns, whatever their names, are ignored.
+    Vectors of one label whose 64-bit digests clash would count as equal. An
+    empty table gives an empty one.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
     ws = Workspace(spark, "embeddings")
     rows = vectors.select("vec_id", "embedding", F.col("label").cast("string").alias("label"))
-    placed = ws.write(rows.mapInArrow(_nodes, "vec_id long, label string, node long, vector binary"))
-    every = placed.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("times"), F.min("vec_id").alias("first"), F.first("label").alias("label"), F.first("vector").alias("vector"))
+    placed = ws.write(rows.mapInArrow(_nodes, "vec_id long, label string, size int, node long, vector binary"))
+    every = placed.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("times"), F.min("vec_id").alias("first"), F.first("label").alias("label"), F.first("size").alias("size"), F.first("vector").alias("vector"))
     every = ws.write(every)
 
     sizes = every.groupBy("label").agg(F.count("*").alias("n"), F.max(F.length("vector")).alias("bytes")).filter("n > 1")
     most = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / F.col("bytes")))
     wanted = F.least(most, F.greatest(F.lit(BLOCK), F.ceil(F.col("n") / BLOCKS)))
     sizes = sizes.select("label", F.ceil(F.col("n") / wanted).cast("int").alias("blocks"))
-    dealt = every.join(sizes, "label").select("label", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks", "node", "times", "vector")
+    dealt = every.join(sizes, "label").select("label", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks", "size", "node", "times", "vector")
     blocks = ws.write(dealt.groupBy("label", "block").applyInArrow(_block, "label string, block int, blocks int, size int, nodes binary, times binary, vectors binary"))
     data = ("nodes", "times", "vectors")
-    left = blocks.withColumn("block_b", F.explode(F.sequence("block", F.col("blocks") - 1)))
-    right = blocks.select("label", F.col("block").alias("block_b"), *(F.col(c).alias(f"{c}_b") for c in data)).withColumn("block", F.explode(F.sequence(F.lit(0), "block_b")))
-    met = left.join(right, ["label", "block", "block_b"]).select("block", "block_b", "size", *data, *(f"{c}_b" for c in data))
+    left = blocks.filter("block + 1 < blocks").withColumn("block_b", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)))
+    right = blocks.filter("block > 0").select("label", F.col("block").alias("block_b"), *(F.col(c).alias(f"{c}_b") for c in data)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("block_b") - 1)))
+    met = left.join(right, ["label", "block", "block_b"]).select("size", *data, *(f"{c}_b" for c in data))
+    alone = blocks.select("size", *data, *(F.lit(None).cast("binary").alias(f"{c}_b") for c in data))
+    met = met.unionByName(alone)
     links = ws.write(met.mapInArrow(_links(reach), "node long, other long, links long"))
     groups = ws.write(components(links.select(F.col("node").alias("a"), F.col("other").alias("b")), ws))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
