@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hexsupport.llm.store import set_aside
+
 KINDS = ("email", "ip", "card", "phone")
 #: Same matches as the plain patterns, but in linear time and without deep recursion on long runs.
 BASE = {
@@ -47,21 +49,39 @@ ROUNDS, SHRINK, BINS = 40, 0.3, 16
 #: Least precision on held-out examples at a kind's threshold.
 PRECISION = 0.98
 
+#: Characters of a text in which spans are proposed at once, and those seen on both sides of them; matches that are placed at once.
+SEGMENT, MARGIN, BLOCK = 8192, 512, 64
+INNER = ("_text", *(f"_{kind}" for kind in KINDS))
+
 _SPAN = "array<struct<s:int,e:int,m:string>>"
 _RANKED = "array<struct<rank:int,kind:string,s:int,e:int>>"
 
 
-def found(text: str, pattern: str, likely: Column) -> Column:
-    """The matches of a pattern in a column, as (s, e, m): code points from ``s`` up to ``e``."""
+def _let(value: Column, f) -> Column:
+    """``f(value)``, with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def found(text: Column, pattern: str, likely: Column) -> Column:
+    """The matches of a pattern in a text, as (s, e, m): code points from ``s`` up to ``e``; placed block by block, so that the time is linear."""
     pieces = F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}"), f"[{_OPEN}{_CLOSE}]")
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    none = F.array().cast(_SPAN)
 
     def step(acc: Column, x: Column) -> Column:
         end = acc["at"] + F.length(x)
         own = F.array(F.struct(acc["at"].alias("s"), end.alias("e"), x.alias("m")))
         return F.struct((acc["i"] + 1).alias("i"), end.alias("at"), F.when(acc["i"] % 2 == 1, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(likely, F.aggregate(pieces, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+    def placed(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda total, x: total + F.length(x)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        add = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        offsets = F.aggregate(sizes, start, add, lambda acc: acc["out"])
+        first = lambda at: F.struct(F.lit(0).alias("i"), at.alias("at"), none.alias("out"))
+        return _let(offsets, lambda at: F.flatten(F.transform(blocks, lambda block, k: F.aggregate(block, first(F.get(at, k)), step, lambda acc: acc["out"]))))
+
+    blocks = _let(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.size(p), F.lit(2 * BLOCK)), lambda i: F.slice(p, i, F.lit(2 * BLOCK))))
+    return F.when(likely, _let(blocks, placed)).otherwise(none)
 
 
 def digits(m: Column) -> Column:
@@ -110,7 +130,7 @@ def with_base(df: DataFrame, text_col: str = "text") -> DataFrame:
         likely = F.contains("_text", F.lit(NEEDS[kind])) if NEEDS[kind] else F.col("_text").rlike("[0-9][ -]?[0-9]")
         if kind == "ip":
             likely = F.col("_text").rlike(r"[0-9]\.[0-9]")
-        df = df.withColumn(f"_{kind}", F.filter(found("_text", BASE[kind], likely), _fitting(kind)))
+        df = df.withColumn(f"_{kind}", F.filter(found(F.col("_text"), BASE[kind], likely), _fitting(kind)))
     return df
 
 
@@ -141,14 +161,9 @@ def _features(kind: str, m: Column, before: Column, after: Column) -> Column:
 _CANDIDATE = f"array<struct<kind:string,s:int,e:int,f:struct<{','.join(f'{n}:int' for n in FEATURES)}>>>"
 
 
-def _let(value: Column, f) -> Column:
-    """``f(value)``, with ``value`` evaluated once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
-def _parts(run: Column) -> Column:
+def _parts(text: Column, run: Column) -> Column:
     """The parts of a number run that begin and end with a whole group of digits and have ``DIGITS``, as (s, e, m)."""
-    before, after = F.substr("_text", F.greatest(run["s"], F.lit(1)), F.least(run["s"], F.lit(1))), F.substr("_text", run["e"] + 1, F.lit(1))
+    before, after = F.substr(text, F.greatest(run["s"], F.lit(1)), F.least(run["s"], F.lit(1))), F.substr(text, run["e"] + 1, F.lit(1))
 
     def of(chars: Column) -> Column:
         n = F.length(run["m"])
@@ -169,26 +184,27 @@ def _parts(run: Column) -> Column:
     return F.filter(_let(F.split(run["m"], ""), of), lambda x: F.length(digits(x["m"])).between(*DIGITS))
 
 
-def with_candidates(df: DataFrame) -> DataFrame:
-    """``df`` (with ``_text``) and ``_candidates``: every proposed span of every kind, with its features."""
-    digit = F.col("_text").rlike("[0-9]")
-    likely = {"spelled": F.col("_text").rlike(r"(?i)[(\[ ]at[)\] ]") & (F.col("_text").rlike(r"(?i)[(\[ ]dot[)\] ]| at [a-z0-9-]++\.")), "number": digit}
-    for name, pattern in GENERATORS.items():
-        df = df.withColumn(f"_{name}", found("_text", pattern, likely[name]))
-    df = df.withColumn("_number", F.flatten(F.transform("_number", _parts)).cast(_SPAN))
+def candidates(text: Column) -> Column:
+    """Every proposed span of every kind in a text, with its features."""
+    digit = text.rlike("[0-9]")
+    spelled = found(text, GENERATORS["spelled"], text.rlike(r"(?i)[(\[ ]at[)\] ]") & (text.rlike(r"(?i)[(\[ ]dot[)\] ]| at [a-z0-9-]++\.")))
+    numbers = F.flatten(F.transform(found(text, GENERATORS["number"], digit), lambda run: _parts(text, run))).cast(_SPAN)
 
     def proposed(x: Column, kind: str) -> Column:
-        before = F.substr("_text", F.greatest(x["s"] - 29, F.lit(1)), F.least(x["s"], F.lit(30)))
-        after = F.substr("_text", x["e"] + 1, F.lit(6))
+        before = F.substr(text, F.greatest(x["s"] - 29, F.lit(1)), F.least(x["s"], F.lit(30)))
+        after = F.substr(text, x["e"] + 1, F.lit(6))
         return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), _features(kind, x["m"], before, after).alias("f"))
 
-    size = lambda x: F.length(digits(x["m"]))
-    each = [
-        F.transform("_spelled", lambda x: proposed(x, "email")),
-        F.transform(F.filter("_number", lambda x: (size(x) >= 13) & (size(x) <= 19)), lambda x: proposed(x, "card")),
-        F.transform(F.filter("_number", lambda x: (size(x) >= 7) & (size(x) <= 15)), lambda x: proposed(x, "phone")),
-    ]
-    return df.withColumn("_candidates", F.concat(*(e.cast(_CANDIDATE) for e in each))).drop(*(f"_{name}" for name in GENERATORS))
+    def each(g: Column) -> Column:
+        size = lambda x: F.length(digits(x["m"]))
+        kinds = [
+            F.transform(g["spelled"], lambda x: proposed(x, "email")),
+            F.transform(F.filter(g["numbers"], lambda x: (size(x) >= 13) & (size(x) <= 19)), lambda x: proposed(x, "card")),
+            F.transform(F.filter(g["numbers"], lambda x: (size(x) >= 7) & (size(x) <= 15)), lambda x: proposed(x, "phone")),
+        ]
+        return F.concat(*(k.cast(_CANDIDATE) for k in kinds))
+
+    return _let(F.struct(spelled.alias("spelled"), numbers.alias("numbers")), each)
 
 
 def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
@@ -280,7 +296,7 @@ def train(spark: SparkSession, n: int = EXAMPLES, precision: float = PRECISION)
     """Trees of ``n`` examples: three quarters train them, the rest calibrates each kind's threshold."""
     written = examples(n)
     rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(written)], "i int, text string")
-    rows = with_candidates(rows.withColumn("_text", F.col("text"))).select("i", F.explode("_candidates").alias("c")).select("i", "c.kind", "c.s", "c.e", "c.f.*").collect()
+    rows = rows.select("i", F.explode(candidates(F.col("text"))).alias("c")).select("i", "c.kind", "c.s", "c.e", "c.f.*").collect()
     rows = sorted(rows, key=lambda r: (r.i, r.kind, r.s, r.e))
     x = np.array([[r[name] for name in FEATURES] for r in rows], np.int64)
 
@@ -306,31 +322,52 @@ def train(spark: SparkSession, n: int = EXAMPLES, precision: float = PRECISION)
     return Trees(base, trees, {k: min(1.1, v - 1e-6) for k, v in least.items()})
 
 
+def _added(trees: Trees) -> Column:
+    """The chosen spans beside ``base`` of ``_text``, segment by segment."""
+    bound = lambda kind: reduce(lambda a, k: F.when(kind == k, trees.least[k]).otherwise(a), KINDS, F.lit(1.1))
+    rank = lambda kind: reduce(lambda a, k: F.when(kind == k, KINDS.index(k)).otherwise(a), KINDS, F.lit(len(KINDS)))
+    overlap = lambda x, y: (x["s"] < y["e"]) & (y["s"] < x["e"])
+    text = F.col("_text")
+
+    def segment(a: Column) -> Column:
+        low = F.greatest(a - MARGIN, F.lit(0))
+        return F.struct(a.alias("core"), low.alias("low"), F.substr(text, low + 1, a - low + SEGMENT + MARGIN).alias("text"))
+
+    def chosen(g: Column) -> Column:
+        def score(near: Column) -> Column:
+            scored = F.transform(candidates(g["text"]), lambda c: F.struct((-trees.chance(c["f"])).alias("p"), (c["s"] - c["e"]).alias("size"), c["kind"].alias("kind"), (c["s"] + g["low"]).alias("s"), (c["e"] + g["low"]).alias("e")))
+            return F.array_sort(F.filter(scored, lambda c: (-c["p"] >= bound(c["kind"])) & ~F.exists(near, lambda b: overlap(b, c))))
+
+        near = F.filter("base", lambda b: (b["e"] > g["low"]) & (b["s"] < g["low"] + F.length(g["text"])))
+        one = lambda c: F.array(F.struct(rank(c["kind"]).alias("rank"), c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
+        kept = F.aggregate(_let(near, score), F.array().cast(_RANKED), lambda out, c: F.when(F.exists(out, lambda o: overlap(o, c)), out).otherwise(F.concat(out, one(c)).cast(_RANKED)))
+        return F.filter(kept, lambda c: (c["s"] >= g["core"]) & (c["s"] < g["core"] + SEGMENT))
+
+    segments = F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(SEGMENT)), segment)
+    return F.flatten(F.transform(segments, chosen))
+
+
 def detected(df: DataFrame, text_col: str = "text", trees: Trees | None = None) -> DataFrame:
     """``df`` with ``base`` and ``spans``: arrays of (rank, kind, s, e), base matches and all chosen spans.
 
     ``rank`` is the kind's place in ``KINDS``; both are sorted by rank, then start.
     Base matches always stay; a proposed span is chosen where its probability
     reaches its kind's threshold and it overlaps no base match and no better
-    chosen one (of equal ones the longer is better). Defined results: null and empty texts have no spans; rows are judged
-    each by its own text; other columns pass through.
+    chosen one (of equal ones the longer is better). Defined results: null and
+    empty texts have no spans; rows, repeated or not, are judged each by its own
+    text; texts of any length are searched whole, in segments that see
+    ``MARGIN`` characters on both sides, so the time grows with the length;
+    columns named ``base`` or ``spans`` (in any case) are replaced, others pass
+    through whatever their names. An empty table gives an empty one.
     """
     trees = trees or train(df.sparkSession)
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("base", "spans")]
-    df = with_candidates(with_base(df.select(*kept), text_col))
+    rest = [c for c in df.columns if c.lower() not in ("base", "spans")]
+    df, renamed = set_aside(df.select(*(F.col(f"`{c}`") for c in rest)), INNER)
+    df = with_base(df, renamed.get(text_col, text_col))
     base = F.concat(*(F.transform(f"_{kind}", _ranked(kind)) for kind in KINDS))
     df = df.withColumn("base", F.array_sort(base))
-    scored = F.transform("_candidates", lambda c: F.struct(trees.chance(c["f"]).alias("p"), c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
-    bound = lambda kind: reduce(lambda a, k: F.when(kind == k, trees.least[k]).otherwise(a), KINDS, F.lit(1.1))
-    free = lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-    df = df.withColumn("_chosen", F.filter(scored, lambda c: (c["p"] >= bound(c["kind"])) & free(c)))
-    rank = lambda kind: reduce(lambda a, k: F.when(kind == k, KINDS.index(k)).otherwise(a), KINDS, F.lit(len(KINDS)))
-    ordered = F.array_sort(F.transform("_chosen", lambda c: F.struct((-c["p"]).alias("p"), (c["s"] - c["e"]).alias("size"), c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"))))
-    taken = lambda out, c: F.exists(out, lambda o: (o["s"] < c["e"]) & (c["s"] < o["e"]))
-    one = lambda c: F.array(F.struct(rank(c["kind"]).alias("rank"), c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
-    added = F.aggregate(ordered, F.array().cast(_RANKED), lambda out, c: F.when(taken(out, c), out).otherwise(F.concat(out, one(c)).cast(_RANKED)))
-    df = df.withColumn("spans", F.array_sort(F.concat("base", added)))
-    return df.drop("_text", "_candidates", "_chosen", *(f"_{kind}" for kind in KINDS))
+    df = df.withColumn("spans", F.array_sort(F.concat("base", _added(trees))))
+    return df.drop(*INNER).withColumnsRenamed({name: c for c, name in renamed.items()})
 
 
 def listed(spans: str) -> Column:

@@ -51,7 +51,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = pii.detected(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [pii.number_of("base", kind).alias(f"n_{kind}") for kind in pii.KINDS]
-    return marked.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+    return marked.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

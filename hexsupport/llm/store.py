@@ -12,6 +12,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,6 +63,20 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def set_aside(df: DataFrame, inner) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns that are named like ``inner`` ones (in any case) renamed, and their new names."""
+    inner = {c.lower() for c in inner}
+    clash = [c for c in df.columns if c.lower() in inner]
+    names, taken = {}, inner | {c.lower() for c in df.columns}
+    for c in clash:
+        own = f"{c}_"
+        while own.lower() in taken:
+            own += "_"
+        taken.add(own.lower())
+        names[c] = own
+    return df.select(*(F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns)), names
+
+
 def small(df: DataFrame, limit: int) -> bool:
     """Whether ``df`` has at most ``limit`` rows."""
     return df.count() <= limit
