@@ -15,13 +15,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexsupport.llm.store import Workspace
+from hexsupport.llm.store import Workspace, set_aside
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Measures beyond the base ones.
 MORE = ("n_lines", "n_ended", "n_kinds", "n_symbol_runs", "n_symbol_lines")
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+INNER = ("_text", "_words", "_lines", "_h", "_mask", "_hits")
 ENDS = r"[.!?…:;\"'»”)]\s*$"
 
 
@@ -48,20 +49,23 @@ def rules() -> dict[str, Column]:
 
 
 def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with the numbers that the rules see (long): ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``, and those of ``MORE``."""
+    """``df`` (without columns named like those of ``INNER``) with the numbers that the rules see (long): ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``, and those of ``MORE``."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     df = df.withColumn("_text", text).withColumn("_words", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
     df = df.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD)))
 
     # The hash of each 3-word window carries its place in its low bits, as many as the text needs.
-    # Sorting brings equal windows together; the words of repeated windows are counted along the places.
+    # Sorting brings equal windows together; neighbours are held against each other word by word, since a long
+    # text leaves few bits to the hash; the words of repeated windows are counted along the places.
     n = F.size("_words")
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(n.cast("long")))) - 1
     window = lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))
     hashes = F.when(n >= 4, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.bitwise_not(mask).bitwiseAND(window(i)).bitwiseOR(i.cast("long"))))
     df = df.withColumn("_h", F.sort_array(hashes)).withColumn("_mask", mask)
     mask = F.col("_mask")
-    beside = lambda x, j: F.coalesce(F.bitwise_not(mask).bitwiseAND(x.bitwiseXOR(F.get("_h", j))) == 0, F.lit(False))
+    word = lambda x, k: F.get("_words", x.bitwiseAND(mask).cast("int") + k)
+    equal = lambda x, y: (F.bitwise_not(mask).bitwiseAND(x.bitwiseXOR(y)) == 0) & (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2))
+    beside = lambda x, j: F.coalesce(equal(x, F.get("_h", j)), F.lit(False))
     hit = F.filter("_h", lambda x, j: beside(x, j + 1) | ((j > 0) & beside(x, F.greatest(j - 1, F.lit(0)))))
     df = df.withColumn("_hits", F.sort_array(F.transform(hit, lambda x: x.bitwiseAND(mask))))
     steps = F.transform("_hits", lambda x, j: F.when(j == 0, F.lit(3).cast("long")).otherwise(F.least(F.lit(3).cast("long"), x - F.get("_hits", F.greatest(j - 1, F.lit(0))))))
@@ -134,14 +138,16 @@ def judged(df: DataFrame, text_col: str = "text", least: float = 0.5, carry: lis
     3-word windows. ``kept``: not ``base_failed``, and a posterior of ``least`` or
     more. Defined results: null and empty texts have no words and fail; rows are
     judged each by its own text; columns of the names of the results are
-    replaced. An empty table gives an empty one.
+    replaced (in any case), others pass through whatever their names; texts of any
+    length are measured whole. An empty table gives an empty one.
     """
-    kept = [c for c in df.columns if c not in (*BASE, *MORE, "posterior", "base_failed", "kept")]
-    df = df.select(*(F.col(f"`{c}`") for c in kept))
     votes = rules()
+    kept = [c for c in df.columns if c.lower() not in (*BASE, *MORE, "posterior", "base_failed", "kept")]
+    df, renamed = set_aside(df.select(*(F.col(f"`{c}`") for c in kept)), (*INNER, *(f"_vote_{name}" for name in votes)))
+    text_col = renamed.get(text_col, text_col)
     voted = measures(df, text_col).withColumns({f"_vote_{name}": vote for name, vote in votes.items()})
     if carry is not None:
-        voted = voted.drop(*(c for c in kept if c not in carry))
+        voted = voted.drop(*(renamed.get(c, c) for c in kept if c not in carry))
     # measured once: both the fit and the result read this table
     voted = Workspace(df.sparkSession, "quality").write(voted)
     columns = [f"_vote_{name}" for name in votes]
@@ -150,4 +156,5 @@ def judged(df: DataFrame, text_col: str = "text", least: float = 0.5, carry: lis
     patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*columns).count().collect()]
     model = fit(sorted(patterns), list(votes))
     out = voted.withColumn("posterior", model.posterior()).withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least)).drop(*columns)
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least)).drop(*columns)
+    return out.withColumnsRenamed({name: c for c, name in renamed.items()})

@@ -11,11 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hexsupport.llm.store import set_aside
+
 #: Rules up to this number are broadcast (a few MB); more are joined by shuffling.
 BROADCAST_RULES = 50_000
 
-#: Parts into which the urls of one host and path are dealt.
+#: Parts into which the rows of one host and path are dealt.
 SALTS = 16
+RESULTS, INNER = ("host", "path", "rule", "verdict"), ("_host", "_path", "_salt")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,12 +47,16 @@ def judge(pages: DataFrame, ruled: DataFrame, url_col: str = "url", default: str
     null urls and urls without ``://`` have an empty host and path, which no rule
     fits; rules with a null or empty host fit nothing; urls that no rule fits
     have a null rule and the default verdict; input columns of the names of the
-    results are replaced; repeated rows are judged alike; an empty rule table
-    leaves the default everywhere.
+    results (in any case) are replaced, others pass through whatever their names;
+    repeated rows are judged alike; urls of any length are judged whole; an empty
+    rule table leaves the default everywhere; an empty table gives an empty one.
     """
     host, path = host_and_path(F.col(f"`{url_col}`").cast("string"))
-    kept = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    pages = pages.select(*kept, host.alias("host"), path.alias("path"))
+    pages = pages.select(*(F.col(f"`{c}`") for c in pages.columns if c.lower() not in RESULTS), host.alias("host"), path.alias("path"))
+    rest = [c for c in pages.columns if c.lower() not in RESULTS]
+    pages, renamed = set_aside(pages.select(*(F.col(f"`{c}`") for c in rest), "host", "path"), INNER)
+    own = [renamed.get(c, c) for c in rest]
+    kept = [F.col(f"`{c}`").alias(name) for c, name in zip(own, rest, strict=True)]
 
     ruled = ruled.filter("host <> '' AND verdict IS NOT NULL").select(
         "verdict", F.translate("host", _UPPER, _LOWER).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path")
@@ -63,7 +70,7 @@ def judge(pages: DataFrame, ruled: DataFrame, url_col: str = "url", default: str
         F.collect_set(F.when(~F.col("rule_path").endswith("/"), F.length("rule_path"))).alias("cuts"),
     ).first()
     if not bounds.n:
-        return pages.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+        return pages.select(*kept, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
     # no rule reaches beyond the longest rule path and the deepest rule host
     labels = F.split("host", r"\.")
@@ -90,6 +97,7 @@ def judge(pages: DataFrame, ruled: DataFrame, url_col: str = "url", default: str
     best = best.select("_host", "_path", "best.rule", F.col("best.verdict").alias("verdict"))
     # a host may hold most urls: its verdicts are repeated for each salt
     best = best.withColumn("_salt", F.explode(F.array(*(F.lit(k) for k in range(SALTS)))))
-    pages = pages.withColumn("_salt", F.pmod(F.xxhash64(f"`{url_col}`", "path"), SALTS).cast("int"))
+    hashed = [f"`{c}`" for c in own if not any(x in pages.schema[c].dataType.simpleString() for x in ("map<", "variant"))]
+    pages = pages.withColumn("_salt", F.pmod(F.xxhash64(*hashed, "path"), SALTS).cast("int"))
     judged = pages.join(best, ["_host", "_path", "_salt"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
     return judged.select(*kept, "host", "path", "rule", "verdict")

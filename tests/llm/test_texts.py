@@ -245,3 +245,45 @@ def test_alignment_is_increasing_and_equal():
         assert all(a[i] == b[j] for i, j in pairs)
         assert all(x < y and v < w for (x, v), (y, w) in zip(pairs, pairs[1:], strict=False))
     assert len(licenses.align(list("xaybzc"), list("abc"))) == 3
+
+
+def test_columns_named_like_inner_ones_pass_through(spark, trees):
+    """Whatever an input column is called, it comes back as it was, unless it is named like a result."""
+    rows = [(1, "http://www.a.org/b/c", "mail x@y.org or call (443) 555-5793 " * 9, "mine", "own", "kept")]
+    df = spark.createDataFrame(rows, "doc_id long, url string, _text string, _path string, _WORDS string, HOST string").withColumn("_vote_length", F.lit("v")).withColumn("_Salt", F.lit("s"))
+    judged = urls.judge(df, urls.rules(spark, [("block", "a.org/b/")])).first()
+    assert (judged["_path"], judged["_Salt"], judged["_WORDS"], judged["host"], judged["rule"]) == ("mine", "s", "own", "www.a.org", "a.org/b/")
+    measured = quality.judged(df, text_col="_text").first()
+    assert measured["_text"] == rows[0][2] and measured["_WORDS"] == "own" and measured["_vote_length"] == "v" and measured.n_words == 54
+    marked = pii.detected(df, text_col="_text", trees=trees).first()
+    assert marked["_text"] == rows[0][2] and marked["_path"] == "mine" and {x.kind for x in marked.spans} == {"email", "phone"}
+    labelled = df.select(F.col("_text").alias("text"), F.lit("en").alias("lang"), F.lit(1).alias("_lang_pred"), F.lit("z").alias("LANG_SCORE"))
+    assert langid.predict(labelled, langid.train(labelled)).columns == ["text", "lang", "_lang_pred", "LANG_SCORE", "lang_pred", "score"]
+
+
+def test_very_long_texts(spark, trees, tik):
+    """A text of some megabytes and many matches: measured, searched, scored and encoded whole."""
+    lead = "el perro come "
+    words = lead + "la casa de la montaña verde " * 60_000 + "end of it all"
+    numbers = "mail a@b.org and call (443) 555-5793 today. " * 1500
+    rows = spark.createDataFrame([(1, words), (2, numbers)], "doc_id long, text string")
+    measured = {r.doc_id: r for r in quality.judged(rows).collect()}
+    assert measured[1].n_words == len(words.split()) and measured[1].n_repeat_words == 6 * 60_000
+    spans = {r.doc_id: r.spans for r in pii.detected(rows, trees=trees).collect()}
+    assert spans[1] == [] and sum(x.kind == "email" for x in spans[2]) == 1500 and sum(x.kind == "phone" for x in spans[2]) == 1500
+    assert all(numbers[x.s : x.e] in ("a@b.org", "(443) 555-5793") for x in spans[2])
+    labelled = spark.createDataFrame([("la casa verde de la montaña", "es"), ("the house of the green hill", "en")], "text string, lang string")
+    scored = langid.predict(rows, langid.train(labelled)).filter("doc_id = 1").first()
+    assert scored.lang_pred == "es" and scored.score == 1.0
+    encoded = bpe.encode(rows, PATH, PATTERN).filter("doc_id = 1").first().token_ids
+    assert encoded == tik.encode_ordinary(words)
+
+
+def test_pieces_of_long_texts_score_like_the_whole():
+    """The n-grams of a text that is cut into pieces are those of the text, each once."""
+    import pyarrow as pa
+
+    text = "ein Bär, zwei Bären 漢字 " * 9000
+    whole = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
+    n = [int((bucket < langid.BUCKETS).sum()) for _, found, _, _ in langid._grams(pa.array([text])) for bucket in found]
+    assert sum(n) == sum(len(whole) - size + 1 for size in langid.SIZES)
