@@ -21,14 +21,12 @@ from hexsupport.llm.store import Workspace
 CARRIED = 64
 
 
-def grouped(nodes: DataFrame, fits: Callable[..., Column], least: Callable[..., Column], probe: Callable[[DataFrame], DataFrame], ws: Workspace, settle: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def grouped(nodes: DataFrame, fits: Callable[..., Column], least: Callable[..., Column], probe: Callable[[DataFrame], DataFrame], ws: Workspace) -> DataFrame:
     """``(id, component)`` of the nodes that link with another, from ``nodes(node, n, s, tokens)``.
 
     ``tokens`` are a node's keys in one order for all nodes; ``n`` and ``s`` are sizes.
     ``fits(n, s, m, t)``: nodes of these sizes can link. ``least(n, m)``: the common
     keys that they need. ``probe(pairs)``: the pairs (a, b) that link.
-    ``settle(placed)``: links between different components under a token of
-    ``placed(token, node, component, own)``, in place of pairs that are probed one by one.
     """
     carried = F.when(F.size("tokens") <= CARRIED, F.col("tokens"))
     entries = nodes.select("node", "n", "s", carried.alias("own"), F.size("tokens").alias("of_own"), F.posexplode("tokens").alias("place", "token"))
@@ -59,8 +57,6 @@ def grouped(nodes: DataFrame, fits: Callable[..., Column], least: Callable[...,
     placed = entries.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
     placed = ws.write(placed.join(mixed, "token").select("token", "node", "n", "s", "component", "own", "of_own", "place"))
-    if settle is not None:
-        return components(links.unionByName(settle(placed)), ws)
     names = {"node": "b", "n": "m", "s": "t", "component": "other", "own": "its", "of_own": "of_its", "place": "at"}
     other = placed.select("token", *(F.col(c).alias(x) for c, x in names.items()))
     need, common = least(F.col("n"), F.col("m")), F.array_intersect("own", "its")

@@ -67,6 +67,20 @@ def test_near_copies_equal_brute_force(spark, seed):
     assert kept == {i for i in range(len(texts)) if want[i] == i}
 
 
+def test_near_copies_with_hot_shingles(spark, monkeypatch):
+    """A passage that most texts share, in lists that are dealt apart from their buckets."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    passage = " ".join(word() for _ in range(30))
+    texts = [t if t is None or i % 3 == 0 else f"{passage} {t}" for i, t in enumerate(_corpus(3))]
+    sets = [_set(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    monkeypatch.setattr(ngrams, "HOT", 4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    found = {r.doc_id: r.component_id for r in ngrams.linked(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == _roots(len(texts), links)
+
+
 def test_near_copies_odd_ids(spark):
     a, b = "a b c d e f g h", "q r s t u v w x"
     docs = spark.createDataFrame([(5, a), (5, a), (7, b), (3, b), (None, a), (None, "z"), (9, None)], "doc_id long, text string")
@@ -260,6 +274,31 @@ def test_raking_as_a_table_equals_the_driver(spark):
     assert [r.probability for r in one] == pytest.approx([r.probability for r in two], abs=1e-9)
 
 
+def test_kept_tokens_come_near_their_targets(spark):
+    """The shares of the kept tokens against the targets, and every probability against raking in plain Python."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 40)), rng.choice("aaab"), rng.choice(("x", "y", "y"))) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("topic", F.lit("t"))
+    out = mixing.mixed(docs, topic_col="topic", targets={"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.4, "y": 0.6}}, budget_share=0.3).collect()
+    tokens, kept = collections.Counter(), collections.Counter()
+    for r in out:
+        tokens[r.source, r.lang] += r.n_tokens
+        kept[r.source, r.lang] += r.n_tokens * r.kept
+    weight = {c: n / sum(tokens.values()) for c, n in tokens.items()}
+    for _ in range(200):
+        for k, goal in enumerate(({"a": 0.5, "b": 0.5}, {"x": 0.4, "y": 0.6})):
+            total = collections.Counter()
+            for c, w in weight.items():
+                total[c[k]] += w
+            weight = {c: w * goal[c[k]] / total[c[k]] for c, w in weight.items()}
+    budget = 0.3 * sum(tokens.values())
+    for r in out:
+        assert r.probability == pytest.approx(budget * weight[r.source, r.lang] / tokens[r.source, r.lang], rel=1e-6) and r.misfit < 1e-8
+    for k, goal in enumerate(({"a": 0.5, "b": 0.5}, {"x": 0.4, "y": 0.6})):
+        for v, share in goal.items():
+            assert sum(n for c, n in kept.items() if c[k] == v) / sum(kept.values()) == pytest.approx(share, abs=0.04)
+
+
 def test_mixing_odd_input(spark):
     docs = spark.createDataFrame([(1, "a b c", None, "en"), (1, "a b c", None, "en"), (None, "d e", "s", None), (2, None, "s", "en"), (3, "", "s", "en")], "doc_id long, text string, source string, lang string").withColumn("weight", F.lit("old"))
     out = mixing.mixed(docs, budget_share=1.0).collect()
