@@ -2,10 +2,12 @@
 
 Two documents link when their shingle sets reach the threshold. A document of n
 shingles must share T = ceil(j / (1 + j) * (n + m)) of them with a partner of m.
-Following DivideSkip, each document's inverted lists are divided by length: the
-shortest ``n - ceil(j n) + 1`` lists (its *short* lists, rarest shingle first in
-one global order) are merged, and the long ones are only probed for documents
-that the short lists admit. The probe is an exact count over both whole sets.
+DivideSkip divides inverted lists by length, merges the short ones with a heap
+and probes the long ones by binary search for what the merge admits. Lists over
+the whole corpus fit no task, so it works on two levels: over the corpus, each
+document's ``n - ceil(j n) + 1`` shortest lists (rarest shingle first in one
+global order) meet by an equi-join that says who may link at all; among those,
+``reaching`` runs DivideSkip over the whole sets and settles every link.
 
 1. Digest: each text's set size and a 64-bit digest of its set. Equal sets are
    one node from here on, so exact copies cost nothing further.
@@ -13,13 +15,14 @@ that the short lists admit. The probe is an exact count over both whole sets.
    bucket's lists are sorted, and lists of length one, which can admit nobody,
    end there.
 3. Short lists: the rest comes back by node, which keeps its shortest.
-4. Probes: pairs whose merged count can still reach T are counted exactly over
-   both whole sets, neighbours by size first, then pairs between the groups
-   that these make (see ``linking``).
+4. Probes: pairs whose merged count can still reach T are settled by DivideSkip
+   over the whole sets, each node against its candidates of a batch; neighbours
+   by size first, then pairs between the groups that these make (see ``linking``).
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +43,8 @@ HOT = 4096
 #: Sets that a task remembers as packed; forgetting costs repeated entries, which collapse later.
 REMEMBERED = 200_000
 LONGEST = 1 << 40
+#: Weight of a longest list's logarithm in the number of lists that are probed, not merged.
+SKIP_WEIGHT = 0.0085
 #: Bits of a shingle's hash that lists leave out.
 CUT = np.uint64(16)
 #: Documents (16 bytes each) that are broadcast to pick texts out of a scan; more are joined by shuffling.
@@ -165,21 +170,58 @@ def _lists(buckets: int):
     return run
 
 
+def reaching(probe: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """The places of the ``sets`` that link with ``probe``, by DivideSkip over the inverted lists of its shingles.
+
+    All sets are sorted and distinct. The lists are divided by length: a heap
+    merges the short ones, and the sets that they bring near enough to the
+    overlap they need are searched by halving in the ``skip`` longest.
+    """
+    n, size = len(probe), len(sets)
+    m = np.array([len(s) for s in sets], np.int64)
+    need = np.maximum(-(-num * (n + m) // (num + den)), 1)
+    can = need <= np.minimum(n, m)
+    if not can.any():
+        return np.zeros(0, np.int64)
+    shingle, owner = np.concatenate(sets), np.repeat(np.arange(size), m)
+    at = np.minimum(np.searchsorted(probe, shingle), n - 1)
+    hit = probe[at] == shingle
+    entry = np.sort(at[hit] * size + owner[hit])  # the lists one after another, each by set
+    length = np.bincount(entry // size, minlength=n)
+    ends = np.cumsum(length)
+    by_length = np.argsort(length, kind="stable")
+    least, longest = int(need[can].min()), int(length.max())
+    skip = min(least - 1, int(least / (SKIP_WEIGHT * np.log2(max(longest, 1)) + 1)))
+    short, long = by_length[: n - skip], by_length[n - skip :]
+    merged = np.zeros(size, np.int64)
+    for k in heapq.merge(*((entry[ends[i] - length[i] : ends[i]] % size).tolist() for i in short.tolist() if length[i])):
+        merged[k] += 1
+    admitted = np.flatnonzero(can & (merged >= need - skip))
+    if skip and len(admitted) and len(entry):
+        wanted = (long[:, None] * size + admitted).ravel()
+        place = np.minimum(np.searchsorted(entry, wanted), len(entry) - 1)
+        merged[admitted] += (entry[place] == wanted).reshape(skip, len(admitted)).sum(axis=0)
+    return admitted[merged[admitted] >= need[admitted]]
+
+
 def _probe(width: int, num: int, den: int):
-    """The pairs (a, b) whose whole sets reach the threshold."""
+    """The pairs (a, b) whose whole sets reach the threshold; the pairs of a batch that share a node are settled together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for batch in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(shingle_sets(batch.column("text_a"), width), shingle_sets(batch.column("text_b"), width), strict=True)):
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)  # binary probes of the smaller set into the larger
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(x) else 0
-                if den * both >= num * (len(x) + len(y) - both) and both:
-                    keep.append(k)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            first = {c: np.unique(batch.column(c).to_numpy(), return_index=True, return_inverse=True)[1:] for c in ("a", "b")}
+            one, other = ("a", "b") if len(first["a"][0]) < len(first["b"][0]) else ("b", "a")
+            rows, group = first[one]
+            order = np.argsort(group, kind="stable")
+            texts = batch.column(f"text_{other}").take(pa.array(order))
+            found, keep, place = shingle_sets(texts, width), [], 0
+            for probe, many in zip(shingle_sets(batch.column(f"text_{one}").take(pa.array(rows)), width), np.bincount(group).tolist(), strict=True):
+                sets = [next(found) for _ in range(many)]
+                keep.append(order[place + reaching(probe, sets, num, den)])
+                place += many
+            kept = np.sort(np.concatenate(keep)) if keep else np.zeros(0, np.int64)
+            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
     return run
 

@@ -67,6 +67,23 @@ def test_near_copies_equal_brute_force(spark, seed):
     assert kept == {i for i in range(len(texts)) if want[i] == i}
 
 
+@pytest.mark.parametrize(("num", "den"), [(4, 5), (1, 2), (1, 1), (1, 10)])
+def test_divide_skip_equals_counting(num, den):
+    rng = np.random.default_rng(num * 100 + den)
+    linked = 0
+    for _ in range(300):
+        probe = np.unique(rng.integers(0, 1 << 63, rng.integers(0, 60), dtype=np.uint64))
+        sets = []
+        for _ in range(rng.integers(1, 30)):
+            own = probe[rng.random(len(probe)) < rng.choice([0.1, 0.8, 0.9, 1.0])]
+            sets.append(np.unique(np.append(own, rng.integers(0, 1 << 63, rng.integers(0, rng.choice([2, 8, 200])), dtype=np.uint64))))
+        both = [len(np.intersect1d(probe, s)) for s in sets]
+        expected = [k for k, (s, c) in enumerate(zip(sets, both, strict=True)) if c and den * c >= num * (len(probe) + len(s) - c)]
+        assert ngrams.reaching(probe, sets, num, den).tolist() == expected
+        linked += len(expected)
+    assert linked > 100
+
+
 def test_near_copies_with_hot_shingles(spark, monkeypatch):
     """A passage that most texts share, in lists that are dealt apart from their buckets."""
     rng = random.Random(8)
