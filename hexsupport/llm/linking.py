@@ -20,6 +20,22 @@ from hexsupport.llm.store import Workspace
 #: Nodes with at most so many keys carry them along, so that a pair is made once, at its first common key.
 CARRIED = 64
 
+#: A key that holds more than one in so many of all rows is looked up by broadcast; so there are fewer such keys than this.
+HOT_SHARE = 1000
+
+
+def looked_up(rows: DataFrame, names: DataFrame, key: str, ws: Workspace) -> DataFrame:
+    """``rows`` joined with ``names``, which has one row for each of their keys, none of them null.
+
+    Rows of a hot key stay in the tasks that read them, so none gets them all.
+    """
+    counts = ws.write(rows.groupBy(key).agg(F.count("*").alias("times")))
+    total = counts.agg(F.sum("times")).first()[0] or 0
+    hot = counts.filter(F.col("times") * HOT_SHARE > total).select(key)
+    hot = ws.write(names.join(F.broadcast(hot), key, "left_semi"))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(names, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
 
 def grouped(nodes: DataFrame, fits: Callable[..., Column], least: Callable[..., Column], probe: Callable[[DataFrame], DataFrame], ws: Workspace) -> DataFrame:
     """``(id, component)`` of the nodes that link with another, from ``nodes(node, n, s, tokens)``.

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hexsupport.llm.linking import grouped
+from hexsupport.llm.linking import grouped, looked_up
 from hexsupport.llm.shingles import BASE, shingle_sets
 from hexsupport.llm.store import Workspace, bound_batches, buckets_for, lean, small
 
@@ -277,10 +277,13 @@ def _grouped(documents: DataFrame, width: int = 5, num: int = 4, den: int = 5, i
         return ws.write(both.mapInArrow(_probe(width, num, den), "a long, b long"))
 
     groups = grouped(short.select("node", "n", F.size("tokens").alias("s"), "tokens"), fits, least_merged, probed, ws)
-    placed = digest.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("group", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
-    least = placed.filter("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    out = placed.join(least, "group", "left")
-    return out.select("doc_id", "n_shingles", "node", "group", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # names of groups go to nodes first, each of which is one row, and then to rows
+    placed = ws.write(nodes.select("node", "doc").join(groups.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("group", F.coalesce("component", "node")))
+    least = placed.groupBy("group").agg(F.min("doc").alias("component_id"))
+    named = ws.write(looked_up(placed.select("node", "group"), least, "group", ws))
+    full = looked_up(digest.filter("n_shingles > 0").select("node", "doc_id", "n_shingles"), named, "node", ws)
+    empty = digest.filter("n_shingles = 0").select("node", "doc_id", "n_shingles", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("component_id"))
+    return full.unionByName(empty).select("doc_id", "n_shingles", "node", "group", "component_id")
 
 
 def _named(width: int, at: int):

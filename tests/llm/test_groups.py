@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hexsupport.llm import components, embeddings, lines, mixing, ngrams, store
+from hexsupport.llm import components, embeddings, lines, linking, mixing, ngrams, store
 from tests.oracle import SF
 
 
@@ -98,6 +98,15 @@ def test_near_copies_with_hot_shingles(spark, monkeypatch):
     assert [found[i] for i in range(len(texts))] == _roots(len(texts), links)
 
 
+def test_hot_keys_are_looked_up_apart(spark):
+    rows = spark.range(4000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN -8 ELSE id END AS key")
+    names = rows.select("key").distinct().selectExpr("key", "key * 2 AS name")
+    out = linking.looked_up(rows, names, "key", store.Workspace(spark, "hot"))
+    assert sorted(map(tuple, out.select("id", "name").collect())) == [(k, 14 if k % 3 == 0 else -16 if k % 3 == 1 else 2 * k) for k in range(4000)]
+    none = linking.looked_up(rows.limit(0), names.limit(0), "key", store.Workspace(spark, "hot"))
+    assert none.columns == ["key", "id", "name"] and none.isEmpty()
+
+
 def test_near_copies_odd_ids(spark):
     a, b = "a b c d e f g h", "q r s t u v w x"
     docs = spark.createDataFrame([(5, a), (5, a), (7, b), (3, b), (None, a), (None, "z"), (9, None)], "doc_id long, text string")
