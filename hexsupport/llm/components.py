@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from hexsupport.llm.store import Workspace
 
+#: A key that holds more than one in so many of all rows is looked up by broadcast; so there are fewer such keys than this.
+HOT_SHARE = 1000
+
 
 class Forest:
     """Union-find with path halving; the smallest member is the root."""
@@ -72,9 +75,13 @@ def components(edges: DataFrame, ws: Workspace, max_rounds: int = 100) -> DataFr
         if mark == seen or not mark[0]:
             break
         seen = mark
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # large-star: each edge hangs its high end below the least neighbour of its low end, where that has one below itself
+        below = now.groupBy("u").agg(F.min("v").alias("m"))
+        hubs = now.groupBy("v").agg(F.count("*").alias("times")).filter(F.col("times") * HOT_SHARE > mark[0]).select("v")
+        hubs = hubs.join(below.withColumnRenamed("u", "v"), "v", "left").select("v", F.coalesce("m", "v").alias("top"))
+        marked = now.join(F.broadcast(hubs), "v", "left")
+        others = marked.filter("top IS NULL").select("u", "v").join(below.withColumnRenamed("u", "v"), "v", "left")
+        large = marked.filter("top IS NOT NULL").select("u", F.col("top").alias("v")).unionByName(others.select("u", F.coalesce("m", "v").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))

@@ -13,16 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hexsupport.llm.components import components
+from hexsupport.llm.components import HOT_SHARE, components
 from hexsupport.llm.store import Workspace
 
-
 #: Nodes with at most so many keys carry them along, so that a pair is made once, at its first common key.
 CARRIED = 64
 
-#: A key that holds more than one in so many of all rows is looked up by broadcast; so there are fewer such keys than this.
-HOT_SHARE = 1000
-
 
 def looked_up(rows: DataFrame, names: DataFrame, key: str, ws: Workspace) -> DataFrame:
     """``rows`` joined with ``names``, which has one row for each of their keys, none of them null.
