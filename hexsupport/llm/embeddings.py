@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexsupport.llm.components import components
+from hexsupport.llm.linking import looked_up
 from hexsupport.llm.store import Workspace, bound_batches
 
 #: Vectors in a block at least, bytes of vectors in a block at most, and vectors in a slice.
@@ -227,7 +228,10 @@ def near_duplicates(vectors: DataFrame, reach: float = 0.93) -> DataFrame:
     nodes = every.select("node", "times", "first").join(groups.withColumnRenamed("id", "node"), "node", "left").join(counts, "node", "left")
     nodes = ws.write(nodes.withColumn("component", F.coalesce("component", "node")))
     least = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
-    nodes = nodes.join(least, "component").select("node", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = placed.select("vec_id", "node").join(nodes, "node", "left")
+    nodes = looked_up(nodes, least, "component", ws)
+    nodes = ws.write(nodes.select("node", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"))
+    rows = placed.select("vec_id", "node")
+    linked = looked_up(rows.filter("node IS NOT NULL"), nodes, "node", ws)
+    out = linked.unionByName(rows.filter("node IS NULL"), allowMissingColumns=True)
     component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
