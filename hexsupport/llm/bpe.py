@@ -11,8 +11,12 @@ just these two. That is decided by undoing the merges on both sides of the
 border, latest first, and asking whether the border's neighbours would have
 been merged earlier.
 
-A prefix's last token depends on its bytes alone, so short prefixes are shared
-by all pieces that begin with them.
+The tokens that can end a prefix are found by an automaton of all tokens (Aho
+and Corasick): after each byte it knows the longest token that ends there, and
+each token knows the next shorter one that ends it.
+
+Short pieces not seen before are settled together, prefix length by prefix
+length, with arrays in place of single steps.
 """
 
 from __future__ import annotations
@@ -31,12 +35,14 @@ from pyspark.sql import types as T
 
 from hexsupport.llm.store import bound_batches, lean
 
-#: Entries of a worker's caches of split pieces, of token pairs and of prefixes; they bound memory, not results.
-PIECES, PAIRS, PREFIXES = 200_000, 200_000, 100_000
-#: Longest piece that is kept in the cache, in characters, and longest prefix that is, in bytes.
-KEPT, SHARED = 40, 4
+#: Entries of a worker's caches of split pieces, of token pairs and of the automaton's steps; they bound memory, not results.
+PIECES, PAIRS, STEPS = 200_000, 200_000, 100_000
+#: Longest piece that is kept in the cache, in characters.
+KEPT = 40
+#: Longest piece that is settled together with others, in bytes, and the least and most pieces that are.
+SHORT, FEW, MANY = 32, 64, 1 << 14
 #: Pieces of a text that are looked up at once, and characters of texts whose pieces are.
-TURN, TEXTS = 50_000, 1 << 18
+TURN, TEXTS = 50_000, 1 << 20
 #: Largest rank file that is broadcast.
 MAX_RANK_FILE = 64 << 20
 
@@ -68,6 +74,40 @@ class Recent(dict):
         return value
 
 
+class Table:
+    """Whole numbers by whole numbers, none below 0, looked up by arrays (open addressing); -1 where there is none."""
+
+    def __init__(self, found: dict[int, int]):
+        bits = (3 * len(found) + 1).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        key, value = np.array(list(found), np.int64), np.array(list(found.values()), np.int32)
+        slot = self._slot(key)
+        while len(key):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            first = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[first]], self.values[slot[first]] = key[first], value[first]
+            left = np.ones(len(key), bool)
+            left[first] = False
+            key, value, slot = key[left], value[left], slot[left] + 1 & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        slot = self._slot(key)
+        there = self.keys[slot]
+        value = np.where(there == key, self.values[slot], -1)
+        todo = np.flatnonzero((there != key) & (there >= 0))
+        while len(todo):
+            slot[todo] = slot[todo] + 1 & self.mask
+            there = self.keys[slot[todo]]
+            hit = there == key[todo]
+            value[todo[hit]] = self.values[slot[todo[hit]]]
+            todo = todo[~hit & (there >= 0)]
+        return value
+
+
 class Vocabulary:
     """Tokens by id, their last merges, and which tokens may follow each other."""
 
@@ -77,21 +117,23 @@ class Vocabulary:
         self.size = {rank: len(token) for token, rank in ranks.items()}
         self.reach = max(map(len, ranks), default=0)
         self.parts = {rank: self._last_merge(token) for token, rank in ranks.items() if len(token) > 1}
+        self.top = max(self.tokens, default=-1) + 1
         #: Tokens that merging makes; the others end no prefix.
         self.made = {token: rank for token, rank in ranks.items() if len(token) == 1 or self.parts[rank] is not None}
-        #: The lengths of all tokens with these last four bytes, longest first.
-        self.lengths: dict[bytes, tuple[int, ...]] = {}
-        for token in sorted(self.made, key=len, reverse=True):
-            if len(token) >= 4 and len(token) not in self.lengths.get(token[-4:], ()):
-                self.lengths[token[-4:]] = (*self.lengths.get(token[-4:], ()), len(token))
-        self.top = max(self.tokens, default=-1) + 1
+        #: The automaton's states by state * 256 + byte, its longest shorter state, and the longest token that ends a state's bytes.
+        self.trie: dict[int, int] = {}
+        self.fail, self.ends = array("i", [0]), [None]
+        #: The next shorter token that ends a token.
+        self.shorter: dict[int, int | None] = {}
+        self._link()
+        self.steps = Recent(self._step, STEPS)
+        self._lay_out()
         #: Whether a token may follow another, by left * top + right.
         self.follows = Recent(self._follows, PAIRS)
         self.split = regex.compile(pattern).findall
         self.cuts = regex.compile(pattern).finditer
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        self.prefixes: dict[bytes, int] = {}
         self.long: list[str] = []
 
     def _last_merge(self, token: bytes) -> tuple[int, int] | None:
@@ -106,6 +148,124 @@ class Vocabulary:
         ids = self.ranks.get(parts[0]), self.ranks.get(parts[1])
         return None if None in ids else ids
 
+    def _link(self) -> None:
+        trie, fail, ends, layers = self.trie, self.fail, self.ends, []
+        for token, rank in self.made.items():
+            state = 0
+            for depth, byte in enumerate(token):
+                key = state << 8 | byte
+                state = trie.get(key)
+                if state is None:
+                    state = trie[key] = len(ends)
+                    fail.append(0)
+                    ends.append(None)
+                    if depth == len(layers):
+                        layers.append([])
+                    layers[depth].append(key)
+            ends[state] = rank
+        for depth, layer in enumerate(layers):  # shorter states are linked first
+            for key in layer:
+                state = trie[key]
+                if depth:
+                    fail[state] = self._step(fail[key >> 8] << 8 | key & 255)
+                shorter = ends[fail[state]]
+                if ends[state] is None:
+                    ends[state] = shorter
+                else:
+                    self.shorter[ends[state]] = shorter
+
+    def _step(self, key: int) -> int:
+        """The state that the automaton goes to, by state * 256 + byte."""
+        trie, fail, byte = self.trie, self.fail, key & 255
+        while (found := trie.get(key)) is None:
+            if key < 256:
+                return 0
+            key = fail[key >> 8] << 8 | byte
+        return found
+
+    def _lay_out(self) -> None:
+        """The same as arrays, for pieces that are settled together; -1 stands for none."""
+        ranks, top = self.ranks, self.top
+        merged = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    merged[left * top + right] = rank
+        self.all_merged, self.all_trie = Table(merged), Table(self.trie)
+        self.all_fail = np.array(self.fail, np.int64)
+        self.all_ends = np.array([-1 if x is None else x for x in self.ends], np.int64)
+        self.all_sizes, self.all_shorter, self.all_lefts, self.all_rights = (np.full(top, -1, np.int64) for _ in range(4))
+        for rank, size in self.size.items():
+            self.all_sizes[rank] = size
+        for rank, shorter in self.shorter.items():
+            self.all_shorter[rank] = -1 if shorter is None else shorter
+        for rank, own in self.parts.items():
+            if own is not None:
+                self.all_lefts[rank], self.all_rights[rank] = own
+
+    def _steps(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """``_step`` of many."""
+        found = self.all_trie(state << 8 | byte)
+        todo = np.flatnonzero(found < 0)
+        while len(todo):
+            own = state[todo]
+            found[todo[own == 0]] = 0
+            todo = todo[own != 0]
+            state[todo] = self.all_fail[state[todo]]
+            found[todo] = self.all_trie(state[todo] << 8 | byte[todo])
+            todo = todo[found[todo] < 0]
+        return found.astype(np.int64)
+
+    def _all_follow(self, pairs: np.ndarray) -> np.ndarray:
+        """``_follows`` of many."""
+        left, right = np.divmod(pairs, self.top)
+        out, live, before = np.ones(len(pairs), bool), np.arange(len(pairs)), np.full(len(pairs), 1 << 62)
+        while len(live):
+            merged = self.all_merged(left * self.top + right)
+            wrong = (merged >= 0) & (merged < before)
+            out[live[wrong]] = False
+            last, first = self.all_rights[left], self.all_lefts[right]
+            on = np.flatnonzero(~wrong & ((last >= 0) | (first >= 0)))
+            live, left, right, last, first = live[on], left[on], right[on], last[on], first[on]
+            undo = (first < 0) | (last >= 0) & (left > right)
+            before, left, right = np.where(undo, left, right + 1), np.where(undo, last, left), np.where(undo, right, first)
+        return out
+
+    def _pieces(self, raws: list[bytes]) -> Iterator[tuple[int, ...]]:
+        """The ids of each of many short pieces, none of them empty."""
+        size = np.array([len(raw) for raw in raws], np.int64)
+        order = np.argsort(-size, kind="stable")
+        starts, data = (np.cumsum(size) - size)[order], np.frombuffer(b"".join(raws), np.uint8)
+        size = size[order]
+        last = np.full((len(raws), int(size[0]) + 1), -1, np.int64)
+        state = np.zeros(len(raws), np.int64)
+        for i in range(1, int(size[0]) + 1):
+            many = int(np.searchsorted(-size, -i, "right"))  # pieces that are so long
+            state = self._steps(state[:many], data[starts[:many] + (i - 1)])
+            token, todo = self.all_ends[state], np.arange(many)
+            while len(todo):
+                own = token[todo]
+                if (own < 0).any():
+                    raise ValueError(f"no token ends the prefix of {i} bytes; the ranks lack a byte")
+                inner = self.all_sizes[own] != i
+                todo, own = todo[inner], own[inner]
+                pairs, place = np.unique(last[todo, i - self.all_sizes[own]] * self.top + own, return_inverse=True)
+                todo = todo[~self._all_follow(pairs)[place]]
+                token[todo] = self.all_shorter[token[todo]]
+            last[:many, i] = token
+        rows, tokens, row, at = [], [], np.arange(len(raws)), size
+        while len(row):
+            own = last[row, at]
+            rows.append(row)
+            tokens.append(own)
+            at = at - self.all_sizes[own]
+            row, at = row[at > 0], at[at > 0]
+        rows, tokens = order[np.concatenate(rows[::-1])], np.concatenate(tokens[::-1])
+        tokens = tokens[np.argsort(rows, kind="stable")].tolist()
+        ends = np.cumsum(np.bincount(rows, minlength=len(raws))).tolist()
+        return (tuple(tokens[a:b]) for a, b in zip([0, *ends], ends, strict=False))
+
     def _follows(self, pair: int) -> bool:
         left, right = divmod(pair, self.top)
         ranks, tokens, parts = self.ranks, self.tokens, self.parts
@@ -122,24 +282,25 @@ class Vocabulary:
             else:
                 before, right = right + 1, own[1][0]
 
-    def extend(self, data: bytes, last: list[int], end: int) -> None:
-        """Appends the last tokens of the prefixes of ``data`` of up to ``end`` bytes to those in ``last``."""
-        made, lengths, follows, top = self.made.get, self.lengths.get, self.follows, self.top
+    def extend(self, data: bytes, last: list[int], end: int, state: int | None = None) -> int:
+        """Appends the last tokens of the prefixes of ``data`` of up to ``end`` bytes to those in ``last``.
+
+        ``state`` is the automaton's after the prefixes in ``last``; the one after ``end`` bytes is returned.
+        """
+        steps, ends, shorter, size, follows, top = self.steps, self.ends, self.shorter, self.size, self.follows, self.top
+        if state is None:
+            state = 0
+            for byte in data[max(0, len(last) - 1 - self.reach) : len(last) - 1]:  # no token is longer
+                state = steps[state << 8 | byte]
         for i in range(len(last), end + 1):
-            for length in lengths(data[i - 4 : i], ()) if i >= 4 else ():
-                if length <= i:
-                    token = made(data[i - length : i])
-                    if token is not None and (length == i or follows[last[i - length] * top + token]):
-                        break
-            else:
-                for length in (3, 2, 1):
-                    if length <= i:
-                        token = made(data[i - length : i])
-                        if token is not None and (length == i or follows[last[i - length] * top + token]):
-                            break
-                else:
-                    raise ValueError(f"no token ends the prefix of {i} bytes; the ranks lack a byte")
+            state = steps[state << 8 | data[i - 1]]
+            token = ends[state]
+            while token is not None and (length := size[token]) != i and not follows[last[i - length] * top + token]:
+                token = shorter[token]
+            if token is None:
+                raise ValueError(f"no token ends the prefix of {i} bytes; the ranks lack a byte")
             last.append(token)
+        return state
 
     def back(self, last: list[int], at: int) -> list[int]:
         """The ids of the prefix of ``at`` bytes."""
@@ -151,19 +312,8 @@ class Vocabulary:
         found.reverse()
         return found
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode("utf-8", "surrogatepass")
-        whole = self.ranks.get(raw)
-        if whole is not None:  # a piece that is a token is that token, also one that merging never makes
-            return (whole,)
-        last, prefixes = [-1], self.prefixes
-        for i in range(1, min(len(raw), SHARED) + 1):
-            token = prefixes.get(raw[:i])
-            if token is None:
-                self.extend(raw, last, i)
-                prefixes[raw[:i]] = last[i]
-            else:
-                last.append(token)
+    def _piece(self, raw: bytes) -> tuple[int, ...]:
+        last = [-1]
         self.extend(raw, last, len(raw))
         return tuple(self.back(last, len(raw)))
 
@@ -171,13 +321,27 @@ class Vocabulary:
         """Sees to it that ``self.pieces`` has the ids of all ``pieces``."""
         if len(self.pieces) > PIECES:
             self.pieces, self.older = {}, self.pieces
-        if len(self.prefixes) > PREFIXES:
-            self.prefixes = {}
-        known, older = self.pieces, self.older
+        known, older, ranks = self.pieces, self.older, self.ranks
+        short, raws = [], []
         for piece in set(pieces).difference(known):
-            known[piece] = older.get(piece) or self._piece(piece)
+            ids = older.get(piece)
+            if ids is None:
+                raw = piece.encode("utf-8", "surrogatepass")
+                whole = ranks.get(raw)
+                if whole is not None:  # a piece that is a token is that token, also one that merging never makes
+                    ids = (whole,)
+                elif len(raw) <= SHORT:
+                    short.append(piece)
+                    raws.append(raw)
+                    continue
+                else:
+                    ids = self._piece(raw)
+            known[piece] = ids
             if len(piece) > KEPT:
                 self.long.append(piece)
+        for a in range(0, len(raws), MANY):
+            own = raws[a : a + MANY]
+            known.update(zip(short[a : a + MANY], self._pieces(own) if len(own) >= FEW else map(self._piece, own), strict=True))
 
     def ids(self, pieces: list[str], learnt: bool = False) -> Iterator[int]:
         if not learnt:
@@ -229,9 +393,9 @@ class Prefixes:
         old, shift = self.last, start + len(new) - end
         self.data[start:end] = new
         self.last = old[: start + 1]
-        data, agree = bytes(self.data), 0
+        data, agree, state = bytes(self.data), 0, None
         for i in range(start + 1, len(data) + 1):
-            self.vocabulary.extend(data, self.last, i)
+            state = self.vocabulary.extend(data, self.last, i, state)
             agree = agree + 1 if i > start + len(new) and self.last[i] == old[i - shift] else 0
             if agree >= self.vocabulary.reach:  # later prefixes depend on nothing before
                 self.last += old[i + 1 - shift :]

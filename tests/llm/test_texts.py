@@ -58,6 +58,19 @@ def test_bpe_on_random_text(vocabulary, tik):
         assert vocabulary.decode(vocabulary.encode(text)) == text.encode()
 
 
+def test_bpe_settles_short_pieces_together(vocabulary, tik, monkeypatch):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("aeinorstüéß漢😀") for _ in range(rng.randint(1, 8))) for _ in range(3000)]
+    text, alone = " ".join(words), []
+    monkeypatch.setattr(vocabulary, "_piece", lambda own: alone.append(own))
+    assert vocabulary.encode(text) == tik.encode_ordinary(text)
+    assert not alone
+    monkeypatch.undo()
+    tokens = list(vocabulary.ranks)
+    raws = [b"".join(rng.choices(tokens, k=rng.randint(1, 4))) for _ in range(3000)]  # also tokens that no merge makes, and broken characters
+    assert list(vocabulary._pieces(raws)) == [vocabulary._piece(raw) for raw in raws]
+
+
 def test_bpe_appends_and_edits(vocabulary):
     rng = random.Random(6)
     for _ in range(100):
