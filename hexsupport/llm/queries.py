@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexsupport.llm import bpe, embeddings, langid, licenses, lines, mixing, ngrams, pii, quality, urls
+from hexsupport.llm import bpe, centroids, counts, embeddings, langid, licenses, lines, mixing, ngrams, pii, quality, runs, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,13 +71,81 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return counts.counted(texts, public_tokenizers.path("byte_bpe_50k.json"), limit=512, keep_text=False)
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """Of documents whose ``crc32(doc_id)`` divides by 10, the words from some place on repeat with some period (see the contract)."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    hash_, n, w = F.crc32(F.col("doc_id").cast("string").cast("binary")), F.size("_w").cast("long"), F.col("_w")
+    g = F.floor(hash_ / 10)
+    a = g % F.col("_n")
+    p = 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + g % 8))
+    tail = F.flatten(F.array_repeat(F.slice(w, F.col("_a") + 1, F.col("_p")), F.ceil((F.col("_n") - F.col("_a")) / F.col("_p")).cast("int")))
+    made = F.array_join(F.concat(F.slice(w, 1, F.col("_a")), F.slice(tail, 1, F.col("_n") - F.col("_a"))), " ")
+    out = docs.withColumn("_w", F.when((hash_ % 10 == 0) & F.col("text").isNotNull(), words)).withColumn("_n", n).withColumn("_a", F.when(F.col("_n") > 0, a).cast("int")).withColumn("_p", p.cast("int"))
+    return out.withColumn("text", F.when(F.col("_n") > 0, made).otherwise(F.col("text"))).select(*docs.columns)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = planted(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.col("_best")
+    found = runs.periodic(docs, keep_text=False).withColumn("_best", runs.greatest())
+    ratio = F.floor(1000 * best["length"] / best["period"])
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"), ratio.alias("exponent_milli"),
+        F.sha2(runs.listed().cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _lloyd_sql(k: int = 40, rounds: int = 5) -> str:
+    """Each round spelled out as two tables: the assignment by the last centroids, and the next centroids."""
+    parts = [
+        """v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, e) - 1 AS j, e AS c FROM (SELECT sha256('2:' || vec_id::VARCHAR) AS h, e FROM v WHERE vec_id IS NOT NULL ORDER BY h, e LIMIT {k})
+)""",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT rid, any_value(vec_id) AS vec_id, any_value(e) AS e, min(d) AS d, arg_min(j, d * {k} + j) AS j FROM (
+    SELECT rid, vec_id, e, j, list_sum(list_transform(list_zip(e, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{i}
+  ) GROUP BY rid
+)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT o.j, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN (
+    SELECT j, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM (
+      SELECT j, i, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT j, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{i}) GROUP BY j, i
+    ) GROUP BY j
+  ) m ON m.j = o.j
+)""")
+    return "WITH " + ", ".join(parts) + f"""
+SELECT vec_id, a.j::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.j = a.j
+"""
+
+
 _SQL = {
+    "op11_centroid_clustering": _lloyd_sql(),
     "op2_url_filters": r"""
 WITH r(rule, verdict, h, p) AS (VALUES
   ('com/', 'allow', 'com', '/'), ('example.com/en/', 'block', 'example.com', '/en/'),
