@@ -4,22 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hexsupport.functions import bits, grid, planar
-from hexsupport.functions.project import azimuthal, from_lng_lat, gnomonic
+from hexsupport.functions import bits, planar
 from hexsupport.operators.cells import SupportError, as_cells, checked
-from hexsupport.operators.cover import near_groups
-from hexsupport.operators.polygons import Laid, cell_rings, checked_polygons, numbered, plane_for, reach, shapes
+from hexsupport.operators.index import ABOVE, index
+from hexsupport.operators.meet import features, nearest
+from hexsupport.operators.polygons import checked_polygons, numbered, plane_for, reach, shapes
 from hexsupport.sources.shared import written
 
-#: Relative tolerance of equal overlaps, and of equal distances.
-TIE, EQUAL = 2.0**-26, 1e-9
-#: Polygons that are sent to all tasks at once when the nearest is sought; more are sent in turns.
-TURN = 2000
+#: Relative tolerance of equal overlaps.
+TIE = 2.0**-26
 METHODS = ("centre", "intersects", "largest_overlap", "nearest", "ambiguous", "unassigned")
 RESULT = ("h3", "polygon_id", "assignment_method", "assignment_distance", "candidate_n")
 
@@ -49,33 +46,6 @@ def check_topology(polygons: DataFrame, crs: int = 4326) -> None:
         raise SupportError(f"Polygons have overlapping interiors: {found} pairs")
 
 
-def _features(crs: int, areas: bool):
-    """Per cell and polygon that meet: whether the centre lies inside, and the overlap in square metres. Cells wholly inside are settled at once."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            out = []
-            for poly, cells, shape in zip(df.poly, df.cells, shapes(df.geometry, crs), strict=True):
-                cell = np.asarray(cells, np.int64)
-                lat, lng = grid.centres(cell)
-                laid = Laid(shape, cell, plane_for((lng[0], lat[0]), crs))
-                rings = cell_rings(cell) if areas else None
-                for k in np.flatnonzero(laid.near | laid.inside).tolist():
-                    near, within, area = laid.near[k], True, None
-                    if near:
-                        if not planar.meet([[laid.rings[k]]], laid.flat):
-                            continue
-                        centre = laid.at[k : k + 1]
-                        within = bool(laid.inside[k]) and not bool(planar.on_edge(laid.flat, centre)[0])
-                    if areas:
-                        local = azimuthal(lng[k], lat[k])
-                        area = planar.union_area([planar.clipped(planar.mapped(shape, local), local(rings[k]))]) if near else abs(planar.ring_area(local(rings[k])))
-                    out.append((cell[k], poly, within, area))
-            yield pd.DataFrame(out, columns=["cell", "poly", "within", "area"]).astype({"area": float})
-
-    return run
-
-
 def membership(cells: DataFrame, polygons: DataFrame, id_col: str, crs: int = 4326, column: str = "h3", validate: bool = True) -> DataFrame:
     """``(h3, polygon_id)``: all pairs of cells and polygons with a point in common, by cell, then by the polygons' order."""
     if validate:
@@ -86,49 +56,12 @@ def membership(cells: DataFrame, polygons: DataFrame, id_col: str, crs: int = 43
     else:
         res = cells.agg(F.min(bits.resolution(bits.to_long(F.col(column))))).first()[0]
     table = numbered(polygons)
-    met = near_groups(as_cells(cells, column), table, crs, res).mapInPandas(_features(crs, False), "cell long, poly long, within boolean, area double")
+    finest = max(0, res - ABOVE)
+    met = features(as_cells(cells, column), index(table, crs, finest), crs, finest)
     named = met.join(table.select("poly", F.col(f"`{id_col}`").alias("polygon_id")), "poly")
     return named.orderBy(bits.to_text(F.col("cell")), "poly").select(bits.to_text(F.col("cell")).alias("h3"), "polygon_id")
 
 
-def _nearest(cells: DataFrame, polygons: DataFrame, crs: int) -> DataFrame:
-    """(cell, poly, dist, tied): each cell's nearest polygon; metres for longitude and latitude."""
-    spark, found, turn = cells.sparkSession, [], []
-
-    def measure(chosen) -> DataFrame:
-        sent = spark.sparkContext.broadcast(chosen)
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            flat = [(poly, s) for (poly, _), s in zip(sent.value, shapes(pd.Series([g for _, g in sent.value]), crs), strict=True)]
-            for df in frames:
-                cell = df.cell.to_numpy()
-                lat, lng = grid.centres(cell)
-                out = []
-                for c, x, y in zip(cell, lng, lat, strict=True):
-                    to = azimuthal(x, y) if crs == 4326 else lambda p: from_lng_lat(p, crs)
-                    at = to(np.array([[x, y]]))
-                    far = np.array([planar.distance(planar.mapped(s, to), at)[0] for _, s in flat])
-                    k = int(far.argmin())
-                    out.append((c, flat[k][0], far[k], int((far <= far[k] * (1 + EQUAL)).sum())))
-                yield pd.DataFrame(out, columns=["cell", "poly", "dist", "tied"])
-
-        return cells.mapInPandas(run, "cell long, poly long, dist double, tied long")
-
-    for row in polygons.select("poly", "geometry").toLocalIterator():
-        turn.append((row.poly, row.geometry))
-        if len(turn) == TURN:
-            found.append(measure(turn))
-            turn = []
-    if turn:
-        found.append(measure(turn))
-    whole = found[0]
-    for part in found[1:]:
-        whole = whole.unionByName(part)
-    best = whole.groupBy("cell").agg(F.min("dist").alias("least"))
-    near = whole.join(best, "cell").filter(F.col("dist") <= F.col("least") * (1 + EQUAL))
-    return near.groupBy("cell").agg(F.min_by("poly", F.struct("dist", "poly")).alias("poly"), F.min("dist").alias("dist"), F.sum("tied").alias("tied"))
-
-
 def cascade(features: DataFrame) -> DataFrame:
     """One row per cell of ``features(cell, poly, within, area)``: ``cell, poly, assignment_method, candidate_n``.
 
@@ -170,14 +103,15 @@ def assign(cells: DataFrame, polygons: DataFrame, id_col: str, keep: list[str] |
         res = cells.agg(F.min(bits.resolution(bits.to_long(F.col(column))))).first()[0]
     table = numbered(polygons)
     own = written(as_cells(cells, column))
-    features = near_groups(own, table, crs, res).mapInPandas(_features(crs, True), "cell long, poly long, within boolean, area double")
-    met = written(cascade(features))
+    finest = max(0, res - ABOVE)
+    indexed = index(table, crs, finest)
+    met = written(cascade(features(own, indexed, crs, finest, areas=True)))
     if validate and not met.filter("assignment_method = 'error'").isEmpty():
         raise SupportError("There are multiple assignments for an H3 centre")
     met = met.withColumn("assignment_distance", F.lit(0.0))
     rest = own.join(met, "cell", "left_anti")
     if outside == "nearest":
-        near = _nearest(rest, table, crs)
+        near = nearest(written(rest), indexed, crs, finest)
         alone = F.col("tied") == 1
         rest = near.select("cell", F.when(alone, F.col("poly")).alias("poly"), F.when(alone, "nearest").otherwise("ambiguous").alias("assignment_method"), F.when(alone, 1).otherwise(2).cast("int").alias("candidate_n"), F.when(alone, F.col("dist")).alias("assignment_distance"))
     else:
