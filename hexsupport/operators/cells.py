@@ -80,21 +80,22 @@ def settled(df: DataFrame, what: str = "x", column: str = "h3", empty_ok: bool =
     return facts, counted.select("cell")
 
 
-def uncompact(cells: DataFrame, res: int, chunk: int = 5) -> DataFrame:
-    """All descendants at ``res`` of ``cells(cell)``; cells already there stay.
+def uncompact(cells: DataFrame, res: int, chunk: int = 5, carry: list[str] | None = None) -> DataFrame:
+    """All descendants at ``res`` of ``cells(cell)``, with the columns ``carry``; cells already there stay.
 
     Descendants are made ``chunk`` levels at a time, so that no row explodes into
     more than ``7 ** chunk`` others at once.
     """
     res = whole_number(res, 0, bits.FINEST, "`res` must be between 0 and 15")
-    out = cells.select("cell")
+    carry = carry or []
+    out = cells.select("cell", *carry)
     for step in range(0, res, chunk) if res else ():
         top = min(step + chunk, res)
         own = bits.resolution(F.col("cell"))
         lower = F.greatest(F.lit(0), F.lit(top) - own)
         numbers = F.sequence(F.lit(0).cast("long"), F.pow(F.lit(7.0), lower).cast("long") - 1)
         wide = out.filter(own >= top).unionByName(
-            out.filter(own < top).select("cell", F.explode(numbers).alias("number")).select(bits.child(F.col("cell"), top, F.col("number")).alias("cell")).filter(bits.is_valid(F.col("cell")))
+            out.filter(own < top).select("cell", *carry, F.explode(numbers).alias("number")).select(bits.child(F.col("cell"), top, F.col("number")).alias("cell"), *carry).filter(bits.is_valid(F.col("cell")))
         )
         out = wide
     return out

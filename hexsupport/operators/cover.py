@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 from hexsupport.functions import bits, grid, planar
 from hexsupport.functions.project import azimuthal, gnomonic
 from hexsupport.operators.cells import SupportError, as_cells, checked, whole_number
-from hexsupport.operators.polygons import DEPTH, Laid, cell_rings, checked_polygons, descend, numbered, reach, shapes
+from hexsupport.operators.index import ABOVE, index
+from hexsupport.operators.meet import filled
+from hexsupport.operators.polygons import DEPTH, cell_rings, checked_polygons, descend, numbered, reach, shapes
+from hexsupport.sources.shared import written
 
 RULES = ("center", "within", "intersects", "overlap")
 #: A cell is contained if no more than this share of it lies outside.
@@ -87,30 +90,10 @@ def near_groups(cells: DataFrame, polygons: DataFrame, crs: int, res: int) -> Da
     return pairs.join(polygons.select("poly", "geometry"), "poly").select("poly", "coarse", "cells", "geometry")
 
 
-def meeting(polygons: DataFrame, crs: int, res: int) -> DataFrame:
-    """``(poly, cell)``: all cells of a resolution that have a point in common with a polygon.
-
-    Every cell near the polygon's box is a candidate. Cells whose centre lies
-    farther from the outline than their corners are settled at once.
-    """
-    low = max(0, res - DEPTH)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            for poly, part in df.groupby("poly"):
-                shape = shapes(part.geometry[:1], crs)[0]
-                for coarse in part.coarse.to_numpy():
-                    cell = descend(planar.box(shape), np.array([coarse]), low, res)
-                    if len(cell):
-                        lat, lng = grid.centres(np.array([coarse]))
-                        laid = Laid(shape, cell, gnomonic(lng[0], lat[0]))
-                        keep = laid.inside.copy()
-                        for k in np.flatnonzero(laid.near).tolist():
-                            keep[k] = planar.meet([[laid.rings[k]]], laid.flat)
-                        yield pd.DataFrame({"poly": np.full(keep.sum(), poly, np.int64), "cell": cell[keep]})
-
-    rows = reach(polygons, crs, low).join(polygons.select("poly", "geometry"), "poly")
-    return rows.repartition("poly", "coarse").select("poly", "coarse", "geometry").mapInPandas(run, "poly long, cell long")
+def meeting(polygons: DataFrame, crs: int, res: int, areas: bool = False) -> DataFrame:
+    """``(cell, poly, within, area, share)``: all cells of a resolution that have a point in common with a polygon, by the polygons' index."""
+    finest = max(0, res - ABOVE)
+    return filled(index(polygons, crs, finest, spherical=True), res, finest, areas)
 
 
 def _pieces(crs: int, spherical: bool):
@@ -174,15 +157,21 @@ def cover(polygons: DataFrame, resolution: int, boundary: str = "center", min_ov
     if boundary == "center":
         cells = centre_cells(polygons, crs, resolution).select("cell").distinct()
         return cells.select(bits.to_text(F.col("cell")).alias("h3"))
-    found = (centre_cells if boundary == "within" else meeting)(polygons, crs, resolution).select("cell").distinct()
+    shared = boundary != "intersects"
+    met = meeting(polygons, crs, resolution, areas=shared)
     if boundary != "within" and not exhaustive:
         beside = disks(centre_cells(polygons, crs, resolution).unionByName(_seeds(polygons, crs, resolution)).select("cell"), 1)
-        found = found.join(beside, "cell", "left_semi")
-    if boundary == "intersects":
-        cells = found
+        met = met.join(beside, "cell", "left_semi")
+    if not shared:
+        cells = met.select("cell").distinct()
     else:
         spherical = boundary == "within" or min_overlap == 1
-        pieces = near_groups(found, polygons, crs, resolution).mapInPandas(_pieces(crs, spherical), "cell long, rings array<array<double>>")
+        least = 1 - SLIVER if spherical else min_overlap
+        # what one polygon covers is known; only where several together may cover enough, their union is laid out
+        per = written(met.groupBy("cell").agg(F.count("*").alias("n"), F.max("share").alias("most"), F.sum("share").alias("all")))
+        alone = per.filter(F.col("most") >= least).select("cell")
+        several = per.filter((F.col("n") > 1) & (F.col("most") < least) & (F.col("all") >= least * (1 - 1e-6))).select("cell")
+        pieces = near_groups(several, polygons, crs, resolution).mapInPandas(_pieces(crs, spherical), "cell long, rings array<array<double>>")
         grouped = pieces.groupBy("cell").agg(F.collect_list("rings").alias("pieces"))
-        cells = grouped.mapInPandas(_covered(1 - SLIVER if spherical else min_overlap, spherical), "cell long")
+        cells = alone.unionByName(grouped.mapInPandas(_covered(least, spherical), "cell long"))
     return cells.select(bits.to_text(F.col("cell")).alias("h3"))

@@ -207,20 +207,27 @@ def descended(nodes: Nodes, place, res: int, goal: int) -> Iterator[Nodes]:
             nodes, res = _level(nodes, place, res + 1), res + 1
 
 
-def index(polygons: DataFrame, crs: int, finest: int) -> DataFrame:
+def index(polygons: DataFrame, crs: int, finest: int, spherical: bool = False) -> DataFrame:
     """The index of ``polygons(poly, geometry)`` with border cells of resolution ``finest``.
 
+    With ``spherical`` corners are turned into longitude and latitude first, and
+    edges between them are great circles whatever the reference system.
+
     Polygons of longitude and latitude may cross the antimeridian or hold a pole;
     each must lie within 85 degrees of some place. Every row of ``geometry`` is a
     valid polygon. An empty table gives an empty index.
     """
-    place = spaces.space(crs)
+    place = spaces.space(4326 if spherical else crs)
+
+    def shape_of(geometry) -> planar.Shape:
+        shape = planar.shape_of(geometry)
+        return planar.mapped(shape, lambda p: to_lng_lat(p, crs)) if spherical else shape
 
     def begin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if not len(frame):
                 continue
-            own = [oriented_edges(planar.shape_of(g), place) for g in frame.geometry]
+            own = [oriented_edges(shape_of(g), place) for g in frame.geometry]
             for res, nodes in first_nodes(frame.poly.to_numpy(), np.concatenate(own), np.array([len(e) for e in own]), place, finest):
                 # small outlines are finished here, wide ones spread first
                 goal = finest if finest - res <= STEP and int(nodes.sizes.sum()) <= PAIRS else min(finest, res + 1)

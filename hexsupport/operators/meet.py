@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from hexsupport.functions import bits, grid, spaces
 from hexsupport.functions.project import to_lng_lat
+from hexsupport.operators.cells import uncompact
 from hexsupport.operators.index import ABOVE, PAIRS, index, vectors
 from hexsupport.sources.shared import written
 
-FEATURES = "cell long, poly long, within boolean, area double"
+FEATURES = "cell long, poly long, within boolean, area double, share double"
 #: Relative tolerance of equal distances, and of a centre on an edge.
 EQUAL, ON_EDGE = 1e-9, 1e-12
 #: Room for the difference between the sphere, on which the nearest is narrowed down, and the ellipsoid, on which it is measured.
@@ -101,19 +102,20 @@ def settle(crs: int, areas: bool):
         size = np.abs(at[:, :2]).max(1) if crs != 4326 else 1.0
         within = around_centre & (least > ON_EDGE * np.maximum(size, 1.0))
         meets = hit | around_centre
-        area = np.full(len(cell), np.nan)
+        area, whole = np.full(len(cell), np.nan), np.ones(len(cell))
         if areas:
             best = close.argmin(0) if not held else np.where(np.isinf(close).all(0), 0, np.where(np.isinf(close), -1, close).argmax(0))
             rows = np.arange(len(cell))
             seat = np.stack(trial)[best, rows]
             metric = spaces.metres(np.repeat(lng, 6).reshape(-1, 6), np.repeat(lat, 6).reshape(-1, 6), ring) - spaces.metres(lng, lat, seat)[:, None]
-            area = np.where(inside ^ (odd[best, rows] % 2 == 1), spaces.ring_areas(metric), 0.0)
+            whole = spaces.ring_areas(metric)
+            area = np.where(inside ^ (odd[best, rows] % 2 == 1), whole, 0.0)
             ends = to_lng_lat(edges.reshape(-1, 2), crs).reshape(-1, 4)
             for own, edge in held:
                 p, q = (spaces.metres(lng[own], lat[own], ends[edge, k : k + 2]) - spaces.metres(lng[own], lat[own], seat[own]) for k in (0, 2))
                 area -= np.bincount(own, spaces.shadows(p, q, metric[own]), len(cell))
             area = np.maximum(area, 0)
-        out = pd.DataFrame({"cell": cell, "poly": df.poly.to_numpy()[owner], "within": within, "area": area})
+        out = pd.DataFrame({"cell": cell, "poly": df.poly.to_numpy()[owner], "within": within, "area": area, "share": area / whole})
         return out[meets]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,7 +131,7 @@ def _above(cells: DataFrame, res: int) -> DataFrame:
 
 
 def features(cells: DataFrame, indexed: DataFrame, crs: int, finest: int, areas: bool = False) -> DataFrame:
-    """``cell, poly, within, area`` of each of ``cells(cell)`` and polygon that meet: whether the centre lies inside and, if asked for, the overlap in square metres.
+    """``cell, poly, within, area, share`` of each of ``cells(cell)`` and polygon that meet: whether the centre lies inside and, if asked for, the overlap in square metres and as a share of the cell.
 
     Cells below an inner cell of the index are settled by an equi-join (their
     ``area`` stays null: their centre lies inside), those below a border cell by
@@ -138,15 +140,44 @@ def features(cells: DataFrame, indexed: DataFrame, crs: int, finest: int, areas:
     inner = indexed.filter("edges IS NULL").select(F.col("cell").alias("coarse"), "poly")
     levels = sorted(r[0] for r in inner.select(bits.resolution(F.col("coarse"))).distinct().collect())  # at most 16
     border = indexed.filter("edges IS NOT NULL").withColumnRenamed("cell", "coarse").join(_above(cells, finest), "coarse")
-    found = border.select("poly", "coarse", "inside", "edges", "cells").mapInPandas(settle(crs, areas), FEATURES)
-    if areas:
-        found = found.withColumn("area", F.nanvl("area", F.lit(None).cast("double")))
+    found = _known(border.select("poly", "coarse", "inside", "edges", "cells").mapInPandas(settle(crs, areas), FEATURES))
     if levels:
         own = cells.select("cell", F.explode(F.array(*(bits.parent(F.col("cell"), r) for r in levels))).alias("coarse"))
-        found = found.unionByName(own.join(inner, "coarse").select("cell", "poly", F.lit(True).alias("within"), F.lit(None).cast("double").alias("area")))
+        found = found.unionByName(_whole(own.join(inner, "coarse")))
     return found
 
 
+def _known(found: DataFrame) -> DataFrame:
+    """Areas that were not asked for are null."""
+    return found.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("area", "share")})
+
+
+def _whole(cells: DataFrame) -> DataFrame:
+    """Cells that lie in a polygon whole."""
+    return cells.select("cell", "poly", F.lit(True).alias("within"), F.lit(None).cast("double").alias("area"), F.lit(1.0).alias("share"))
+
+
+def filled(indexed: DataFrame, res: int, finest: int, areas: bool = False) -> DataFrame:
+    """As ``features``, of all cells of resolution ``res`` that meet a polygon of an index whose edges are great circles."""
+    judge = settle(4326, areas)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            if len(df):
+                coarse, place = np.unique(df.coarse.to_numpy(), return_inverse=True)
+                below = coarse
+                for _ in range(res - finest):
+                    below = grid.children(below)
+                below = below[np.argsort(grid.ancestor(below, finest), kind="stable")]
+                lists = np.split(below, np.flatnonzero(np.diff(grid.ancestor(below, finest))) + 1)
+                yield from judge(iter([df.assign(cells=[lists[k] for k in place])]))
+
+    border = indexed.filter("edges IS NOT NULL").select("poly", F.col("cell").alias("coarse"), "inside", "edges")
+    found = _known(border.mapInPandas(run, FEATURES))
+    inner = uncompact(indexed.filter("edges IS NULL").select("cell", "poly"), res, carry=["poly"])
+    return found.unionByName(_whole(inner))
+
+
 # --- the nearest polygon
 
 

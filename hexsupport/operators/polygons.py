@@ -107,27 +107,3 @@ def cell_rings(cell: np.ndarray) -> list[np.ndarray]:
 def plane_for(centre: tuple[float, float], crs: int):
     """Where topology is judged: great circles are straight for longitude and latitude, the plane of the reference system else."""
     return gnomonic(*centre) if crs == 4326 else lambda p: from_lng_lat(p, crs)
-
-
-class Laid:
-    """Cells and a shape in one plane: ``flat`` (the shape), ``rings`` and ``at`` (boundaries and centres).
-
-    ``near``: the outline may come into the cell; of the others, ``inside`` tells whether all of the cell lies in the shape.
-    """
-
-    #: Distances of points from edges that are held at once.
-    HELD = 1 << 20
-
-    def __init__(self, shape: planar.Shape, cell: np.ndarray, to):
-        self.flat = planar.mapped(shape, to)
-        lat, lng = grid.centres(cell)
-        rings = cell_rings(cell)
-        size = [len(r) for r in rings]
-        self.rings = np.split(to(np.concatenate(rings)), np.cumsum(size)[:-1])
-        self.at = to(np.stack([lng, lat], 1))
-        reach = np.array([np.sqrt(((r - c) ** 2).sum(axis=1).max()) for r, c in zip(self.rings, self.at, strict=True)])
-        turn = max(1, self.HELD // len(planar.edges(self.flat)[0]))
-        parts = [self.at[k : k + turn] for k in range(0, len(cell), turn)]
-        far = np.concatenate([planar.distance(self.flat, p) for p in parts])
-        self.near = far <= reach * (1 + 1e-9) + 1e-12
-        self.inside = np.concatenate([planar.inside(self.flat, p) for p in parts])
