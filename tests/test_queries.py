@@ -3,19 +3,20 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__
-from hexsupport.plans import algebra, geometry
+from hexsupport.plans import algebra, geometry, places
 from tests.oracle import SF, compare
 
-SQL = algebra.SQL | geometry.sql()
+QUERIES = algebra.QUERIES | geometry.QUERIES | places.QUERIES
+SQL = algebra.SQL | geometry.sql() | places.sql()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_gives_the_rows_of_its_sql(spark, name):
-    compare(spark, (algebra.QUERIES | geometry.QUERIES)[name], SQL[name])
+    compare(spark, QUERIES[name], SQL[name])
 
 
 def test_every_query_is_registered():
-    assert set(algebra.QUERIES) | set(geometry.QUERIES) <= set(__spark_entry__.queries())
+    assert set(QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
