@@ -39,9 +39,7 @@ def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a[..., 0] * b[..., 1] - a[..., 1] * b[..., 0]
 
 
-def inside(shape: Shape, points: np.ndarray) -> np.ndarray:
-    """Whether points lie inside (even-odd rule; on an edge: undefined)."""
-    p, q = edges(shape)
+def _odd(p: np.ndarray, q: np.ndarray, points: np.ndarray) -> np.ndarray:
     x, y = points[:, :1], points[:, 1:]
     over = (p[:, 1] > y) != (q[:, 1] > y)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -49,32 +47,91 @@ def inside(shape: Shape, points: np.ndarray) -> np.ndarray:
     return (over & (x < at)).sum(axis=1) % 2 == 1
 
 
+def inside(shape: Shape, points: np.ndarray) -> np.ndarray:
+    """Whether points lie inside (even-odd rule; on an edge: undefined)."""
+    p, q = edges(shape)
+    if len(p) * len(points) <= PAIRS:
+        return _odd(p, q, points)
+    # bands of points in the order of their heights, each with the edges that reach its heights
+    order = np.argsort(points[:, 1])
+    low, high = np.minimum(p[:, 1], q[:, 1]), np.maximum(p[:, 1], q[:, 1])
+    band = max(1, min(PAIRS // len(p), len(points)), len(points) // 1000)
+    out = np.zeros(len(points), bool)
+    for k in range(0, len(points), band):
+        own = order[k : k + band]
+        there = (high >= points[own[0], 1]) & (low <= points[own[-1], 1])
+        for m in range(0, len(own), turn := max(1, PAIRS // max(1, int(there.sum())))):
+            out[own[m : m + turn]] = _odd(p[there], q[there], points[own[m : m + turn]])
+    return out
+
+
 def distance(shape: Shape, points: np.ndarray) -> np.ndarray:
     """Distance of points from the edges."""
     p, q = edges(shape)
     d = q - p
     size = np.maximum((d * d).sum(axis=1), 1e-300)
-    t = np.clip(((points[:, None] - p) * d).sum(axis=2) / size, 0, 1)
-    return np.sqrt((((p + t[..., None] * d) - points[:, None]) ** 2).sum(axis=2)).min(axis=1)
+    turn, out = max(1, PAIRS // len(p)), []
+    for k in range(0, len(points), turn):
+        own = points[k : k + turn]
+        t = np.clip(((own[:, None] - p) * d).sum(axis=2) / size, 0, 1)
+        out.append(np.sqrt((((p + t[..., None] * d) - own[:, None]) ** 2).sum(axis=2)).min(axis=1))
+    return np.concatenate(out) if out else np.empty(0)
 
 
 def on_edge(shape: Shape, points: np.ndarray, close: float = 1e-12) -> np.ndarray:
     return distance(shape, points) <= close * max(1.0, np.abs(points).max(initial=0))
 
 
-def crossing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], proper: bool = False) -> bool:
-    """Whether edges meet; ``proper``: whether any two cross in a point inside both."""
-    p, q = a[0][:, None], a[1][:, None]
-    r, s = b[0][None], b[1][None]
+#: Pairs of edges, or of points and edges, that are looked at together, and edges that are compared each with each.
+PAIRS, LEAF = 1 << 18, 64
+
+
+def _cross_at(p: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarray, proper: bool) -> bool:
     d1, d2 = _cross(q - p, r - p), _cross(q - p, s - p)
     d3, d4 = _cross(s - r, p - r), _cross(s - r, q - r)
     if proper:
-        eps = 1e-12 * np.maximum(np.abs(q - p).max(axis=2), 1e-300) * np.maximum(np.abs(s - r).max(axis=2), 1e-300)
+        eps = 1e-12 * np.maximum(np.abs(q - p).max(axis=-1), 1e-300) * np.maximum(np.abs(s - r).max(axis=-1), 1e-300)
         return bool((((d1 > eps) & (d2 < -eps)) | ((d1 < -eps) & (d2 > eps))).__and__(((d3 > eps) & (d4 < -eps)) | ((d3 < -eps) & (d4 > eps))).any())
-    apart = (np.maximum(p, q) < np.minimum(r, s)).any(axis=2) | (np.maximum(r, s) < np.minimum(p, q)).any(axis=2)
+    apart = (np.maximum(p, q) < np.minimum(r, s)).any(axis=-1) | (np.maximum(r, s) < np.minimum(p, q)).any(axis=-1)
     return bool((~apart & (d1 * d2 <= 0) & (d3 * d4 <= 0)).any())
 
 
+def _in_box(p: np.ndarray, q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which edges come into a box, borders included; a few that pass a corner closely may be named too."""
+    near = ((np.minimum(p, q) <= high) & (np.maximum(p, q) >= low)).all(axis=1)
+    # of these, all corners of the box on one side of the edge's line: the edge passes by
+    d, centre, half = q - p, (low + high) / 2, (high - low) / 2
+    off = np.abs(_cross(d, centre - p))
+    return near & (off <= (np.abs(d[:, 0]) * half[1] + np.abs(d[:, 1]) * half[0]) * (1 + 1e-9) + 1e-300)
+
+
+def crossing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], proper: bool = False) -> bool:
+    """Whether edges meet; ``proper``: whether any two cross in a point inside both.
+
+    The plane is halved until few edges are left in each part, so that the memory
+    needed is a few numbers for each edge, however many there are.
+    """
+    both = np.concatenate([a[0], a[1], b[0], b[1]])
+    todo = [(*a, *b, both.min(axis=0), both.max(axis=0), 0)] if len(a[0]) and len(b[0]) else []
+    while todo:
+        p, q, r, s, low, high, depth = todo.pop()
+        if len(p) * len(r) <= LEAF**2 or depth == 48:
+            turn = max(1, PAIRS // len(r))
+            for k in range(0, len(p), turn):
+                if _cross_at(p[k : k + turn, None], q[k : k + turn, None], r[None], s[None], proper):
+                    return True
+            continue
+        axis = int(np.argmax(high - low))
+        middle = (low[axis] + high[axis]) / 2
+        for side in range(2):
+            lo, hi = low.copy(), high.copy()
+            (hi if side == 0 else lo)[axis] = middle
+            i, j = _in_box(p, q, lo, hi), _in_box(r, s, lo, hi)
+            if i.any() and j.any():
+                todo.append((p[i], q[i], r[j], s[j], lo, hi, depth + 1))
+    return False
+
+
 def meet(a: Shape, b: Shape) -> bool:
     """Whether two closed shapes have a point in common."""
     ax, bx = box(a), box(b)
@@ -167,27 +224,6 @@ def interior_point(shape: Shape) -> np.ndarray:
     return np.array([(a + b) / 2, y])
 
 
-def overlap(a: Shape, b: Shape) -> bool:
-    """Whether the interiors of two shapes have a point in common; shared edges and corners do not count."""
-    ax, bx = box(a), box(b)
-    if ax[2] <= bx[0] or bx[2] <= ax[0] or ax[3] <= bx[1] or bx[3] <= ax[1]:
-        return False
-    if crossing(edges(a), edges(b), proper=True):
-        return True
-    size = max(abs(v) for v in (*ax, *bx))
-    for x, y in ((a, b), (b, a)):
-        for polygon in x:
-            test = [interior_point([polygon])]
-            for ring in polygon:
-                test += [*ring, *((ring + np.roll(ring, -1, axis=0)) / 2)]
-            test = np.array(test)
-            far = distance(y, test) > 1e-10 * max(1.0, size)
-            if (inside(y, test) & far).any():
-                return True
-    # no crossing and no corner inside: equal outlines, or none in common
-    return union_area([rings(a)]) + union_area([rings(b)]) - union_area([rings(a), rings(b)]) > 1e-9 * min(union_area([rings(a)]), union_area([rings(b)]))
-
-
 def faults(shape: Shape) -> str | None:
     """What makes a shape invalid, or None: too few points, numbers that are not finite, rings that cross or stand outside their shell."""
     if not shape or any(not p for p in shape):
@@ -200,6 +236,8 @@ def faults(shape: Shape) -> str | None:
         if crossing((p, q), (p, q), proper=True):
             return "self-intersection"
         for hole in polygon[1:]:
-            if not (inside([[polygon[0]]], hole) | on_edge([[polygon[0]]], hole)).all():
-                return "hole outside its shell"
+            beyond = hole[~inside([[polygon[0]]], hole)]
+            for k in range(0, len(beyond), 64):
+                if not on_edge([[polygon[0]]], beyond[k : k + 64]).all():
+                    return "hole outside its shell"
     return None

@@ -32,6 +32,8 @@ from hexsupport.sources.shared import written
 PAIRS = 1 << 18
 #: Levels that one task goes down from one cell.
 STEP = 4
+#: Edges of a border cell that are not dealt out further where the resolution follows the polygons.
+FEW = 64
 #: Levels between border cells and the cells that are related to them.
 ABOVE = 2
 SCHEMA = "poly long, cell long, inside boolean, edges array<double>"
@@ -132,7 +134,7 @@ def first_nodes(poly: np.ndarray, edges: np.ndarray, sizes: np.ndarray, place, f
             points = _near(points, np.degrees(np.arctan2(middle[own, 1], middle[own, 0])))
         at, reach = place.at(points), place.radius(points, res)
         odd, counts, picked = np.zeros(len(cell), np.int64), np.zeros(len(cell), np.int64), []
-        for node, edge in _slices(sizes[own], starts[own]):
+        for node, edge in slices(sizes[own], starts[own]):
             odd += np.bincount(node, spaces.crosses(origin[own[node]], at[node], a[edge], b[edge]), len(cell)).astype(np.int64)
             near = spaces.within(place, at[node], a[edge], b[edge], reach[node] * (1 + 1e-6))
             counts += np.bincount(node[near], minlength=len(cell))
@@ -141,7 +143,7 @@ def first_nodes(poly: np.ndarray, edges: np.ndarray, sizes: np.ndarray, place, f
         yield res, Nodes(poly[own], cell, inside, counts, edges[np.concatenate([*picked, np.empty(0, np.int64)])]).take(inside | (counts > 0))
 
 
-def _slices(sizes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def slices(sizes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, place) of all places of each row's stretch, a bounded number at a time, also where one stretch is longer than that."""
     ends = np.cumsum(sizes)
     for begun in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
@@ -178,7 +180,7 @@ def _level(nodes: Nodes, place, res: int) -> Nodes:
     at, reach = place.at(points), place.radius(points, res)
     a, b = vectors(nodes.edges[:, :2], place), vectors(nodes.edges[:, 2:], place)
     inside, counts, picked = nodes.inside[parents].astype(np.int64), np.zeros(len(cell), np.int64), []
-    for child, edge in _slices(nodes.sizes[parents], starts[parents]):
+    for child, edge in slices(nodes.sizes[parents], starts[parents]):
         inside += np.bincount(child, spaces.crosses(origin[parents[child]], at[child], a[edge], b[edge]), len(cell)).astype(np.int64)
         near = spaces.within(place, at[child], a[edge], b[edge], reach[child] * (1 + 1e-6))
         counts += np.bincount(child[near], minlength=len(cell))
@@ -187,13 +189,16 @@ def _level(nodes: Nodes, place, res: int) -> Nodes:
     return Nodes(nodes.poly[parents], cell, inside, counts, np.concatenate([*picked, np.empty((0, 4))])).take(inside | (counts > 0))
 
 
-def descended(nodes: Nodes, place, res: int, goal: int) -> Iterator[Nodes]:
-    """Inner cells, and border cells at ``goal``, of border cells at ``res``."""
+def descended(nodes: Nodes, place, res: int, goal: int, crowded: int | None = None) -> Iterator[Nodes]:
+    """Inner cells, and border cells at ``goal``, of border cells at ``res``; with ``crowded``, those of more than ``FEW`` edges go on down to that resolution."""
     while len(nodes):
         border = nodes.sizes > 0
         if res >= goal:
-            yield nodes
-            return
+            more = nodes.sizes > FEW if crowded is not None and res < crowded else np.zeros(len(nodes), bool)
+            yield nodes.take(~more)
+            if not more.any():
+                return
+            nodes, border = nodes.take(more), border[more]
         if not border.all():
             yield nodes.take(~border)
         nodes = nodes.take(border)
@@ -201,15 +206,18 @@ def descended(nodes: Nodes, place, res: int, goal: int) -> Iterator[Nodes]:
             for k in range(0, len(nodes), max(1, len(nodes) // 8)):
                 own = np.zeros(len(nodes), bool)
                 own[k : k + max(1, len(nodes) // 8)] = True
-                yield from descended(nodes.take(own), place, res, goal)
+                yield from descended(nodes.take(own), place, res, goal, crowded)
             return
         if len(nodes):
             nodes, res = _level(nodes, place, res + 1), res + 1
 
 
-def index(polygons: DataFrame, crs: int, finest: int, spherical: bool = False) -> DataFrame:
+def index(polygons: DataFrame, crs: int, finest: int | None, spherical: bool = False) -> DataFrame:
     """The index of ``polygons(poly, geometry)`` with border cells of resolution ``finest``.
 
+    Without ``finest`` border cells follow each polygon's size, and go further down
+    where its edges are crowded.
+
     With ``spherical`` corners are turned into longitude and latitude first, and
     edges between them are great circles whatever the reference system.
 
@@ -228,7 +236,12 @@ def index(polygons: DataFrame, crs: int, finest: int, spherical: bool = False) -
             if not len(frame):
                 continue
             own = [oriented_edges(shape_of(g), place) for g in frame.geometry]
-            for res, nodes in first_nodes(frame.poly.to_numpy(), np.concatenate(own), np.array([len(e) for e in own]), place, finest):
+            for res, nodes in first_nodes(frame.poly.to_numpy(), np.concatenate(own), np.array([len(e) for e in own]), place, bits.FINEST - 1 if finest is None else finest):
+                if finest is None:
+                    goal = min(bits.FINEST, res + 1)
+                    for part in descended(nodes, place, res, goal, min(bits.FINEST, goal + 6)):
+                        yield part.frame()
+                    continue
                 # small outlines are finished here, wide ones spread first
                 goal = finest if finest - res <= STEP and int(nodes.sizes.sum()) <= PAIRS else min(finest, res + 1)
                 for part in descended(nodes, place, res, goal):
@@ -242,6 +255,8 @@ def index(polygons: DataFrame, crs: int, finest: int, spherical: bool = False) -
                     yield part.frame()
 
     out = written(polygons.select("poly", "geometry").mapInPandas(begin, SCHEMA))
+    if finest is None:
+        return out
     unfinished = F.col("edges").isNotNull() & (bits.resolution(F.col("cell")) < finest)
     done = []
     # border cells spread over all tasks between steps, so that one polygon's outline is not one task's

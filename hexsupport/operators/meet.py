@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from hexsupport.functions import bits, grid, spaces
 from hexsupport.functions.project import to_lng_lat
 from hexsupport.operators.cells import uncompact
-from hexsupport.operators.index import ABOVE, PAIRS, index, vectors
+from hexsupport.operators.index import PAIRS, vectors
+from hexsupport.operators.index import slices as _slices
 from hexsupport.sources.shared import written
 
 FEATURES = "cell long, poly long, within boolean, area double, share double"
 #: Relative tolerance of equal distances, and of a centre on an edge.
 EQUAL, ON_EDGE = 1e-9, 1e-12
+#: How far from an edge ground beside it is looked at, as a share of its length, and the relative size of a turn that is none.
+BESIDE, APART = 1e-6, 1e-11
 #: Room for the difference between the sphere, on which the nearest is narrowed down, and the ellipsoid, on which it is measured.
 ROUND = 1.012
 
@@ -178,6 +181,85 @@ def filled(indexed: DataFrame, res: int, finest: int, areas: bool = False) -> Da
     return found.unionByName(_whole(inner))
 
 
+# --- interiors that overlap
+
+
+def overlapping(crs: int):
+    """Which pairs of a border cell and a cell below it, of two polygons, show that their interiors overlap.
+
+    Interiors overlap where an edge of one crosses an edge of the other, or where
+    the ground just to the left of an edge of one, near its ends or half way, lies
+    in the other. A cell without edges lies in its polygon whole, so there an edge
+    of the other, or the centre in it, tells.
+    """
+    place = spaces.space(crs)
+
+    def judged(df: pd.DataFrame) -> pd.DataFrame:
+        n = len(df)
+        cells = {k: df[f"{k}_cell"].to_numpy() for k in "ab"}
+        edges, sizes, centre, flag = {}, {}, {}, {k: df[f"{k}_inside"].to_numpy(bool) for k in "ab"}
+        none = np.empty(0)
+        flat, many = _flat(df.a_edges, float)
+        around = to_lng_lat(flat.reshape(-1, 4)[np.cumsum(many // 4) - many // 4, :2], crs)[:, 0]
+        lat, lng = grid.centres(cells["a"])
+        lng = around + (lng - around + 180) % 360 - 180
+        reach = {}
+        for k in "ab":
+            flat, many = _flat(df[f"{k}_edges"].map(lambda e: none if e is None else e), float)
+            sizes[k] = many // 4
+            v, row = flat.reshape(-1, 4), np.repeat(np.arange(n), many // 4)
+            # all in the plane at the centre of the upper cell
+            edges[k] = [place.local(lng[row], lat[row], vectors(v[:, c : c + 2], place)) for c in (0, 2)]
+            y, x = grid.centres(cells[k])
+            points = np.stack([around + (x - around + 180) % 360 - 180, y], 1)
+            centre[k] = place.local(lng, lat, place.at(points))
+            r = np.zeros(n)
+            level = cells[k] >> 52 & 15
+            for res in np.unique(level).tolist():
+                r[level == res] = place.radius(points[level == res], res)
+            reach[k] = r
+        found = np.zeros(n, bool)
+        for row, i, j in _pairs(sizes["a"], sizes["b"]):
+            p, q, r, s = edges["a"][0][i], edges["a"][1][i], edges["b"][0][j], edges["b"][1][j]
+            d1, d2 = spaces.cross2(q - p, r - p), spaces.cross2(q - p, s - p)
+            d3, d4 = spaces.cross2(s - r, p - r), spaces.cross2(s - r, q - r)
+            eps = APART * np.sqrt(((q - p) ** 2).sum(1) * ((s - r) ** 2).sum(1))
+            found[row[(np.minimum(d1, d2) < -eps) & (np.maximum(d1, d2) > eps) & (np.minimum(d3, d4) < -eps) & (np.maximum(d3, d4) > eps)]] = True
+        for one, other in (("a", "b"), ("b", "a")):
+            # ground beside the edges of one, where it is within reach of the other's cell, against the other's edges
+            p, q = edges[one]
+            row = np.repeat(np.arange(n), sizes[one])
+            d = q - p
+            left = np.stack([-d[:, 1], d[:, 0]], 1) * BESIDE
+            points = np.concatenate([p + t * d + left for t in (BESIDE * 100, 0.5, 1 - BESIDE * 100)])
+            row = np.tile(row, 3)
+            near = np.sqrt(((points - centre[other][row]) ** 2).sum(1)) <= reach[other][row] * (1 - 1e-3)
+            points, row = points[near], row[near]
+            if len(points):
+                odd, at = np.zeros(len(points), np.int64), np.concatenate([centre[other][row], points], 1)
+                for k, j in _slices(sizes[other][row], (np.cumsum(sizes[other]) - sizes[other])[row]):
+                    odd += np.bincount(k, spaces.crosses(*(_raised(v) for v in (at[k, :2], at[k, 2:], edges[other][0][j], edges[other][1][j]))), len(points)).astype(np.int64)
+                found[row[flag[other][row] ^ (odd % 2 == 1)]] = True
+        # a lower cell that lies in its polygon whole, and whose centre lies in the other
+        whole = np.flatnonzero((sizes["b"] == 0) & ~found)
+        odd = np.zeros(len(whole), np.int64)
+        for k, j in _slices(sizes["a"][whole], (np.cumsum(sizes["a"]) - sizes["a"])[whole]):
+            odd += np.bincount(k, spaces.crosses(*(_raised(v) for v in (centre["a"][whole[k]], centre["b"][whole[k]], edges["a"][0][j], edges["a"][1][j]))), len(whole)).astype(np.int64)
+        found[whole[flag["a"][whole] ^ (odd % 2 == 1)]] = True
+        return df.loc[found, ["a", "b"]].drop_duplicates()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            for k in range(0, len(df), 2048):
+                yield judged(df.iloc[k : k + 2048].reset_index(drop=True))
+
+    return run
+
+
+def _raised(v: np.ndarray) -> np.ndarray:
+    return np.concatenate([v, np.ones((len(v), 1))], 1)
+
+
 # --- the nearest polygon
 
 

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hexsupport.functions import bits, planar
+from hexsupport.functions import bits
 from hexsupport.operators.cells import SupportError, as_cells, checked
 from hexsupport.operators.index import ABOVE, index
-from hexsupport.operators.meet import features, nearest
-from hexsupport.operators.polygons import checked_polygons, numbered, plane_for, reach, shapes
+from hexsupport.operators.meet import features, nearest, overlapping
+from hexsupport.operators.polygons import checked_polygons, numbered
 from hexsupport.sources.shared import written
 
 #: Relative tolerance of equal overlaps.
@@ -21,23 +18,33 @@ METHODS = ("centre", "intersects", "largest_overlap", "nearest", "ambiguous", "u
 RESULT = ("h3", "polygon_id", "assignment_method", "assignment_distance", "candidate_n")
 
 
-def overlapping_pairs(polygons: DataFrame, crs: int = 4326, res: int = 5) -> DataFrame:
-    """``(a, b)``: places of polygons whose interiors overlap; candidates share a coarse cell."""
-    table = numbered(polygons).select("poly", "geometry")
-    met = reach(table, crs, res)
-    pairs = met.select(F.col("poly").alias("a"), "coarse").join(met.select(F.col("poly").alias("b"), "coarse"), "coarse").filter("a < b").select("a", "b").distinct()
-    pairs = pairs.join(table.select(F.col("poly").alias("a"), F.col("geometry").alias("left")), "a").join(table.select(F.col("poly").alias("b"), F.col("geometry").alias("right")), "b")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            keep = []
-            for x, y in zip(shapes(df.left, crs), shapes(df.right, crs), strict=True):
-                west, south, east, north = planar.box(x)
-                to = plane_for(((west + east) / 2, (south + north) / 2), crs)
-                keep.append(planar.overlap(planar.mapped(x, to), planar.mapped(y, to)))
-            yield df.loc[keep, ["a", "b"]]
+def overlapping_pairs(polygons: DataFrame, crs: int = 4326, id_col: str | None = None) -> DataFrame:
+    """``(a, b)``: pairs of polygons whose interiors overlap, by their places in the table or, if named, their ids.
 
-    return pairs.select("a", "b", "left", "right").mapInPandas(run, "a long, b long")
+    Polygons meet in cells of their own sizes: a cell of one and a cell of another
+    below it, found by an equi-join on ancestors. What lies below an inner cell
+    overlaps; two border cells are settled by their own edges.
+    """
+    table = numbered(polygons)
+    rows = index(table, crs, None)
+    levels = sorted(r[0] for r in rows.select(bits.resolution(F.col("cell"))).distinct().collect())  # at most 16
+    light = rows.select("poly", "cell", bits.resolution(F.col("cell")).alias("level"), F.col("edges").isNull().alias("inner"))
+    above = F.explode(F.array_compact(F.array(*(F.when(F.col("level") >= r, bits.parent(F.col("cell"), r)) for r in levels))))
+    low = light.select(F.col("poly").alias("b"), F.col("cell").alias("b_cell"), F.col("inner").alias("b_inner"), above.alias("cell"))
+    pairs = light.select(F.col("poly").alias("a"), "cell", F.col("inner").alias("a_inner")).join(low, "cell").filter((F.col("a") < F.col("b")) | (F.col("a") > F.col("b")) & (F.col("cell") != F.col("b_cell")))
+    pairs = written(pairs.withColumnRenamed("cell", "a_cell"))
+    known = pairs.filter("a_inner").select("a", "b").distinct()
+    rest = pairs.filter("NOT a_inner").join(known, ["a", "b"], "left_anti")
+    parts = {k: rows.select(F.col("poly").alias(k), F.col("cell").alias(f"{k}_cell"), F.col("inside").alias(f"{k}_inside"), F.col("edges").alias(f"{k}_edges")) for k in "ab"}
+    rest = rest.join(parts["a"], ["a", "a_cell"]).join(parts["b"], ["b", "b_cell"])
+    found = known.unionByName(rest.select("a", "b", "a_cell", "b_cell", "a_inside", "b_inside", "a_edges", "b_edges").mapInPandas(overlapping(crs), "a long, b long"))
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if id_col is None:
+        return found
+    named = table.select("poly", F.col(f"`{id_col}`").alias("id"))
+    for k in "ab":
+        found = found.join(named.withColumnsRenamed({"poly": k, "id": f"{k}_id"}), k)
+    return found.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
 
 def check_topology(polygons: DataFrame, crs: int = 4326) -> None:

@@ -116,11 +116,11 @@ def nearest_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topology_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles in a projected system, one per nation, of which neighbours overlap or abut: the pairs with overlapping interiors."""
-    nation = table(spark, sf_dir, "nation").orderBy("n_nationkey").coalesce(1)
+    nation = table(spark, sf_dir, "nation")
     west, south = 16_100_000.0 + (F.col("n_nationkey") % 5) * 20_000, -4_600_000.0 + F.floor(F.col("n_nationkey") / 5) * 20_000
     wide = F.when(F.col("n_nationkey") % 3 == 0, 30_000).otherwise(20_000)
     polys = nation.select("n_nationkey", _box(west, south, west + wide, south + 20_000).cast(GEOMETRY).alias("geometry"))
-    return overlapping_pairs(polys, 3857)
+    return overlapping_pairs(polys.withColumn("k", F.col("n_nationkey").cast("long")), 3857, "k")
 
 
 # --- toy tables
