@@ -17,12 +17,20 @@ def zone(crs: int) -> tuple[int, bool] | None:
 
 
 def supported(crs) -> bool:
+    """Whether ``crs`` is the number of a known reference system, or a projection string."""
+    if isinstance(crs, str):
+        from hexsupport.functions.systems import system
+
+        try:
+            return system(crs) is not None
+        except ValueError:
+            return False
     return crs in SYSTEMS or isinstance(crs, int) and zone(crs) is not None
 
 
-def geodesic(lat0: float, lng0: float, lat, lng) -> tuple[np.ndarray, np.ndarray]:
-    """(distance in metres, azimuth) from one place to others on WGS84, in degrees (Vincenty, 1975)."""
-    a, f = WGS84
+def geodesic(lat0: float, lng0: float, lat, lng, ellipsoid: tuple[float, float] = WGS84) -> tuple[np.ndarray, np.ndarray]:
+    """(distance in metres, azimuth) from one place to others on an ellipsoid, in degrees (Vincenty, 1975)."""
+    a, f = ellipsoid
     b = a * (1 - f)
     u1, u2 = np.arctan((1 - f) * np.tan(np.radians(lat0))), np.arctan((1 - f) * np.tan(np.radians(lat)))
     span = np.radians(np.asarray(lng, float) - lng0)
@@ -50,6 +58,30 @@ def geodesic(lat0: float, lng0: float, lat, lng) -> tuple[np.ndarray, np.ndarray
     return b * big * (sigma - gap), np.arctan2(east, north)
 
 
+def geodesic_end(lat0: float, lng0: float, s, az, ellipsoid: tuple[float, float] = WGS84) -> tuple[np.ndarray, np.ndarray]:
+    """(latitude, longitude) in degrees of the places at a distance in metres and an azimuth from one place (Vincenty, 1975)."""
+    a, f = ellipsoid
+    b = a * (1 - f)
+    u1 = np.arctan((1 - f) * np.tan(np.radians(lat0)))
+    su, cu, ca, sa = np.sin(u1), np.cos(u1), np.cos(az), np.sin(az)
+    sigma1, sin_a = np.arctan2(np.tan(u1), ca), cu * sa
+    cos2_a = 1 - sin_a**2
+    u = cos2_a * (a**2 - b**2) / b**2
+    big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+    small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+    sigma = s / (b * big)
+    for _ in range(40):
+        mid = np.cos(2 * sigma1 + sigma)
+        ss, cs = np.sin(sigma), np.cos(sigma)
+        sigma = s / (b * big) + small * ss * (mid + small / 4 * (cs * (2 * mid**2 - 1) - small / 6 * mid * (4 * ss**2 - 3) * (4 * mid**2 - 3)))
+    ss, cs, mid = np.sin(sigma), np.cos(sigma), np.cos(2 * sigma1 + sigma)
+    lat = np.arctan2(su * cs + cu * ss * ca, (1 - f) * np.hypot(sin_a, su * ss - cu * cs * ca))
+    lam = np.arctan2(ss * sa, cu * cs - su * ss * ca)
+    c = f / 16 * cos2_a * (4 + f * (4 - 3 * cos2_a))
+    turn = lam - (1 - c) * f * sin_a * (sigma + c * ss * (mid + c * cs * (2 * mid**2 - 1)))
+    return np.degrees(lat), lng0 + np.degrees(turn)
+
+
 def azimuthal(lng0: float, lat0: float):
     """Longitudes and latitudes to metres east and north, equidistant from a place."""
 
@@ -145,9 +177,13 @@ class Transverse:
         return np.stack([np.degrees(turn) + self.lng0, np.degrees(np.arcsin(s))], -1)
 
 
-def from_lng_lat(points: np.ndarray, crs: int) -> np.ndarray:
+def from_lng_lat(points: np.ndarray, crs: int | str) -> np.ndarray:
     if crs == 4326:
         return points
+    if isinstance(crs, str):
+        from hexsupport.functions.systems import system
+
+        return system(crs).forward(points)
     if crs == 3857:
         return np.stack([np.radians(points[..., 0]), np.arctanh(np.sin(np.radians(points[..., 1])))], -1) * WGS84[0]
     if crs == 7899:
@@ -157,9 +193,13 @@ def from_lng_lat(points: np.ndarray, crs: int) -> np.ndarray:
     raise ValueError(f"reference system {crs} is not supported; use one of {SYSTEMS}")
 
 
-def to_lng_lat(points: np.ndarray, crs: int) -> np.ndarray:
+def to_lng_lat(points: np.ndarray, crs: int | str) -> np.ndarray:
     if crs == 4326:
         return points
+    if isinstance(crs, str):
+        from hexsupport.functions.systems import system
+
+        return system(crs).inverse(points)
     if crs == 3857:
         return np.stack([np.degrees(points[..., 0] / WGS84[0]), np.degrees(np.arctan(np.sinh(points[..., 1] / WGS84[0])))], -1)
     if crs == 7899:

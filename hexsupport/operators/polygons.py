@@ -26,7 +26,7 @@ def checked_polygons(polygons: DataFrame, crs: int | None, id_col: str | None =
     if crs is None:
         raise SupportError("Polygons must have a defined coordinate reference system")
     if not supported(crs):
-        raise SupportError(f"Reference system {crs} is not supported; use one of {SYSTEMS} or a UTM zone (32601 to 32660, 32701 to 32760)")
+        raise SupportError(f"Reference system {crs} is not supported; use one of {SYSTEMS}, a UTM zone (32601 to 32660, 32701 to 32760) or a projection string")
     if "geometry" not in polygons.columns or polygons.schema["geometry"].dataType.simpleString() != GEOMETRY:
         raise SupportError("Polygons need a `geometry` column of POLYGON or MULTIPOLYGON as nested arrays")
     if id_col is not None:
