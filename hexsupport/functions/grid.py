@@ -174,7 +174,25 @@ class Layout:
         return xyz / np.linalg.norm(xyz, axis=1, keepdims=True)
 
     def unfold(self, base: np.ndarray, z: np.ndarray, bent: np.ndarray) -> np.ndarray:
-        """Places on the sphere of positions in the home planes of base cells.
+        """Places on the sphere of positions in the home planes of base cells."""
+        return self.from_plane(*self.on_faces(base, z, bent))
+
+    def between(self, face: np.ndarray, z: np.ndarray, other: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether there is one, place on the sphere) of the points where straight ways from ``z`` on a face to ``w`` on another cross their common edge, apart from both ends."""
+        found, at = np.zeros(len(z), bool), np.zeros((len(z), 3))
+        normals = SIXTH * _THIRD ** np.arange(3)
+        for e in range(3):
+            k = np.flatnonzero((face != other) & (self.beside[face, e] == other))
+            a, b = self.into[face[k], e].T
+            end = (w[k] - b) / a  # in the plane of the first face
+            near, far = (z[k] / normals[e]).real - 1, (end / normals[e]).real - 1
+            cut = (near < -1e-9) & (far > 1e-9)
+            k, t = k[cut], (-near / np.where(cut, far - near, 1))[cut]
+            found[k], at[k] = True, self.from_plane(face[k], z[k] + t * (end[cut] - z[k]))
+        return found, at
+
+    def on_faces(self, base: np.ndarray, z: np.ndarray, bent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(face, position on it) of positions in the home planes of base cells.
 
         ``bent``: around a corner, whether the position belongs to the digits that
         are counted beyond the cut, and so is turned back by a sixth.
@@ -205,7 +223,7 @@ class Layout:
             t = self.into[face[out], edge[out]]
             z[out] = t[:, 0] * z[out] + t[:, 1]
             face[out] = self.beside[face[out], edge[out]]
-        return self.from_plane(face, z)
+        return face, z
 
 
 @lru_cache(maxsize=1)
@@ -254,9 +272,40 @@ def boundaries(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         turn = np.exp(1j * np.pi / 6) * SIXTH**k
         at = z + step * turn / np.sqrt(3)
         lat[:, k], lng[:, k] = _lat_lng(layout().unfold(base, at, bent))
+    # at odd resolutions it is the fourth and fifth direction that are one
+    odd = penta & (res % 2 == 1)
+    lat[odd, 4], lng[odd, 4] = lat[odd, 5], lng[odd, 5]
     return lat, lng, np.where(penta, 5, 6)
 
 
+def outlines(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lat, lng, number of points): as ``boundaries``, with a further point wherever an edge crosses one of the icosahedron, so up to twelve columns.
+
+    Only edges of odd resolutions do so, apart from their ends: corners of even
+    ones lie on the icosahedron's edges.
+    """
+    base, res, z, bent = _position(cell)
+    n = boundaries(cell)[2]
+    step = _SEVENTH**-res * np.exp(1j * TURN * (res % 2))
+    corners = [layout().on_faces(base, z + step * np.exp(1j * np.pi / 6) * SIXTH**k / np.sqrt(3), bent) for k in range(6)]
+    odd = (n == 5) & (res % 2 == 1)
+    corners[4] = tuple(np.where(odd, last, own) for own, last in zip(corners[4], corners[5], strict=True))
+    points, there = [], []
+    for k in range(6):
+        points.append(layout().from_plane(*corners[k]))
+        there.append(k < n)
+        # the edge to the next corner; after the last of a pentagon's, to the first
+        last = k + 1 == n
+        face, at = (np.where(last, corners[0][i], corners[(k + 1) % 6][i]) for i in range(2))
+        found, middle = layout().between(*corners[k], face, at)
+        points.append(middle)
+        there.append(found & (k < n) & (res % 2 == 1))
+    order = np.argsort(~np.stack(there, 1), axis=1, kind="stable")
+    xyz = np.take_along_axis(np.stack(points, 1), order[..., None], axis=1)
+    lat, lng = _lat_lng(xyz.reshape(-1, 3))
+    return lat.reshape(-1, 12), lng.reshape(-1, 12), np.stack(there, 1).sum(1)
+
+
 def _digits_at(z: np.ndarray, res: int, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Digits by column, and the place of resolution 0, of positions in a plane."""
     u, v = _nearest(z / scale(res))

@@ -93,9 +93,12 @@ def numbered(polygons: DataFrame) -> DataFrame:
     return written(polygons.withColumn("poly", F.monotonically_increasing_id()))
 
 
-def cell_rings(cell: np.ndarray) -> list[np.ndarray]:
-    """Boundaries as anticlockwise rings of longitude and latitude; continuous over the antimeridian."""
-    lat, lng, n = grid.boundaries(cell)
+def cell_rings(cell: np.ndarray, whole: bool = False) -> list[np.ndarray]:
+    """Boundaries as anticlockwise rings of longitude and latitude; continuous over the antimeridian.
+
+    ``whole``: with the points where edges cross the icosahedron's.
+    """
+    lat, lng, n = grid.outlines(cell) if whole else grid.boundaries(cell)
     out = []
     for a, b, k in zip(lat, lng, n, strict=True):
         ring = np.stack([b[:k], a[:k]], 1)

@@ -17,14 +17,17 @@ from hexsupport.sources.fixtures import GEOMETRY
 
 
 def boundaries(cells: DataFrame, column: str = "h3", validate: bool = True) -> DataFrame:
-    """``cells`` with ``geometry``: a closed ring of longitude and latitude for each row, also repeated ones."""
+    """``cells`` with ``geometry``: a closed ring of longitude and latitude for each row, also repeated ones.
+
+    Edges that cross one of the icosahedron's, as some of odd resolutions do, have a further point there.
+    """
     if validate:
         checked(cells, "x", column, empty_ok=False)
     base = cells.drop("geometry").withColumn("_cell", bits.to_long(F.col(f"`{column}`")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            rings = cell_rings(df._cell.to_numpy(np.int64)) if len(df) else []
+            rings = cell_rings(df._cell.to_numpy(np.int64), whole=True) if len(df) else []
             yield df.drop(columns="_cell").assign(geometry=[[[[*r.tolist(), r[0].tolist()]]] for r in rings])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "_cell")

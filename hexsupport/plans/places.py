@@ -24,6 +24,7 @@ from hexsupport.plans.algebra import _number as cell_sql
 from hexsupport.plans.algebra import table
 from hexsupport.sources.fixtures import GEOMETRY
 from hexsupport.sources.shared import written
+from hexsupport.sources.wkb import from_wkb, to_wkb
 
 #: The base cell, its place in the plane in whole kilometres, and the lattice of nations around it, in metres of the plane.
 BASE, CRS = 95, 3857
@@ -91,6 +92,16 @@ def boundaries_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boundaries(customers(spark, sf_dir)).select("c_custkey", F.size(ring).alias("corners"), places.alias("places"))
 
 
+def binary_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations written as well-known binary and read again: the size in bytes, and the bounds of what is read."""
+    binary = to_wkb(nations(spark, sf_dir)).select("nation", "wkb")
+    ring = F.flatten(F.flatten("geometry"))
+    bound = lambda f, k: f(F.transform(ring, lambda p: p[k]))
+    return from_wkb(binary).select(
+        "nation", F.octet_length("wkb").alias("bytes"), F.size(ring).alias("points"), bound(F.array_min, 0).alias("west"), bound(F.array_min, 1).alias("south"), bound(F.array_max, 0).alias("east"), bound(F.array_max, 1).alias("north"),
+    )
+
+
 def workflow_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage, assignment, compaction, ownership and rollup from end to end: cells and nations of each compact cell."""
     polygons = nations(spark, sf_dir)
@@ -104,7 +115,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         membership_nations, assign_nations, assign_nations_nearest, cover_nations_center, cover_nations_within, cover_nations_intersects, cover_nations_exhaustive, cover_nations_overlap, expand_customers,
-        boundaries_customers, workflow_nations,
+        boundaries_customers, binary_nations, workflow_nations,
     )
 }
 
@@ -182,6 +193,7 @@ def sql() -> dict[str, str]:
         "expand_customers": _expand_sql(),
         "boundaries_customers": f"""WITH {customer} SELECT c_custkey, count(*)::INT AS corners, string_agg(printf('%.6f %.6f', lng + 1e-9, lat + 1e-9), ', ' ORDER BY printf('%.6f %.6f', lng + 1e-9, lat + 1e-9)) AS places
     FROM customer JOIN c ON c.key = c_custkey JOIN hexagon USING (h3) GROUP BY c_custkey""",
+        "binary_nations": f"WITH {_NATIONS} SELECT nation, 1 + 4 + 4 + 4 + 4 * 16 AS bytes, 4 AS points, w AS west, s AS south, e AS east, t AS north FROM n",
         "workflow_nations": f"""{covered}, {_METHOD}, k AS (SELECT key, h3 FROM c WHERE EXISTS (SELECT 1 FROM n WHERE x > w AND x < e AND y > s AND y < t)),
     o AS (SELECT key, h3, count(*) OVER (PARTITION BY key // 7) = 7 AS whole FROM k),
     b AS (SELECT CASE WHEN whole THEN {hex_sql(cell_sql("(key // 7)", 7, BASE))} ELSE h3 END AS compact_h3, CASE WHEN whole THEN 7 ELSE 8 END AS compact_resolution, coalesce(polygon_id, 'none') AS nation FROM o JOIN a USING (h3))
