@@ -109,8 +109,8 @@ def test_areas_of_short_edges_are_exact():
 
 
 def test_index_of_many_corners_stays_small():
-    """A ring of 10^6 corners: no border cell carries more than a sliver of its edges."""
-    turn = np.linspace(0, 2 * np.pi, 1_000_000, endpoint=False)
+    """A ring of 200,000 corners: no border cell carries more than a sliver of its edges."""
+    turn = np.linspace(0, 2 * np.pi, 200_000, endpoint=False)
     ring = np.stack([145 + 0.5 * np.cos(turn) * (1 + 0.1 * np.sin(40 * turn)), -37.8 + 0.4 * np.sin(turn) * (1 + 0.1 * np.sin(40 * turn))], 1)
     place = spaces.Sphere()
     ((res, nodes),) = first([[ring]], place, 7)
@@ -119,7 +119,7 @@ def test_index_of_many_corners_stays_small():
         border += int((part.sizes > 0).sum())
         inner += int((part.sizes == 0).sum())
         most = max(most, int(part.sizes.max(initial=0)))
-    assert most < 40_000 and 100 < inner < border < 3000
+    assert most < 8_000 and 100 < inner < border < 3000
 
 
 def test_inner_cells_are_compact_and_thin_polygons_cost_their_length():
