@@ -321,7 +321,9 @@ def _measure(crs: int):
                 p, q = (spaces.metres(lng[own], lat[own], edges[edge, k : k + 2]) for k in (0, 2))
                 far = spaces.from_segments(p, q)
             np.minimum.at(best, own, far)
-        return pd.DataFrame({"cell": cell, "poly": df.poly.to_numpy()[owner], "dist": best})
+        out = pd.DataFrame({"cell": cell, "poly": df.poly.to_numpy()[owner], "dist": best})
+        # what is farther than another polygon of this batch is not the nearest
+        return out[out.dist <= out.groupby("cell").dist.transform("min") * (1 + EQUAL)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
