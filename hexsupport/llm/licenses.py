@@ -172,12 +172,13 @@ def scanned(df: DataFrame, templates: dict[str, str] | None = None, least: float
     A notice counts from a coverage of ``least``. Defined results: null and empty
     texts have none; a notice that occurs repeatedly is listed each time; of
     overlapping notices the one with more matched words stays; rows are scanned
-    each by its own text; a column of the name ``out_col`` is replaced. An empty
-    table gives an empty one.
+    each by its own text, of any length and whole; a column of the name
+    ``out_col`` (in any case) is replaced, others pass through whatever their
+    names. An empty table gives an empty one.
     """
     bound_batches(df.sparkSession)
     templates = TEMPLATES if templates is None else templates
-    rest = [c for c in df.columns if c != out_col]
+    rest = [c for c in df.columns if c.lower() != out_col.lower()]
     base = df.select(*(F.col(f"`{c}`") for c in rest))
     at = rest.index(text_col)
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))

@@ -376,10 +376,17 @@ def listed(spans: str) -> Column:
 
 
 def redacted(df: DataFrame, text_col: str = "text", trees: Trees | None = None) -> DataFrame:
-    """``df`` with each span of ``text_col`` replaced by its kind in brackets; of overlapping spans the first is named. Null stays null."""
-    marked = detected(df, text_col, trees)
+    """``df`` with each span of ``text_col`` replaced by its kind in brackets; of overlapping spans the first is named.
+
+    Null and empty texts stay as they are; texts of any length are redacted
+    whole; all columns pass through, whatever their names. An empty table gives
+    an empty one.
+    """
+    own, renamed = set_aside(df, ("base", "spans"))
+    own_text = renamed.get(text_col, text_col)
+    marked = detected(own, own_text, trees)
     by_place = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
-    text = F.col(f"`{text_col}`")
+    text = F.col(f"`{own_text}`")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -387,4 +394,5 @@ def redacted(df: DataFrame, text_col: str = "text", trees: Trees | None = None)
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
     out = F.aggregate(by_place, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    return marked.withColumn(text_col, F.when(text.isNull(), text).otherwise(out)).select(*(F.col(f"`{c}`") for c in df.columns))
+    marked = marked.withColumn(own_text, F.when(text.isNull(), text).otherwise(out))
+    return marked.select(*(F.col(f"`{renamed.get(c, c)}`").alias(c) for c in df.columns))

@@ -195,6 +195,18 @@ def test_personal_spans_by_context(spark, trees):
     assert {r.i: r.text for r in pii.redacted(rows, trees=trees).collect()}[0] == "please call [PHONE] today"
 
 
+def test_redaction_leaves_other_columns(spark, trees):
+    long = "so " * 20_000 + "call (443) 555-5793 today"
+    texts = ["please call (443) 555-5793 today", None, "", long]
+    rows = spark.createDataFrame([(i, t, "mine", "own", "x") for i, t in enumerate(texts)], "i int, Text string, base string, SPANS string, _text string")
+    out = pii.redacted(rows, "Text", trees)
+    assert out.columns == rows.columns
+    assert sorted(map(tuple, out.collect())) == [(0, "please call [PHONE] today", "mine", "own", "x"), (1, None, "mine", "own", "x"), (2, "", "mine", "own", "x"), (3, long.replace("(443) 555-5793", "[PHONE]"), "mine", "own", "x")]
+    named = rows.select("i", rows["Text"].alias("base"))
+    assert [r.base for r in pii.redacted(named, "base", trees).orderBy("i").limit(3).collect()] == ["please call [PHONE] today", None, ""]
+    assert pii.redacted(rows.limit(0), "Text", trees).count() == 0
+
+
 def test_personal_numbers_beside_others(spark, trees):
     """Each marked number is found, whatever stands beside it."""
     texts = ["call <555-123-4567> <555-987-6543> now", "tel <555-123-4567> / <555-987-6543> now", "on 2024-01-05 <555-123-4567> now", "tel.<555-123-4567> now", "phone,<555-123-4567> now", "so <(826) 555-4081> 190.137.223.204 now", "so 190.137.223.204 <(843) 555-4081> now", "call <555-123-4567> <555-987-6543> <555-222-3333> <555-444-1111> now", "serial 12345678 12345678 kg"]
@@ -235,6 +247,14 @@ def test_licenses(spark, odd):
     assert licenses.scanned(odd).filter("size(licenses) > 0").count() == 0 and licenses.scanned(odd.limit(0)).count() == 0
 
 
+def test_licenses_of_long_texts_and_named_columns(spark):
+    text = "so " * 50_000 + licenses.TEMPLATES["MIT"] + " and" * 50_000
+    rows = spark.createDataFrame([(1, text, "old", "y")], "license int, text string, LICENSES string, start string")
+    out = licenses.scanned(rows)
+    assert out.columns == ["license", "text", "start", "licenses"]
+    assert [[h.license for h in r.licenses] for r in out.select("licenses").collect()] == [["MIT"]]
+
+
 @pytest.mark.parametrize("name", ["ISC", "MIT", "MIT-short", "GPL-3.0-or-later"])
 @pytest.mark.parametrize("between", [" ", " so then ", " zzz " * 9])
 def test_adjacent_copies_of_a_notice(name, between):
