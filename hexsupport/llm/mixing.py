@@ -52,17 +52,35 @@ def _key(cell) -> tuple:
     return tuple((v is not None, str(v)) for v in cell[:3])
 
 
+def reachable(cells: list[tuple], targets: list[dict]) -> list[dict]:
+    """The targets whose value has tokens in a cell, scaled to sum to 1."""
+    goals = []
+    for k, wanted in enumerate(targets):
+        there = {c[k] for c in cells if c[3] > 0}
+        whole = sum(s for v, s in wanted.items() if v in there)
+        goals.append({v: s / whole for v, s in wanted.items() if v in there} if whole else {})
+    return goals
+
+
+def missed(cells: list[tuple], tokens: list[float], goals: list[dict]) -> float:
+    """The largest difference between a value's share of ``tokens``, given by cell, and its goal; 0 without tokens."""
+    worst = 0.0
+    for k, goal in enumerate(goals):
+        total: dict = {}
+        for c, t in zip(cells, tokens, strict=True):
+            total[c[k]] = total.get(c[k], 0.0) + t
+        whole = sum(total.values())
+        worst = max([worst, *(abs(t / whole - goal.get(v, 0.0)) for v, t in total.items() if whole)])
+    return worst
+
+
 def rake(cells: list[tuple], targets: list[dict], rounds: int = ROUNDS) -> tuple[list[float], float]:
     """(weights of the cells, summing to 1; largest misfit of a share) for (source, lang, topic, tokens) cells.
 
     Targets without a cell are left out and the rest scaled; cells without a target get 0.
     """
     weight = [float(c[3]) for c in cells]
-    goals = []
-    for k, wanted in enumerate(targets):
-        there = {c[k] for c in cells if c[3] > 0}
-        whole = sum(s for v, s in wanted.items() if v in there)
-        goals.append({v: s / whole for v, s in wanted.items() if v in there} if whole else {})
+    goals = reachable(cells, targets)
     misfit = 1.0
     for _ in range(rounds):
         misfit = 0.0
@@ -128,7 +146,14 @@ def _rake_table(cells: DataFrame, power: float, given: dict, budget_share: float
         if now <= scale * (1 + 1e-12):
             break
         scale = now
-    return cells.select(*DIMENSIONS, "tokens", "weight", F.least(F.lit(1.0), F.col("rate") * scale).alias("probability"), F.lit(misfit).alias("misfit"))
+    cells = cells.select(*DIMENSIONS, "tokens", "weight", F.least(F.lit(1.0), F.col("rate") * scale).alias("probability"))
+    misfit, kept = 0.0, F.col("tokens") * F.col("probability")
+    whole = cells.agg(F.sum(kept)).first()[0]
+    for d in DIMENSIONS if whole else ():
+        share = cells.groupBy(d).agg((F.sum(kept) / whole).alias("share"))
+        gap = share.join(goals[d], share[d].eqNullSafe(goals[d][f"{d}_"]), "left").agg(F.max(F.abs(F.col("share") - F.coalesce("goal", F.lit(0.0)))))
+        misfit = max(misfit, gap.first()[0] or 0.0)
+    return cells.withColumn("misfit", F.lit(misfit))
 
 
 def cell_rates(rows: DataFrame, ws: Workspace, targets: dict | None = None, budget_share: float = 0.75, power: float = 0.7, driver_cells: int = DRIVER_CELLS, rounds: int = ROUNDS) -> DataFrame:
@@ -140,8 +165,10 @@ def cell_rates(rows: DataFrame, ws: Workspace, targets: dict | None = None, budg
         return _rake_table(cells, power, targets, budget_share, ws, rounds)
     found = sorted((tuple(r) for r in found), key=_key)
     even = tempered(found, power)
-    weight, misfit = rake(found, [targets.get(d, even[k]) for k, d in enumerate(DIMENSIONS)], rounds)
+    wanted = [targets.get(d, even[k]) for k, d in enumerate(DIMENSIONS)]
+    weight, _ = rake(found, wanted, rounds)
     chance = calibrate([c[3] for c in found], weight, budget_share * sum(c[3] for c in found))
+    misfit = missed(found, [c[3] * p for c, p in zip(found, chance, strict=True)], reachable(found, wanted))
     rates = [(*c, w, p, misfit) for c, w, p in zip(found, weight, chance, strict=True)]
     return F.broadcast(spark.createDataFrame(rates, "source string, lang string, topic string, tokens long, weight double, probability double, misfit double"))
 
@@ -157,10 +184,12 @@ def mixed(documents: DataFrame, topic_col: str | None = None, targets: dict | No
 
     ``targets`` gives shares by value for any of source, lang and topic; the
     others get tempered shares. ``budget_share`` of all tokens are to be kept;
-    ``n_tokens`` counts words. ``misfit`` is the largest difference that raking
-    leaves between a share of the weights and its target: over 1e-9 where targets
-    contradict each other or the cells. A cell kept in full (probability 1) has
-    less than its target share, and the others take up what it lacks.
+    ``n_tokens`` counts words. ``misfit`` is the largest difference between a
+    value's share of the tokens that are expected to be kept and its target. It
+    is about 0 where the targets can be reached; it is not where they contradict
+    each other or the cells, or where the budget is more than they allow: a cell
+    kept in full (probability 1) then has less than its target share, and the
+    others take up what it lacks. A smaller ``budget_share`` lowers it.
     Defined results: a null source, language or topic is a value of its own; a
     null or wordless text has 0 tokens and, in a cell without tokens, is not
     kept; cells without a target share are not kept; rows with equal ids are

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from hexsupport.llm.linking import grouped, looked_up
 from hexsupport.llm.shingles import BASE, shingle_sets
-from hexsupport.llm.store import Workspace, bound_batches, buckets_for, lean, small
+from hexsupport.llm.store import Workspace, bound_batches, buckets_for, lean, small, unused
 
 #: Documents and shingles that a task packs at once.
 PACK_DOCS, PACK_SHINGLES = 60_000, 1_000_000
@@ -234,7 +234,8 @@ def linked(documents: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_
     included. Defined results: null, empty or wordless texts have no shingles
     and link with nothing; rows that repeat an id are judged by their own text
     each; a null id is never a component id, so rows with null ids that link
-    with no other id have a null component. An empty table gives an empty one.
+    with no other id have a null component. Ids are whole numbers, or texts of
+    such; texts of any length are read whole. An empty table gives an empty one.
     Other columns of the input are ignored.
     """
     return _grouped(documents, width, num, den, id_col, text_col).drop("node", "group")
@@ -286,14 +287,14 @@ def _grouped(documents: DataFrame, width: int = 5, num: int = 4, den: int = 5, i
     return full.unionByName(empty).select("doc_id", "n_shingles", "node", "group", "component_id")
 
 
-def _named(width: int, at: int):
-    """The rows with their ``_node``; the text is the column at place ``at``."""
+def _named(width: int, at: int, name: str):
+    """The rows with their node as column ``name``; the text is the column at place ``at``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for batch in batches:
             node = [node_of(own) for own in shingle_sets(batch.column(at), width)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], [*batch.schema.names, "_node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], [*batch.schema.names, name])
 
     return run
 
@@ -302,26 +303,30 @@ def keep_one(documents: DataFrame, **options) -> DataFrame:
     """The rows of ``documents`` without near copies: of each component the row with its smallest id stays.
 
     Rows whose id is null stay, and rows that link with no other, also of a
-    repeated id. Where a component's smallest id is repeated in it, its first row
-    by text stays.
+    repeated id; so null, empty and wordless texts always stay. Where a
+    component's smallest id is repeated in it, its first row by text stays. Texts
+    of any length are compared whole. Columns pass through, whatever their names.
+    An empty table gives an empty one.
     """
     id_col, text_col, width = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("width", 5)
     ws = Workspace(documents.sparkSession, "kept")
     found = ws.write(_grouped(documents, **options))
     doc = F.col(f"`{id_col}`").cast("long")
+    key, node, own_node, group, least, rank = unused(documents, "id", "node", "own", "group", "least", "rank")
     lost = found.filter("doc_id <> component_id")
-    repeated = ws.write(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id")))
+    repeated = ws.write(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(key)))
     if repeated.isEmpty():
-        return documents.join(lost.select(F.col("doc_id").alias("_id")).distinct(), doc == F.col("_id"), "left_anti")
+        return documents.join(lost.select(F.col("doc_id").alias(key)).distinct(), doc == F.col(key), "left_anti")
     # of other ids the id names the row; of repeated ones the id and the shingles, and then the text
-    gone = lost.select(F.col("doc_id").alias("_id")).unionByName(repeated).distinct()
-    single = documents.join(gone, doc == F.col("_id"), "left_anti")
-    many = documents.join(repeated, doc == F.col("_id"), "left_semi")
-    many = many.mapInArrow(_named(width, documents.columns.index(text_col)), T.StructType([*many.schema.fields, T.StructField("_node", T.LongType())]))
-    own = found.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("doc_id").alias("_id"), F.col("node").alias("_own"), F.col("group").alias("_group"), F.col("component_id").alias("_least")).distinct()
-    many = many.join(own, (doc == F.col("_id")) & (F.col("_node") == F.col("_own")))
-    linking = many.filter("_group IS NOT NULL AND _id = _least")
-    rank = F.row_number().over(Window.partitionBy("_group").orderBy(F.col(f"`{text_col}`")))
-    first = linking.withColumn("_rank", rank).filter("_rank = 1")
+    gone = lost.select(F.col("doc_id").alias(key)).unionByName(repeated).distinct()
+    single = documents.join(gone, doc == F.col(key), "left_anti")
+    many = documents.join(repeated, doc == F.col(key), "left_semi")
+    many = many.mapInArrow(_named(width, documents.columns.index(text_col), node), T.StructType([*many.schema.fields, T.StructField(node, T.LongType())]))
+    own = found.join(repeated, F.col("doc_id") == F.col(key), "left_semi")
+    own = own.select(F.col("doc_id").alias(key), F.col("node").alias(own_node), F.col("group").alias(group), F.col("component_id").alias(least)).distinct()
+    many = many.join(own, (doc == F.col(key)) & (F.col(node) == F.col(own_node)))
+    linking = many.filter(F.col(group).isNotNull() & (F.col(key) == F.col(least)))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.col(f"`{text_col}`")))
+    first = linking.withColumn(rank, place).filter(F.col(rank) == 1)
     columns = [F.col(f"`{c}`") for c in documents.columns]
-    return single.unionByName(many.filter("_group IS NULL").select(*columns)).unionByName(first.select(*columns))
+    return single.unionByName(many.filter(F.col(group).isNull()).select(*columns)).unionByName(first.select(*columns))

@@ -184,6 +184,16 @@ def test_no_link_is_lost_in_a_dense_label(spark):
     assert [out[i].n_links for i in range(n)] == [count[i] for i in range(n)]
 
 
+def test_one_of_a_group_stays_whatever_columns_are_named(spark):
+    a, b = "a b c d e f g h", "q r s t u v w x"
+    rows = [(i, t, 0, 1, 2, "x", "y", "z") for i, t in [(5, a), (5, b), (7, a), (9, b), (8, "w " * 100_000)]]
+    for repeated in (True, False):
+        docs = spark.createDataFrame(rows[1 - repeated :], "doc_id long, text string, _id int, _NODE int, _own int, _group string, _Least string, _rank string")
+        out = ngrams.keep_one(docs)
+        assert out.columns == docs.columns
+        assert collections.Counter((r.doc_id, r.text[0]) for r in out.collect()) == collections.Counter([(5, "a"), (5, "q"), (8, "w")] if repeated else [(5, "q"), (7, "a"), (8, "w")])
+
+
 def _deduplicated(texts: dict) -> dict:
     first, order = {}, []
     for i in sorted(texts):
@@ -325,6 +335,20 @@ def test_kept_tokens_come_near_their_targets(spark):
             assert sum(n for c, n in kept.items() if c[k] == v) / sum(kept.values()) == pytest.approx(share, abs=0.04)
 
 
+@pytest.mark.parametrize("driver_cells", [1000, 1])
+def test_misfit_tells_what_a_full_cell_lacks(spark, driver_cells):
+    """Half of the tokens are asked of a tenth of them: within a budget of 0.1 they are there, of 0.5 they are not."""
+    rows = [(i, "w " * 10, "rare" if i % 10 == 0 else "common", "x") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("topic", F.lit("t"))
+    for budget, share in ((0.1, 0.5), (0.5, 0.2)):
+        out = mixing.mixed(docs, topic_col="topic", targets={"source": {"rare": 0.5, "common": 0.5}}, budget_share=budget, driver_cells=driver_cells).collect()
+        tokens = collections.Counter()
+        for r in out:
+            tokens[r.source] += r.n_tokens * r.probability
+        assert tokens["rare"] / sum(tokens.values()) == pytest.approx(share)
+        assert all(r.misfit == pytest.approx(0.5 - share, abs=1e-9) for r in out)
+
+
 def test_mixing_odd_input(spark):
     docs = spark.createDataFrame([(1, "a b c", None, "en"), (1, "a b c", None, "en"), (None, "d e", "s", None), (2, None, "s", "en"), (3, "", "s", "en")], "doc_id long, text string, source string, lang string").withColumn("weight", F.lit("old"))
     out = mixing.mixed(docs, budget_share=1.0).collect()
