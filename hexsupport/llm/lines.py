@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from hexsupport.llm.components import Forest, components
 from hexsupport.llm.shingles import MULTIPLIERS, mix
-from hexsupport.llm.store import Workspace, bound_batches, buckets_for, lean, small, unused
+from hexsupport.llm.store import Workspace, bound_batches, buckets_for, lean, unused
 
 #: Characters of a shingle; a shorter line is one shingle.
 WIDTH = 8
@@ -43,8 +43,6 @@ REMEMBERED = 100_000
 HOT = 2048
 #: Lines, and characters unless it is one line, of a block.
 BLOCK, BLOCK_CHARS = 512, 1 << 22
-#: Documents (24 bytes each) that are broadcast to pick lines out of a scan; more are joined by shuffling.
-BROADCAST_ROWS = 100_000
 EMPTY = np.uint32(0xFFFFFFFF)
 #: Lines of these characters alone, and empty ones, have no content.
 BLANK = " \t\r\x0b\x0c"
@@ -333,8 +331,8 @@ def _links(docs: DataFrame, known: DataFrame, num: int, den: int, ws: Workspace)
     # the texts of these lines, from one document each
     wanted = ws.write(placed.select(F.col("node").alias("line")).distinct().join(known, "line").select("line", "first.row", "first.place"))
     of_row = wanted.groupBy("row").agg(F.collect_list(F.struct("place", F.col("line").alias("node"))).alias("wanted"))
-    of_row = F.broadcast(of_row) if small(wanted.select("row").distinct(), BROADCAST_ROWS) and small(wanted, 4 * BROADCAST_ROWS) else of_row
-    found = docs.join(of_row, "row").select(F.explode(_once(F.split("text", "\n"), lambda parts: F.transform("wanted", lambda x: F.struct(x["node"].alias("node"), F.get(parts, x["place"]).alias("line_text"))))).alias("x"))
+    # by shuffling at every size: these documents grow with the corpus
+    found = docs.join(of_row.hint("merge"), "row").select(F.explode(_once(F.split("text", "\n"), lambda parts: F.transform("wanted", lambda x: F.struct(x["node"].alias("node"), F.get(parts, x["place"]).alias("line_text"))))).alias("x"))
     dealt = ws.write(placed.join(found.select("x.*").dropDuplicates(["node"]), "node"))
 
     sizes = dealt.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.length("line_text")).alias("chars"), F.min("node").alias("hub"))

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from hexsupport.llm.linking import grouped, looked_up
 from hexsupport.llm.shingles import BASE, shingle_sets
-from hexsupport.llm.store import Workspace, bound_batches, buckets_for, lean, small, unused
+from hexsupport.llm.store import Workspace, bound_batches, buckets_for, lean, unused
 
 #: Documents and shingles that a task packs at once.
 PACK_DOCS, PACK_SHINGLES = 60_000, 1_000_000
@@ -47,8 +47,6 @@ LONGEST = 1 << 40
 SKIP_WEIGHT = 0.0085
 #: Bits of a shingle's hash that lists leave out.
 CUT = np.uint64(16)
-#: Documents (16 bytes each) that are broadcast to pick texts out of a scan; more are joined by shuffling.
-BROADCAST_ROWS = 100_000
 
 
 def node_of(own: np.ndarray) -> int:
@@ -272,8 +270,8 @@ def _grouped(documents: DataFrame, width: int = 5, num: int = 4, den: int = 5, i
         pairs = ws.write(pairs.select("a", "b"))
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         found = ws.write(wanted.join(short.select("node", "row"), "node"))
-        found = F.broadcast(found) if small(found, BROADCAST_ROWS) else found
-        texts = docs.select("row", "text").join(found, "row").select("node", "text").dropDuplicates(["node"])
+        # by shuffling at every size: these documents grow with the corpus
+        texts = docs.select("row", "text").join(found.hint("merge"), "row").select("node", "text").dropDuplicates(["node"])
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return ws.write(both.mapInArrow(_probe(width, num, den), "a long, b long"))
 

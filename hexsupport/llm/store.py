@@ -77,11 +77,6 @@ def set_aside(df: DataFrame, inner) -> tuple[DataFrame, dict[str, str]]:
     return df.select(*(F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns)), names
 
 
-def small(df: DataFrame, limit: int) -> bool:
-    """Whether ``df`` has at most ``limit`` rows."""
-    return df.count() <= limit
-
-
 def buckets_for(spark: SparkSession, size: int, each: int = 64 << 20) -> int:
     """Buckets for ``size`` bytes, of ``each`` at most on average."""
     return max(128, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
