@@ -9,6 +9,9 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -87,13 +90,37 @@ def buckets_for(spark: SparkSession, size: int, each: int = 64 << 20) -> int:
     return max(128, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
+#: The workspaces made in the innermost open ``temporary`` block.
+_MADE: ContextVar[list[Workspace] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Frees the intermediate tables of all operators called inside, also where one fails.
+
+    For a caller who writes an operator's result inside the block: what operators
+    return is read from these tables, so it must not be used after the block.
+    """
+    made: list[Workspace] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for ws in made:
+            ws.free()
+
+
 class Workspace:
-    """Intermediate tables of one operator run; ``drop`` frees them early."""
+    """Intermediate tables of one operator run; ``drop`` frees some of them early, ``free`` all (see ``temporary``)."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        made = _MADE.get()
+        if made is not None:
+            made.append(self)
 
     def write(self, df: DataFrame) -> DataFrame:
         """``df``, written as Parquet and read back: lost executors cannot lose it."""
@@ -106,5 +133,11 @@ class Workspace:
 
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(table._workspace_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(table._workspace_path)
+
+    def free(self) -> None:
+        self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

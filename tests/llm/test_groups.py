@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import os
 import random
 import re
 
@@ -381,3 +382,76 @@ def test_pipeline_stage_by_stage(spark):
         before = after
     last = corpus_pipeline.STAGES[-1][1](spark, before, SF)
     assert last.count() == before.count() == corpus_pipeline.run(spark, SF).count()
+
+
+ODD_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, Kept int, _node int, COMPONENT string, token_ids int"
+
+
+def _odd_documents(spark):
+    """Two languages, and rows of every odd kind; columns named like inner ones and like results."""
+    rng = random.Random(9)
+    words = {"en": "the house of green hills and some other small things were there".split(), "es": "la casa de las montañas verdes y algunas otras cosas estaban".split()}
+    texts = [(" ".join(rng.choices(words[k], k=rng.randint(20, 60))), k) for k in ("en", "es") for _ in range(15)]
+    texts += [(texts[0][0], "en"), (texts[0][0] + " again", "en"), (None, "en"), (None, None), ("", "es"), (" \n\n ", None), ("12 34 !!", "en"), ("漢字 " * 5, None), ("a", "en"), ("the small house " * 20_000, "en")]
+    rows = [(i, t, k, "s" if i % 3 else None, len(t or ""), "old", i, 7, "x", None) for i, (t, k) in enumerate(texts)]
+    rows += [rows[1], rows[1], (None, *rows[2][1:]), (None, None, *rows[2][2:]), (1, *rows[3][1:])]
+    return spark.createDataFrame(rows, ODD_COLUMNS)
+
+
+def test_pipeline_of_odd_documents(spark):
+    """Null, empty, long, repeated and clashing rows pass every stage; only rows without a language, copies and what sampling leaves out go."""
+    docs = _odd_documents(spark)
+    ws = store.Workspace(spark, "odd")
+    before = ws.write(docs)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = ws.write(stage(spark, before, ""))
+        assert after.columns == docs.columns, name
+        was, now = ([(r.doc_id, r.text, r.n_chars) for r in df.collect()] for df in (before, after))
+        if name == "language_id":
+            lost = collections.Counter(was) - collections.Counter(now)
+            assert not collections.Counter(now) - collections.Counter(was)
+            # nothing with letters of the two languages goes, everything without a letter does
+            assert {t for _, t, _ in lost} >= {None, "", " \n\n ", "12 34 !!"}
+            assert all(not any("a" <= c <= "z" for c in t or "") for _, t, _ in lost)
+            assert all(any(c.isalpha() for c in t) for _, t, _ in now)
+        elif name == "line_dedup":
+            # rows of one id and text are one document; of all others each text stays once
+            kept = list({(i, t): t for i, t, _ in now}.values())
+            assert len(kept) == len(set(kept)) and all(n == len(t) for _, t, n in now)
+            assert {t for _, t, _ in was} >= set(kept)  # each text is one line here
+        elif name == "ngram_jaccard_join":
+            sets = [_set(t) for i, t, _ in now if i is not None]  # rows without an id always stay
+            assert not any(5 * len(a & b) >= 4 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+        else:
+            assert not collections.Counter(now) - collections.Counter(was)
+        before = after
+    last = corpus_pipeline.STAGES[-1][1](spark, before, "")
+    assert {"doc_id", "text", "n_tokens"} & set(last.columns) and last.count() == before.count()
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    none = _odd_documents(spark).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, "").count() == 0
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_pipeline_leaves_only_its_result(spark):
+    """What stages wrote on their way is gone from the shared folder."""
+    root = store.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    out = corpus_pipeline.run(spark, SF)
+    (own,) = set(os.listdir(root)) - before
+    assert own.startswith("pipeline-") and len(os.listdir(f"{root}/{own}")) == 1 and out.count() > 0
+
+
+def test_workspaces_are_freed_also_on_failure(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    root = store.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    with pytest.raises(KeyError), store.temporary():
+        ngrams.keep_one(docs).count()
+        assert set(os.listdir(root)) > before
+        raise KeyError
+    assert set(os.listdir(root)) == before

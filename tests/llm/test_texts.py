@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -235,6 +237,50 @@ def test_languages_ignore_held_out_rows(spark):
     assert langid.trained_on(spoiled)[0] == ["x", "y"]
 
 
+def _bucket(gram: str) -> int:
+    h = 0
+    for c in gram:
+        h = (h * 0x9E3779B1 + ord(c) + 0x7F4A7C15) % 2**32
+    h ^= h >> 16
+    h = h * 0x85EBCA6B % 2**32
+    h ^= h >> 13
+    return (h * 0xC2B2AE35 % 2**32) >> 17
+
+
+def _features(text: str | None) -> collections.Counter:
+    text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return collections.Counter(_bucket(text[i : i + n]) for n in (1, 2, 3) for i in range(len(text) - n + 1))
+
+
+def test_languages_equal_plain_naive_bayes(spark):
+    """Every document, scored by the multinomial model with half a count added, written out for one document at a time."""
+    documents = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rows = [r for r in documents.collect() if r.doc_id is not None]
+    held = lambda r: zlib.crc32(str(r.doc_id).encode()) % 4 == 2
+    counts, docs = collections.defaultdict(collections.Counter), collections.Counter()
+    for r in rows:
+        if r.lang is not None and not held(r):
+            counts[r.lang].update(_features(r.text))
+            docs[r.lang] += 1
+    mass = {k: sum(c.values()) + 0.5 * langid.BUCKETS for k, c in counts.items()}
+    out = {r.doc_id: r for r in langid.predict(documents, langid.trained_on(documents)).collect()}
+    for r in rows:
+        own = _features(r.text)
+        log = {k: math.log(docs[k] / sum(docs.values())) + sum(n * math.log((counts[k][b] + 0.5) / mass[k]) for b, n in own.items()) for k in counts}
+        best = min(log, key=lambda k: (-log[k], k))
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (out[r.doc_id].lang_pred, out[r.doc_id].score) == ("und", 0.0)
+        else:
+            assert out[r.doc_id].lang_pred == best
+            assert out[r.doc_id].score == pytest.approx(1 / sum(math.exp(x - log[best]) for x in log.values()), abs=2e-6)
+
+
+def test_equal_languages_go_to_the_first_name(spark):
+    labelled = spark.createDataFrame([("la casa", "y"), ("la casa", "x")], "text string, lang string")
+    out = langid.predict(labelled.drop("lang"), langid.train(labelled)).collect()
+    assert [(r.lang_pred, r.score) for r in out] == [("x", 0.5)] * 2
+
+
 def test_licenses(spark, odd):
     rng = random.Random(1)
     words = licenses.TEMPLATES["MIT"].split()
