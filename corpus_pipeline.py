@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexsupport.llm import bpe, langid, lines, mixing, ngrams
-from hexsupport.llm.store import Workspace
+from hexsupport.llm.store import Workspace, temporary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +51,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result is written as Parquet and read again."""
+    """All stages over ``documents``; each one's result is written as Parquet and read again.
+
+    Once a stage's result is written, its intermediate tables and the result before it are freed.
+    """
     ws = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES:
-        docs = ws.write(stage(spark, docs, sf_dir))
+        with temporary():
+            docs = ws.write(stage(spark, docs, sf_dir))
+        ws.drop(*before)
+        before = [docs]
     return docs
