@@ -19,6 +19,8 @@ from hexsupport.operators.cover import cover, expand
 from hexsupport.operators.relate import TIE, assign, membership
 from hexsupport.operators.render import boundaries
 from hexsupport.operators.rollup import rollup, text_cells
+from hexsupport.operators.tiles import SIDE as PIXELS
+from hexsupport.operators.tiles import STYLE, tiles
 from hexsupport.plans.algebra import _hex as hex_sql
 from hexsupport.plans.algebra import _number as cell_sql
 from hexsupport.plans.algebra import table
@@ -30,6 +32,8 @@ from hexsupport.sources.wkb import from_wkb, to_wkb
 BASE, CRS = 95, 3857
 MIDDLE = np.round(from_lng_lat(np.array([154.18229776, -34.38844532]), CRS) / 1000) * 1000 + [137.0, 291.0]
 PITCH, SIDE, LEVEL = 3800.0, 3000.0, 9
+#: Zooms of the map tiles.
+ZOOMS = (6, 14)
 #: Share of a cell that must be covered; SQL measures on the sphere, the library on the ellipsoid, so shares differ by some 1e-5.
 LEAST = 0.45
 
@@ -92,6 +96,12 @@ def boundaries_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boundaries(customers(spark, sf_dir)).select("c_custkey", F.size(ring).alias("corners"), places.alias("places"))
 
 
+def tiles_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Map tiles of the customers' cells, from zooms where many share a pixel to those where a cell spans tens."""
+    out = tiles(customers(spark, sf_dir), *ZOOMS)
+    return out.select("z", "x", "y", "shapes", F.length("svg").alias("characters"))
+
+
 def binary_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations written as well-known binary and read again: the size in bytes, and the bounds of what is read."""
     binary = to_wkb(nations(spark, sf_dir)).select("nation", "wkb")
@@ -115,7 +125,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         membership_nations, assign_nations, assign_nations_nearest, cover_nations_center, cover_nations_within, cover_nations_intersects, cover_nations_exhaustive, cover_nations_overlap, expand_customers,
-        boundaries_customers, binary_nations, workflow_nations,
+        boundaries_customers, tiles_customers, binary_nations, workflow_nations,
     )
 }
 
@@ -193,6 +203,16 @@ def sql() -> dict[str, str]:
         "expand_customers": _expand_sql(),
         "boundaries_customers": f"""WITH {customer} SELECT c_custkey, count(*)::INT AS corners, string_agg(printf('%.6f %.6f', lng + 1e-9, lat + 1e-9), ', ' ORDER BY printf('%.6f %.6f', lng + 1e-9, lat + 1e-9)) AS places
     FROM customer JOIN c ON c.key = c_custkey JOIN hexagon USING (h3) GROUP BY c_custkey""",
+        # a cell is a pixel where its bounds are less than one, and else its six corners in each tile that the bounds meet
+        "tiles_customers": f"""WITH {customer}, u AS (SELECT h3, (lng + 180) / 360 AS u, 0.5 - ln(tan(pi() / 4 + radians(lat) / 2)) / (2 * pi()) AS v FROM hexagon),
+    q AS (SELECT z.range AS z, h3, u * {PIXELS} * power(2, z.range) AS px, v * {PIXELS} * power(2, z.range) AS py FROM u, range({ZOOMS[0]}, {ZOOMS[1] + 1}) z),
+    b AS (SELECT z, h3, min(px) AS x0, max(px) AS x1, min(py) AS y0, max(py) AS y1 FROM q GROUP BY z, h3),
+    dot AS (SELECT DISTINCT z, floor((x0 + x1) / 2)::BIGINT AS i, floor((y0 + y1) / 2)::BIGINT AS j FROM b WHERE x1 - x0 < 1 AND y1 - y0 < 1),
+    col AS (SELECT *, unnest(range(floor(x0 / {PIXELS})::BIGINT, floor(x1 / {PIXELS})::BIGINT + 1)) AS x FROM b WHERE x1 - x0 >= 1 OR y1 - y0 >= 1),
+    wide AS (SELECT z, h3, x, unnest(range(floor(y0 / {PIXELS})::BIGINT, floor(y1 / {PIXELS})::BIGINT + 1)) AS y FROM col),
+    shape AS (SELECT z, i // {PIXELS} AS x, j // {PIXELS} AS y, length('M' || (i % {PIXELS}) || ',' || (j % {PIXELS}) || 'h1v1h-1Z') AS n FROM dot
+      UNION ALL SELECT z, x, y, sum(1 + length(printf('%.1f,%.1f', px - x * {PIXELS}, py - y * {PIXELS}))) + 1 AS n FROM wide JOIN q USING (z, h3) GROUP BY z, h3, x, y)
+    SELECT z::INT AS z, x, y, count(*)::INT AS shapes, ({len(STYLE) + 89} + sum(n))::INT AS characters FROM shape GROUP BY z, x, y""",
         "binary_nations": f"WITH {_NATIONS} SELECT nation, 1 + 4 + 4 + 4 + 4 * 16 AS bytes, 4 AS points, w AS west, s AS south, e AS east, t AS north FROM n",
         "workflow_nations": f"""{covered}, {_METHOD}, k AS (SELECT key, h3 FROM c WHERE EXISTS (SELECT 1 FROM n WHERE x > w AND x < e AND y > s AND y < t)),
     o AS (SELECT key, h3, count(*) OVER (PARTITION BY key // 7) = 7 AS whole FROM k),
